@@ -1,0 +1 @@
+"""Every input is a finished file, so there is nothing to stream; see README."""
