@@ -11,7 +11,13 @@ from custvalue.models.metrics import weighted_metrics as weighted_scores
 from custvalue.models.revenue import compare_revenue_models
 from custvalue.operators.aggregates import one_hot
 from custvalue.operators.columns import with_label
-from custvalue.operators.features import as_vectors, mean_filled, predict_missing
+from custvalue.operators.features import (
+    as_vectors,
+    mean_filled,
+    predict_missing,
+    scaled,
+    scaling,
+)
 from custvalue.operators.neighbors import knn_votes, nearest, over_sample
 from custvalue.operators.splits import stratified_split as split_rows
 from custvalue.operators.splits import with_folds
@@ -118,18 +124,16 @@ def customer_features(spark, sf):
     return filled.withColumn("balance", F.round("balance", 4))
 
 
-def _vectors(spark, sf, label: str = "promo"):
-    """Scaled feature vectors with key, label, constant, for model queries."""
-    from custvalue.operators.features import scaled, scaling
-
+def _vectors(spark, sf):
+    """Scaled feature vectors with key and label, and the feature names."""
     customers = with_label(feature_table(spark, sf), "promo")
     coded = one_hot(customers, "c_mktsegment", drop_first=True)
     names = [c for c in coded.columns if c not in ("c_custkey", "label")]
     filled = cut_lineage(mean_filled(coded, names))
     rows = scaled(filled, scaling(filled, names)).withColumns(
-        {"key": F.col("c_custkey"), "one": F.lit(1.0)}
+        {"key": F.col("c_custkey")}
     )
-    return as_vectors(rows, names, keep=["key", "label", "one"]), names
+    return as_vectors(rows, names, keep=["key", "label"]), names
 
 
 @query()
@@ -164,14 +168,14 @@ def over_sampled_classes(spark, sf):
 def feature_impact(spark, sf):
     rows, names = _vectors(spark, sf)
     data = with_folds(rows, "label", "key")
-    return model_search.drop_one_impact(data, names, parallelism=8)
+    return model_search.drop_one_impact(data, names)
 
 
 @query()
 def logistic_search(spark, sf):
     rows, _ = _vectors(spark, sf)
     data = with_folds(rows, "label", "key")
-    return model_search.search(data, model_search.grid("logistic"), parallelism=8)
+    return model_search.search_logistic(data)
 
 
 @query()
@@ -204,4 +208,4 @@ def license_model(spark, sf):
         "c_nationkey", F.col("c_nationkey").cast("string")
     )
     prepared = prepare_features(customers.drop("c_nationkey"), "c_custkey", "promo")
-    return fit_license_model(prepared, parallelism=8).coefficients
+    return fit_license_model(prepared).coefficients

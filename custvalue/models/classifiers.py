@@ -1,7 +1,6 @@
 """The classifiers that are compared, each as a recipe: (train rows, row count) -> model.
 
-Rows have ``label`` (0/1), ``features`` (a vector) and ``one`` (the constant 1). A model's
-``transform`` adds ``prediction``. Penalties are stated per row in Spark and per data set in
+Rows have ``label`` (0/1) and ``features`` (a vector). A model's ``transform`` adds ``prediction``. Penalties are stated per row in Spark and per data set in
 the formulas ``C`` comes from, hence ``1 / (C * rows)``.
 """
 
@@ -20,7 +19,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,21 +45,15 @@ class Recipe:
 
 
 def logistic(c: float, l1: bool = False) -> Recipe:
-    """Logistic regression whose intercept is penalised like any other weight."""
+    """Logistic regression with a penalty on every weight but the intercept."""
 
     def fit(train: DataFrame, rows: int):
-        model = LogisticRegression(
-            featuresCol="with_one",
+        return LogisticRegression(
             regParam=1.0 / (c * rows),
             elasticNetParam=1.0 if l1 else 0.0,
-            fitIntercept=False,
             standardization=False,
             family="binomial",
-            maxIter=200,
-            tol=1e-8,
-        )
-        both = VectorAssembler(inputCols=["features", "one"], outputCol="with_one")
-        return Pipeline(stages=[both, model]).fit(train)
+        ).fit(train)
 
     return Recipe("logistic", {"C": c, "penalty": "l1" if l1 else "l2"}, fit)
 
@@ -197,7 +190,7 @@ def ada_boost(rounds: int, rate: float) -> Recipe:
     """Boosted stumps on class probabilities (the real-valued variant for two classes)."""
 
     def fit(train: DataFrame, rows: int) -> VotingModel:
-        columns = [c for c in ("key", "label", "features", "one") if c in train.columns]
+        columns = [c for c in ("key", "label", "features") if c in train.columns]
         weighted = train.select(*columns, F.lit(1.0).alias("weight"))
         members = []
         for turn in range(1, rounds + 1):

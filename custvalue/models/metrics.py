@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,37 +14,42 @@ def _ratio(part, whole):
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def weighted_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """One row: F1, precision and recall as means over classes weighted by their rows, and
-    accuracy. A score without a base counts as 0.
+def weighted_metrics(
+    df: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    by: Sequence[str] = (),
+    count: str | None = None,
+) -> DataFrame:
+    """F1, precision and recall as means over classes weighted by their rows, and accuracy.
 
-    The rows shrink to one count per label and prediction before anything moves.
+    One row, or one per group of ``by``. A score without a base counts as 0. ``count`` names
+    a column that says how many rows a row stands for. The rows shrink to one count per label
+    and prediction before anything moves.
     """
+    keys = list(by)
+    rows = F.count("*") if count is None else F.sum(named(count))
     counts = df.groupBy(
+        *map(named, keys),
         named(label).cast("double").alias("label"),
         named(prediction).cast("double").alias("prediction"),
-    ).agg(F.count("*").alias("n"))
+    ).agg(rows.alias("n"))
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     nothing = F.lit(0).cast("bigint")
-    sides = counts.select(
-        F.explode(
-            F.array(
-                F.struct(
-                    F.col("label").alias("class"),
-                    F.col("n").alias("actual"),
-                    nothing.alias("predicted"),
-                    hit.cast("bigint").alias("hits"),
-                ),
-                F.struct(
-                    F.col("prediction").alias("class"),
-                    nothing.alias("actual"),
-                    F.col("n").alias("predicted"),
-                    nothing.alias("hits"),
-                ),
-            )
-        ).alias("side")
-    ).select("side.*")
-    classes = sides.groupBy("class").agg(
+    actual = F.struct(
+        F.col("label").alias("class"),
+        F.col("n").alias("actual"),
+        nothing.alias("predicted"),
+        hit.cast("bigint").alias("hits"),
+    )
+    predicted = F.struct(
+        F.col("prediction").alias("class"),
+        nothing.alias("actual"),
+        F.col("n").alias("predicted"),
+        nothing.alias("hits"),
+    )
+    sides = counts.select(*map(named, keys), F.explode(F.array(actual, predicted)).alias("side"))
+    classes = sides.select(*map(named, keys), "side.*").groupBy(*map(named, keys), "class").agg(
         F.sum("actual").alias("actual"),
         F.sum("predicted").alias("predicted"),
         F.sum("hits").alias("hits"),
@@ -50,7 +57,7 @@ def weighted_metrics(df: DataFrame, label: str = "label", prediction: str = "pre
     precision = _ratio(F.col("hits"), F.col("predicted"))
     recall = _ratio(F.col("hits"), F.col("actual"))
     scored = classes.select(
-        "actual", "hits", precision.alias("precision"), recall.alias("recall")
+        *map(named, keys), "actual", "hits", precision.alias("precision"), recall.alias("recall")
     ).withColumn(
         "f1",
         _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")),
@@ -59,7 +66,7 @@ def weighted_metrics(df: DataFrame, label: str = "label", prediction: str = "pre
     def weighted(score):
         return (F.sum(F.col(score) * F.col("actual")) / F.sum("actual")).alias(score)
 
-    return scored.agg(
+    return scored.groupBy(*map(named, keys)).agg(
         weighted("f1"),
         weighted("precision"),
         weighted("recall"),

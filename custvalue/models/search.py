@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,22 +20,27 @@ from custvalue.models.classifiers import (
     logistic,
     random_forest,
 )
+from custvalue.models.logistic_many import cross_validated
 from custvalue.models.metrics import weighted_metrics
-from custvalue.operators.neighbors import knn_votes, nearest
+from custvalue.operators.neighbors import nearest
+from custvalue.sources.csv import union_all_by_name
 
 FOLDS = 5
 
-# The strengths of selection and final model, and how many features stay.
+# The strengths of selection and final model, how many features stay, and the
+# strengths and neighbour counts that are searched.
 SELECTION_C = 5.0
 FINAL_C = 17.0
 KEPT_FEATURES = 20
+LOGISTIC_GRID = tuple(float(c) for c in range(5, 25, 2))
+NEIGHBOR_GRID = tuple(range(2, 20, 2))
 
 
 def grid(kind: str) -> list[Recipe]:
     """The settings searched for each kind of classifier."""
     # The ranges of the search.
     if kind == "logistic":
-        return [logistic(float(c)) for c in range(5, 25, 2)]
+        return [logistic(c) for c in LOGISTIC_GRID]
     if kind == "decision_tree":
         return [
             decision_tree(criterion, depth, 0.1, share)
@@ -57,10 +61,6 @@ def grid(kind: str) -> list[Recipe]:
     raise ValueError(f"unknown kind of classifier: {kind}")
 
 
-# The neighbour counts of the search.
-NEIGHBOR_GRID = tuple(range(2, 20, 2))
-
-
 def fold_sizes(data: DataFrame) -> dict[int, int]:
     rows = data.groupBy("fold").agg(F.count("*").alias("n")).collect()
     return {row.fold: row.n for row in rows}
@@ -70,99 +70,106 @@ def f1_of(predictions: DataFrame) -> float:
     return weighted_metrics(predictions).first().f1
 
 
-def _mean_f1(data: DataFrame, sizes: dict[int, int], recipes, prepare, parallelism: int):
-    """Mean F1 over the folds for each (recipe, preparation) pair; fits run side by side."""
-    total = sum(sizes.values())
-    work = [(i, fold) for i in range(len(recipes)) for fold in sorted(sizes)]
-
-    def score(item):
-        i, fold = item
-        rows = prepare(i, data)
-        model = recipes[i].fit(rows.where(F.col("fold") != fold), total - sizes[fold])
-        return i, f1_of(model.transform(rows.where(F.col("fold") == fold)))
-
-    with ThreadPool(min(parallelism, len(work))) as pool:
-        scores = pool.map(inheritable_thread_target(data.sparkSession)(score), work)
-    return [
-        sum(s for j, s in scores if j == i) / len(sizes) for i in range(len(recipes))
-    ]
+def _ranked(spark, kinds: Sequence[str], settings: Sequence[str], scores: Sequence[float]):
+    order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
+    rows = [(place, kinds[i], settings[i], scores[i]) for place, i in enumerate(order, 1)]
+    return spark.createDataFrame(
+        rows, "place int, classifier string, settings string, mean_f1 double"
+    )
 
 
 def search(data: DataFrame, recipes: Sequence[Recipe], parallelism: int = 3) -> DataFrame:
     """Mean weighted F1 per recipe over the ``fold`` column; place 1 is best.
 
-    ``data`` is cached: every fit reads all of it.
+    Fits run side by side. ``data`` is cached: every fit reads all of it.
     """
     data = data.cache()
     try:
-        scores = _mean_f1(data, fold_sizes(data), recipes, lambda i, d: d, parallelism)
+        sizes = fold_sizes(data)
+        total = sum(sizes.values())
+
+        def score(item):
+            i, fold = item
+            train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
+            return f1_of(recipes[i].fit(train, total - sizes[fold]).transform(test))
+
+        work = [(i, fold) for i in range(len(recipes)) for fold in sorted(sizes)]
+        with ThreadPool(min(parallelism, len(work))) as pool:
+            scores = pool.map(inheritable_thread_target(data.sparkSession)(score), work)
     finally:
         data.unpersist()
-    order = sorted(range(len(recipes)), key=lambda i: (-scores[i], i))
-    rows = [(p, recipes[i].kind, str(recipes[i]), scores[i]) for p, i in enumerate(order, 1)]
-    return data.sparkSession.createDataFrame(
-        rows, "place int, classifier string, settings string, mean_f1 double"
-    )
+    n = len(sizes)
+    means = [sum(scores[i * n : (i + 1) * n]) / n for i in range(len(recipes))]
+    return _ranked(data.sparkSession, [r.kind for r in recipes], list(map(str, recipes)), means)
+
+
+def search_logistic(data: DataFrame, strengths: Sequence[float] = LOGISTIC_GRID) -> DataFrame:
+    """Mean weighted F1 per strength of the logistic regression, all fitted together."""
+    width = data.select("features").first().features.size
+    scores = cross_validated(data, [(range(width), c) for c in strengths])
+    names = [str(logistic(c)) for c in strengths]
+    return _ranked(data.sparkSession, ["logistic"] * len(names), names, scores)
 
 
 def search_neighbors(data: DataFrame, counts: Sequence[int] = NEIGHBOR_GRID) -> DataFrame:
     """Mean weighted F1 of the nearest-neighbour vote per neighbour count.
 
-    Neighbours are found once per fold, for the largest count; smaller counts use the first.
+    Neighbours are found once per fold, for the largest count; smaller counts use the first
+    of them. All votes of all folds are scored together.
     """
     rows = data.select("key", "label", "fold", vector_to_array("features").alias("vector")).cache()
+    votes = []
     try:
-        sums = dict.fromkeys(counts, 0.0)
         folds = sorted(fold_sizes(rows))
         for fold in folds:
             train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-            near = nearest(test, train, max(counts), "key", "vector").cache()
+            near = nearest(test, train, max(counts), "key", "vector")
+            labels = train.select(F.col("key").alias("neighbor"), F.col("label").alias("vote"))
+            tallied = near.join(labels, "neighbor").groupBy("query").agg(
+                *[
+                    F.count_if((F.col("place") <= k) & (F.col("vote") == 1)).alias(f"n{k}")
+                    for k in counts
+                ]
+            )
             actual = test.select(F.col("key").alias("query"), "label")
-            for k in counts:
-                sums[k] += f1_of(knn_votes(near, train, "key", "label", k).join(actual, "query"))
-            near.unpersist()
+            # More than half the votes: a tie goes to label 0.
+            guesses = [
+                F.struct(F.lit(k).alias("k"), (2 * F.col(f"n{k}") > k).cast("int").alias("prediction"))
+                for k in counts
+            ]
+            votes.append(
+                tallied.join(actual, "query").select(
+                    F.lit(fold).alias("fold"), "label", F.explode(F.array(*guesses)).alias("g")
+                ).select("fold", "label", "g.*")
+            )
+        scores = weighted_metrics(union_all_by_name(votes), by=["fold", "k"])
+        means = {r.k: r.f1 for r in scores.groupBy("k").agg(F.avg("f1").alias("f1")).collect()}
     finally:
         rows.unpersist()
-    scored = sorted(((k, s / len(folds)) for k, s in sums.items()), key=lambda x: (-x[1], x[0]))
-    found = [
-        (place, "neighbors", f"n_neighbors={k}", score) for place, (k, score) in enumerate(scored, 1)
-    ]
-    return data.sparkSession.createDataFrame(
-        found, "place int, classifier string, settings string, mean_f1 double"
+    names = [f"n_neighbors={k}" for k in counts]
+    return _ranked(
+        data.sparkSession, ["neighbors"] * len(names), names, [means[k] for k in counts]
     )
 
 
 def weights_of(model) -> list[float]:
-    """Weights of a fitted logistic recipe: one per feature, without the constant."""
-    return [float(w) for w in model.stages[-1].coefficients][:-1]
+    """Weights of a fitted linear model, one per feature."""
+    return [float(w) for w in model.coefficients]
 
 
 def select_features(train: DataFrame, features: Sequence[str], c: float = SELECTION_C) -> list[str]:
     """Features that keep a weight under an absolute-value penalty."""
+    train = train.cache()
     model = logistic(c, l1=True).fit(train, train.count())
+    train.unpersist()
     return [name for name, weight in zip(features, weights_of(model)) if weight != 0.0]
 
 
-def sliced(df: DataFrame, indices: Sequence[int]) -> DataFrame:
-    """``features`` cut down to the given positions."""
-    slicer = VectorSlicer(inputCol="features", outputCol="__some", indices=list(indices))
-    return slicer.transform(df).drop("features").withColumnRenamed("__some", "features")
-
-
-def drop_one_impact(
-    data: DataFrame, features: Sequence[str], c: float = FINAL_C, parallelism: int = 3
-) -> DataFrame:
+def drop_one_impact(data: DataFrame, features: Sequence[str], c: float = FINAL_C) -> DataFrame:
     """Change of the mean weighted F1 when one feature is left out: (feature, impact)."""
-    data = data.cache()
-    everything = list(range(len(features)))
-    subsets = [everything] + [[j for j in everything if j != i] for i in everything]
-    recipes = [logistic(c)] * len(subsets)
-    try:
-        scores = _mean_f1(
-            data, fold_sizes(data), recipes, lambda i, d: sliced(d, subsets[i]), parallelism
-        )
-    finally:
-        data.unpersist()
+    everything = range(len(features))
+    subsets = [list(everything)] + [[j for j in everything if j != i] for i in everything]
+    scores = cross_validated(data, [(some, c) for some in subsets])
     rows = [(name, score - scores[0]) for name, score in zip(features, scores[1:])]
     return data.sparkSession.createDataFrame(rows, "feature string, impact double")
 

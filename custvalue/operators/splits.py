@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from custvalue.functions.nulls import named
 
-MAX_CLASSES = 1000
+MAX_CLASSES = 100
 _BUCKET_BITS = 12
 
 
@@ -25,51 +26,60 @@ def stratified_parts(
 
     Rows of a class are ranked by a seeded hash of their unique ``key``; part ``j`` ends at
     rank ``ceil(n * sum of shares up to j)``. Ranking a class in a window would put it into
-    one task. Instead rows are counted per hash bucket, only the buckets in which a part
-    ends are ranked, and the rows found there are the borders every row compares itself to.
-    A lost task repeats with the same outcome, since the hash depends on the key alone.
+    one task. Instead rows are counted per hash bucket, only the buckets in which a part ends
+    are ranked, and the rows found there are the borders every row is compared to: the result
+    is a projection of ``df``. Counts and borders on the driver are bounded by the number of
+    classes, which is checked. A repeated task gives the same parts, since the hash depends on
+    the key alone.
     """
-    rank_key = F.struct(F.xxhash64(named(key), F.lit(seed)).alias("h"), named(key).alias("k"))
-    bucket = F.shiftright(F.xxhash64(named(key), F.lit(seed)), 64 - _BUCKET_BITS)
-    rows = df.select(named(label).alias("c"), rank_key.alias("rank_key"), bucket.alias("b"))
+    hashed = F.xxhash64(named(key), F.lit(seed))
+    rank_key = F.struct(hashed.alias("h"), named(key).alias("k"))
+    rows = df.select(
+        named(label).alias("c"),
+        F.shiftright(hashed, 64 - _BUCKET_BITS).cast("int").alias("b"),
+        rank_key.alias("rank_key"),
+    )
     counts = rows.groupBy("c", "b").agg(F.count("*").alias("n"))
-    classes = counts.select("c").distinct().limit(MAX_CLASSES + 1).count()
-    if classes > MAX_CLASSES:
+    most = MAX_CLASSES * 2**_BUCKET_BITS
+    sizes: dict = {}
+    for row in counts.limit(most + 1).collect():
+        sizes.setdefault(row.c, []).append((row.b, row.n))
+    if len(sizes) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes: not a label")
 
     ends, total = [], 0.0
     for share in list(shares)[:-1]:
         total += share
         ends.append(round(total, 9))
-    in_class = Window.partitionBy("c")
-    before = F.sum("n").over(in_class.orderBy("b")) - F.col("n")
-    last_rank = [F.ceil(F.round(F.sum("n").over(in_class) * e, 6)).cast("bigint") for e in ends]
-    # At most one row per class and part: bounded by the class check above.
-    border_buckets = (
-        counts.withColumn("before", before)
-        .withColumn("ends", F.array(*last_rank))
-        .select("c", "b", "n", "before", F.posexplode("ends").alias("j", "rank"))
-        .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")))
-        .select(F.col("c").alias("bc"), F.col("b").alias("bb"), "j", "rank", "before")
-    )
-    wanted = border_buckets.groupBy("bc", "bb").agg(
-        F.first("before").alias("before"),
-        F.collect_list(F.struct("j", "rank")).alias("wanted"),
-    )
-    hash_order = Window.partitionBy("c", "b").orderBy("rank_key")
+    wanted = []
+    for c, buckets in sizes.items():
+        n, before = sum(n for _, n in buckets), 0
+        ranks = [math.ceil(round(n * end, 6)) for end in ends]
+        for b, size in sorted(buckets):
+            wanted += [(c, b, r - before) for r in ranks if before < r <= before + size]
+            before += size
+    if not wanted:
+        return df.withColumn(name, F.lit(0))
+
+    same = [(F.col("c").eqNullSafe(F.lit(c))) & (F.col("b") == b) for c, b, _ in wanted]
+    places = F.array(*[F.when(s, F.lit(place)) for s, (_, _, place) in zip(same, wanted)])
+    in_bucket = F.row_number().over(Window.partitionBy("c", "b").orderBy("rank_key"))
     borders = (
-        rows.join(F.broadcast(wanted), F.col("c").eqNullSafe(F.col("bc")) & (F.col("b") == F.col("bb")))
-        .withColumn("place", F.col("before") + F.row_number().over(hash_order))
-        .select("c", "place", "rank_key", F.explode("wanted").alias("w"))
-        .where("w.rank = place")
-        .groupBy(F.col("c").alias("__class"))
-        .agg(F.collect_list("rank_key").alias("__borders"))
-    )
-    passed = F.size(F.filter("__borders", lambda border: rank_key > border))
-    joined = df.join(F.broadcast(borders), named(label).eqNullSafe(F.col("__class")), "left")
-    return joined.withColumn(name, F.coalesce(passed, F.lit(0)).cast("int")).drop(
-        "__class", "__borders"
+        rows.withColumn("places", F.array_compact(places))
+        .where(F.size("places") > 0)
+        .withColumn("place", in_bucket)
+        .where(F.array_contains("places", F.col("place")))
+        .select("c", F.explode("places").alias("hit"), "place", "rank_key")
+        .where("hit = place")
+        .select("c", "rank_key.*")
     )
+    part = F.lit(0)
+    for border in borders.collect():
+        passed = named(label).eqNullSafe(F.lit(border.c)) & (
+            rank_key > F.struct(F.lit(border.h).alias("h"), F.lit(border.k).alias("k"))
+        )
+        part = part + F.when(passed, 1).otherwise(0)
+    return df.withColumn(name, part)
 
 
 def stratified_split(

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from custvalue.functions.nulls import named
 from custvalue.models.classifiers import logistic
@@ -35,15 +34,10 @@ class FeatureSet:
     features: list[str]
 
     def vectors(self, features: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-        """(train, test) with key, label, the constant ``one`` and a ``features`` vector."""
+        """(train, test) with key, label and a ``features`` vector."""
         chosen = self.features if features is None else list(features)
         return tuple(
-            as_vectors(
-                part.withColumns({"key": named("key"), "one": F.lit(1.0)}),
-                chosen,
-                keep=["key", "label", "one"],
-            )
-            for part in (self.train, self.test)
+            as_vectors(part, chosen, keep=["key", "label"]) for part in (self.train, self.test)
         )
 
 
@@ -84,7 +78,7 @@ class LicenseModel:
 
 
 def fit_license_model(
-    prepared: FeatureSet, c: float = FINAL_C, parallelism: int = 3, folds: int = 5
+    prepared: FeatureSet, c: float = FINAL_C, folds: int = 5
 ) -> LicenseModel:
     """Selection by absolute-value penalty, then by drop-one impact, then the final fit.
 
@@ -94,7 +88,7 @@ def fit_license_model(
     selected = select_features(train, prepared.features)
     train, _ = prepared.vectors(selected)
     data = with_folds(train, "label", "key", folds)
-    impacts = drop_one_impact(data, selected, c, parallelism)
+    impacts = drop_one_impact(data, selected, c)
     best = [row.feature for row in most_missed(impacts).collect()] or selected
     train, test = prepared.vectors(best)
     model = logistic(c).fit(train, train.count())
