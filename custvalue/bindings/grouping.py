@@ -11,6 +11,7 @@ from custvalue.operators import aggregates as A
 from custvalue.operators import joins as J
 from custvalue.operators import profile as P
 from custvalue.operators.features import mean_filled, scaled, scaling
+from custvalue.session import cut_lineage
 
 # --- first, latest, sums, counts ---------------------------------------------------------
 
@@ -297,7 +298,7 @@ def _target_sql(column: str) -> str:
 def target_by_category(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     spent = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"))
-    rows = customers.join(spent, F.col("c_custkey") == F.col("o_custkey"))
+    rows = cut_lineage(customers.join(spent, F.col("c_custkey") == F.col("o_custkey")))
     found = P.target_by_category(rows, ["c_mktsegment", "c_nationkey"], "spent")
     numbers = [F.round(c, 4).alias(c) for c in ("least", "p25", "p50", "p75", "greatest")]
     return found.select("column", "value", "n", *numbers)

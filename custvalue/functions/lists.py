@@ -15,8 +15,7 @@ def first_item(items: Column) -> Column:
 
 def distinct_items(items: Column) -> Column:
     """Each item once; empty for null."""
-    distinct = F.array_distinct(items)
-    return F.when(items.isNotNull(), distinct).otherwise(F.filter(distinct, lambda _: F.lit(False)))
+    return F.coalesce(F.array_distinct(items), F.array())
 
 
 def item_field(records: Column, field: str) -> Column:

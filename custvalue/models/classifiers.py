@@ -39,6 +39,12 @@ class Recipe:
     kind: str
     settings: dict[str, Any] = field(hash=False)
     fit: Callable[[DataFrame, int], Any] = field(hash=False, repr=False)
+    effective: dict[str, Any] | None = field(default=None, hash=False, repr=False)
+
+    @property
+    def identity(self) -> tuple[str, str]:
+        """Recipes of the same identity give the same model."""
+        return self.kind, str(sorted((self.effective or self.settings).items()))
 
     def __str__(self) -> str:
         return ", ".join(f"{k}={v}" for k, v in self.settings.items())
@@ -82,7 +88,9 @@ def _split_limits(share: float, depth: int) -> dict[str, Any]:
     """
     if share >= 1.0:
         return {"maxDepth": 1}
-    return {"maxDepth": min(depth, MAX_DEPTH), "minWeightFractionPerNode": share / 2}
+    # Each split takes at least share / 2 off the rows of a node, so no tree is deeper.
+    deepest = math.floor(2 / share)
+    return {"maxDepth": min(depth, MAX_DEPTH, deepest), "minWeightFractionPerNode": share / 2}
 
 
 def decision_tree(criterion: str, depth: int, split_share: float, feature_share: float) -> Recipe:
@@ -104,7 +112,9 @@ def decision_tree(criterion: str, depth: int, split_share: float, feature_share:
         "min_samples_split": split_share,
         "max_features": feature_share,
     }
-    return Recipe("decision_tree", settings, fit)
+    limits = _split_limits(split_share, depth)
+    same = {"criterion": criterion, "max_features": feature_share, **limits}
+    return Recipe("decision_tree", settings, fit, same)
 
 
 def random_forest(split_share: float, depth: int, trees: int = 10) -> Recipe:
@@ -116,7 +126,8 @@ def random_forest(split_share: float, depth: int, trees: int = 10) -> Recipe:
             **_split_limits(split_share, depth),
         ).fit(train)
 
-    return Recipe("random_forest", {"min_samples_split": split_share, "max_depth": depth}, fit)
+    settings = {"min_samples_split": split_share, "max_depth": depth}
+    return Recipe("random_forest", settings, fit, _split_limits(split_share, depth))
 
 
 class VotingModel:

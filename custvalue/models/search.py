@@ -81,25 +81,29 @@ def _ranked(spark, kinds: Sequence[str], settings: Sequence[str], scores: Sequen
 def search(data: DataFrame, recipes: Sequence[Recipe], parallelism: int = 3) -> DataFrame:
     """Mean weighted F1 per recipe over the ``fold`` column; place 1 is best.
 
-    Fits run side by side. ``data`` is cached: every fit reads all of it.
+    Fits run side by side, and settings that come to the same model are fitted once.
+    ``data`` is cached: every fit reads all of it.
     """
+    distinct = {recipe.identity: recipe for recipe in recipes}
     data = data.cache()
     try:
         sizes = fold_sizes(data)
         total = sum(sizes.values())
 
         def score(item):
-            i, fold = item
+            identity, fold = item
             train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
-            return f1_of(recipes[i].fit(train, total - sizes[fold]).transform(test))
+            return f1_of(distinct[identity].fit(train, total - sizes[fold]).transform(test))
 
-        work = [(i, fold) for i in range(len(recipes)) for fold in sorted(sizes)]
+        work = [(identity, fold) for identity in distinct for fold in sorted(sizes)]
         with ThreadPool(min(parallelism, len(work))) as pool:
             scores = pool.map(inheritable_thread_target(data.sparkSession)(score), work)
     finally:
         data.unpersist()
-    n = len(sizes)
-    means = [sum(scores[i * n : (i + 1) * n]) / n for i in range(len(recipes))]
+    sums = dict.fromkeys(distinct, 0.0)
+    for (identity, _), f1 in zip(work, scores):
+        sums[identity] += f1
+    means = [sums[recipe.identity] / len(sizes) for recipe in recipes]
     return _ranked(data.sparkSession, [r.kind for r in recipes], list(map(str, recipes)), means)
 
 

@@ -6,7 +6,6 @@ The profile looks at all columns in a fixed number of passes, not in one pass pe
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,23 +190,26 @@ def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def target_by_category(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Distribution of a target per known value of each column with at most 100 values.
 
-    At most 100 groups per column, so their wanted buckets are few.
+    At most 100 groups per column, so their wanted buckets are few. The table is read several
+    times: hand in a snapshot when it takes joins to make it.
     """
     columns = plottable_columns(df, columns)
+    if not columns:
+        return df.sparkSession.createDataFrame(
+            [],
+            "column string, value string, n bigint, least double, p25 double, p50 double, "
+            "p75 double, greatest double",
+        )
     values = (
         long_values(df, columns, keep=[target])
         .withColumn("target", named(target).cast("double"))
         .where(F.col("value").isNotNull() & F.col("target").isNotNull())
     )
     by = ["column", "value"]
-    ends = values.groupBy(*by).agg(F.min("target").alias("least"), F.max("target").alias("greatest"))
-    middle = exact_percentiles(values, "target", QUARTILES, by, few_groups=True)
-    return ends.join(middle, by).select(
-        *by,
-        "n",
-        "least",
-        *[F.col("percentiles")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))],
-        "greatest",
+    found = exact_percentiles(values, "target", (0.0, *QUARTILES, 1.0), by, few_groups=True)
+    names = ("least", "p25", "p50", "p75", "greatest")
+    return found.select(
+        *by, "n", *[F.col("percentiles")[i].alias(name) for i, name in enumerate(names)]
     )
 
 
@@ -239,7 +241,3 @@ def profile_report(df: DataFrame, target: str | None = None) -> dict[str, DataFr
         others = [c for c in categorical if c != target]
         parts["target_by_category"] = target_by_category(df, others, target)
     return parts
-
-
-def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

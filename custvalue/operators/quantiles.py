@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -39,8 +40,8 @@ def exact_percentiles(
     for key in keys:
         rows = rows.where(named(key).isNotNull())
     steps = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(rows.approxQuantile("__v", steps, 0.25 / buckets)))
-    splits = [float("-inf"), *cuts, float("inf")]
+    cuts = {c for c in rows.approxQuantile("__v", steps, 0.25 / buckets) if math.isfinite(c)}
+    splits = [float("-inf"), *sorted(cuts or {0.0}), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="__v", outputCol="__bucket").transform(rows)
 
     group = [named(k) for k in keys] or [F.lit(0).alias("__all")]

@@ -34,21 +34,25 @@ def ticket_hours(conversations: DataFrame) -> DataFrame:
     )
 
 
+def load_per_customer(conversations: DataFrame, test_ids: Sequence[int] = ()) -> DataFrame:
+    """(id, number_support_tickets, time_spent): count and hours in one grouping."""
+    hours = ticket_hours(conversations).where(F.col("id").isNotNull())
+    for test in test_ids:
+        hours = hours.where(differs(named("id"), test))
+    return hours.groupBy("id").agg(
+        F.count("*").alias("number_support_tickets"),
+        sum_or_zero(F.col("time_spent")).alias("time_spent"),
+    )
+
+
 def support_load(
     contacts: DataFrame, conversations: DataFrame, test_ids: Sequence[int] = ()
 ) -> DataFrame:
     """Contacts with ``number_support_tickets`` and ``time_spent`` hours.
 
-    Count and hours come out of one grouping of the tickets. Customers known only from
-    tickets get a row too; contacts without tickets hold nulls.
+    Customers known only from tickets get a row too; contacts without tickets hold nulls.
     """
-    hours = ticket_hours(conversations).where(F.col("id").isNotNull())
     contacts = contacts.withColumn("id", named("id").cast("bigint"))
     for test in test_ids:
-        hours = hours.where(differs(named("id"), test))
         contacts = contacts.where(differs(named("id"), test))
-    load = hours.groupBy("id").agg(
-        F.count("*").alias("number_support_tickets"),
-        sum_or_zero(F.col("time_spent")).alias("time_spent"),
-    )
-    return outer_join(contacts, load, "id")
+    return outer_join(contacts, load_per_customer(conversations, test_ids), "id")

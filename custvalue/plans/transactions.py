@@ -11,7 +11,12 @@ from pyspark.sql import types as T
 from custvalue.functions.nulls import differs, latest_known, named, sum_or_zero
 from custvalue.functions.text import license_names, normalized_name
 from custvalue.functions.times import parse_time
-from custvalue.operators.aggregates import any_flag, distinct_values, first_known_per_key, item_values
+from custvalue.operators.aggregates import (
+    MAX_VALUES,
+    any_flag,
+    distinct_values,
+    first_known_per_key,
+)
 from custvalue.operators.columns import prefixed
 from custvalue.operators.filters import without_ids
 from custvalue.operators.joins import left_join, suffixed_join
@@ -50,6 +55,17 @@ def paid_transactions(transactions: DataFrame, renewals: DataFrame) -> DataFrame
     return without_ids(kept, PREFIX + "Payment ID", renewals)
 
 
+def _value_lists(df: DataFrame, items: str, column: str) -> tuple[list[str], list[str]]:
+    """Distinct items of a list column and distinct values of another, in one pass."""
+    values = F.concat(
+        F.transform(named(items), lambda v: F.struct(F.lit(0).alias("kind"), v.alias("v"))),
+        F.array(F.struct(F.lit(1).alias("kind"), named(column).alias("v"))),
+    )
+    both = df.select(F.explode(values).alias("value")).where("value.v IS NOT NULL")
+    found = distinct_values(both, F.col("value"), 2 * MAX_VALUES)
+    return [v for kind, v in found if kind == 0], [v for kind, v in found if kind == 1]
+
+
 def customer_purchases(
     transactions: DataFrame,
     renewals: DataFrame,
@@ -69,8 +85,10 @@ def customer_purchases(
     )
     if isinstance(paid.schema[date].dataType, T.StringType):
         paid = paid.withColumn(date, parse_time(named(date)))
-    licenses = item_values(paid, "__licenses") if licenses is None else list(licenses)
-    methods = distinct_values(paid, named(method)) if methods is None else list(methods)
+    if licenses is None or methods is None:
+        found_licenses, found_methods = _value_lists(paid, "__licenses", method)
+        licenses = found_licenses if licenses is None else licenses
+        methods = found_methods if methods is None else methods
 
     latest = F.struct(named(date), named(PREFIX + "Payment ID"))
     used = differs(named(PREFIX + "Discount Code"), NO_CODE)
