@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from custvalue.functions.nulls import named, nan_to_null, null_tokens
 
-_OVERFLOW = "__overflow"
+_SURPLUS, _RAW = "__surplus", "__raw"
 
 
 def _as_schema(schema: T.StructType | str) -> T.StructType:
@@ -54,15 +54,20 @@ def read_csv(
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     if not skip_long_rows:
         return _typed(spark.read.options(**options).schema(text).csv(path), schema, null_values)
-    # One column more than the file has: only a row that is too long fills it. A null value
-    # that no file holds keeps an empty surplus field apart from a missing one.
-    wide = T.StructType([*text.fields, T.StructField(_OVERFLOW, T.StringType())])
+    # Read with one column more than the file has: then a row of the right width or shorter is
+    # kept as raw text too, and a row that fills the surplus column is not. In the raw text
+    # the separators outside quotes tell the width.
+    wide = T.StructType(
+        [*text.fields, T.StructField(_SURPLUS, T.StringType()), T.StructField(_RAW, T.StringType())]
+    )
     rows = (
-        spark.read.options(**options, nullValue="\u0000", enforceSchema=True, mode="PERMISSIVE")
+        spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=_RAW)
         .schema(wide)
         .csv(path)
     )
-    return _typed(rows.where(named(_OVERFLOW).isNull()), schema, null_values)
+    separators = F.regexp_count(F.regexp_replace(named(_RAW), '"([^"]|"")*"', ""), F.lit(","))
+    fits = named(_SURPLUS).isNull() & named(_RAW).isNotNull() & (separators < len(schema))
+    return _typed(rows.where(fits), schema, null_values)
 
 
 def union_all_by_name(frames: Iterable[DataFrame]) -> DataFrame:

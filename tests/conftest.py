@@ -14,7 +14,8 @@ def spark(tmp_path_factory):
         "tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
+            "spark.default.parallelism": "2",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
