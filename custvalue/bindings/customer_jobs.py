@@ -209,6 +209,7 @@ def transactions_enriched(spark, sf):
 
 
 _LICENSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+_METHODS = ["1-URGENT", "2-HIGH", "Manual Purchases"]
 _PAID_SQL = f"""{S.PAYMENTS_SQL}, {S.RENEWALS_SQL}, paid AS (
   SELECT * FROM payments WHERE status = 'complete' AND method IS DISTINCT FROM 'Test Payment'
   AND payment_id NOT IN (SELECT payment_id FROM renewals))"""
@@ -226,9 +227,10 @@ _PURCHASES_SQL = (
 )
 
 
-def _purchases(spark, sf):
+def _purchases(spark, sf, licenses=None, methods=None):
     payments = transactions.prefixed(S.payments(spark, sf), transactions.PREFIX)
-    return transactions.customer_purchases(payments, renewal_ids(S.meta_rows(spark, sf)))
+    renewals = renewal_ids(S.meta_rows(spark, sf))
+    return transactions.customer_purchases(payments, renewals, licenses, methods)
 
 
 @query(f"WITH {_PAID_SQL} {_PURCHASES_SQL}")
@@ -292,7 +294,7 @@ def customer_table(spark, sf):
     )
     joined = customer_plan.join_sources(
         sources.clean_revenue(S.revenue(spark, sf)),
-        _purchases(spark, sf),
+        _purchases(spark, sf, _LICENSES, _METHODS),
         by_email=[
             (
                 sources.clean_contacts(contacts, segments=_KINDS),

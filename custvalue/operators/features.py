@@ -30,6 +30,14 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | Non
     return dict(zip(columns, row))
 
 
+def column_spreads(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Sample deviations of the known values of all columns in one pass."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.stddev_samp(named(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
+    return dict(zip(columns, row))
+
+
 def _filled(column: str, mean: float | None) -> Column:
     number = named(column).cast("double")
     return number if mean is None else F.coalesce(number, F.lit(mean))
@@ -107,13 +115,14 @@ def predict_missing(
     A prediction is a sum over the nonzero coefficients: a projection, no shuffle.
     """
     means = column_means(train, features)
+    spreads = column_spreads(train, targets)
     in_train, in_test = null_counts(train, targets), null_counts(test, targets)
     todo = [c for c in targets if in_train[c] or in_test[c]]
     for done, column in enumerate(todo, start=1):
         others = [c for c in features if c != column and means[c] is not None]
         known = train.where(named(column).isNotNull())
         label = named(column).cast("double")
-        spread = known.agg(F.stddev_samp(label)).first()[0]
+        spread = spreads[column]
         if means[column] is None:
             continue
         guess = F.lit(means[column])

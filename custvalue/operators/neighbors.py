@@ -17,6 +17,8 @@ from custvalue.operators.splits import stratified_parts
 
 _MAX_PIVOTS = 512
 _BLOCK_ROWS = 512
+_POINTS_PER_PIVOT = 256
+_CELLS_AT_ONCE = 4_000_000
 _SLACK = 1e-9
 
 # The array helpers travel with the job, so executors need no copy of this package.
@@ -25,10 +27,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def _distances(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Euclidean distances by plain differences, so equal vectors give equal distances."""
-    out = np.empty((len(rows), len(others)))
-    for i, row in enumerate(rows):
-        out[i] = np.sqrt(((others - row) ** 2).sum(axis=1))
-    return out
+    step = max(1, _CELLS_AT_ONCE // max(1, others.size))
+    parts = [
+        ((rows[i : i + step, None, :] - others[None, :, :]) ** 2).sum(axis=2)
+        for i in range(0, len(rows), step)
+    ]
+    return np.sqrt(np.concatenate(parts))
 
 
 def nearest(
@@ -58,7 +62,7 @@ def nearest(
         return queries.sparkSession.createDataFrame(
             [], "query bigint, neighbor bigint, distance double, place int"
         )
-    n_pivots = max(1, min(_MAX_PIVOTS, math.isqrt(n_points)))
+    n_pivots = max(1, min(_MAX_PIVOTS, n_points // _POINTS_PER_PIVOT))
     picked = points.orderBy(F.xxhash64("key"), "key").limit(n_pivots).collect()
     pivots = np.array([row.vector for row in picked])
 
@@ -82,6 +86,9 @@ def nearest(
     )
     packs = max(1, math.ceil(n_queries / _BLOCK_ROWS))
     enough = k + 1 if other_than_self else k
+    # A pair of blocks is few bytes and much arithmetic: keep adaptive execution from putting
+    # many pairs into one task.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     @F.pandas_udf("array<int>")
     def first_clusters(vectors: pd.Series) -> pd.Series:
@@ -105,7 +112,9 @@ def nearest(
             .withColumn(
                 "block", F.explode(F.sequence(F.lit(0), blocks_of[F.col("cluster")] - 1))
             )
-            .groupBy("cluster", "block", F.pmod(F.xxhash64("key"), F.lit(packs)).alias("pack"))
+            .withColumn("pack", F.pmod(F.xxhash64("key"), F.lit(packs)))
+            .repartition(tasks, "cluster", "block", "pack")
+            .groupBy("cluster", "block", "pack")
             .agg(F.collect_list(F.struct("key", "vector")).alias("queries"))
         )
 
@@ -135,25 +144,23 @@ def _best(mine, theirs, k: int, other_than_self: bool) -> pd.DataFrame:
     """The k nearest points of one block for each query of one pack."""
     query_keys = np.array([q["key"] for q in mine])
     point_keys = np.array([p["key"] for p in theirs])
-    distances = _distances(
-        np.stack([q["vector"] for q in mine]), np.stack([p["vector"] for p in theirs])
-    )
-    query, neighbor, distance = [], [], []
-    for i, row in enumerate(distances):
-        order = np.lexsort((point_keys, row))
-        if other_than_self:
-            order = order[point_keys[order] != query_keys[i]]
-        order = order[:k]
-        query.append(np.full(len(order), query_keys[i]))
-        neighbor.append(point_keys[order])
-        distance.append(row[order])
-    return pd.DataFrame(
+    by_key = np.argsort(point_keys)
+    point_keys = point_keys[by_key]
+    points = np.stack([p["vector"] for p in theirs])[by_key]
+    distances = _distances(np.stack([q["vector"] for q in mine]), points)
+    if other_than_self:
+        distances[query_keys[:, None] == point_keys[None, :]] = np.inf
+    # Points are in key order, and a stable sort keeps it among equal distances.
+    order = np.argsort(distances, axis=1, kind="stable")[:, :k]
+    best = np.take_along_axis(distances, order, axis=1).ravel()
+    found = pd.DataFrame(
         {
-            "query": np.concatenate(query),
-            "neighbor": np.concatenate(neighbor),
-            "distance": np.concatenate(distance),
+            "query": np.repeat(query_keys, order.shape[1]),
+            "neighbor": point_keys[order].ravel(),
+            "distance": best,
         }
     )
+    return found[np.isfinite(best)]
 
 
 def knn_votes(neighbors: DataFrame, labels: DataFrame, key: str, label: str, k: int) -> DataFrame:

@@ -22,6 +22,8 @@ FEW_DISTINCT = 10
 MAX_PLOTTED_DISTINCT = 100
 QUARTILES = (0.25, 0.5, 0.75)
 
+_GLANCE_ROWS = 1000
+
 _NUMERIC = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.ShortType, T.ByteType)
 
 
@@ -68,21 +70,41 @@ def null_share(df: DataFrame) -> DataFrame:
     return _melted(df.agg(*cells), df.columns, ["null_share"])
 
 
+def seen_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct known values among some rows: a lower bound for the whole table.
+
+    A column that already shows too many values there needs no pass over all rows, so the
+    passes that follow read only the columns still in question.
+    """
+    if not columns:
+        return {}
+    some = df.select(*map(named, columns)).limit(_GLANCE_ROWS)
+    cells = [F.size(F.collect_set(named(c))).alias(str(i)) for i, c in enumerate(columns)]
+    return dict(zip(columns, some.agg(*cells).first()))
+
+
 def constant_columns(df: DataFrame) -> DataFrame:
     """Columns with one value, or with one value and null.
 
-    Least equals greatest: one pass, no distinct count needed.
+    Least equals greatest over all rows, asked only of columns that show a single value at a
+    glance: one pass over few columns and no distinct count.
     """
+    seen = seen_distinct(df, df.columns)
+    columns = [c for c in df.columns if seen[c] <= 1]
+    if not columns:
+        return df.sparkSession.createDataFrame(
+            [], "column string, value string, has_null boolean"
+        )
     cells = []
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(columns):
         cells += [
-            F.min(text_of(c)).alias(f"{i}_least"),
-            F.max(text_of(c)).alias(f"{i}_greatest"),
+            F.min(named(c)).cast("string").alias(f"{i}_least"),
+            F.max(named(c)).eqNullSafe(F.min(named(c))).alias(f"{i}_constant"),
             F.max(named(c).isNull()).alias(f"{i}_has_null"),
         ]
-    found = _melted(df.agg(*cells), df.columns, ["least", "greatest", "has_null"])
-    constant = F.col("least").isNull() | (F.col("least") == F.col("greatest"))
-    return found.where(constant & F.col("has_null").isNotNull()).select(
+    fields = ["least", "constant", "has_null"]
+    found = _melted(df.agg(*cells), columns, fields)
+    return found.where(F.col("constant") & F.col("has_null").isNotNull()).select(
         "column", F.col("least").alias("value"), "has_null"
     )
 
@@ -125,8 +147,9 @@ def near_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
 
 def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int]:
     """Exact distinct counts, null being a value, of the columns with at most ``limit``."""
-    near = near_distinct(df, columns)
-    close = [c for c in columns if near[c] <= 1.5 * limit + 2]
+    seen = seen_distinct(df, columns)
+    near = near_distinct(df, [c for c in columns if seen[c] <= limit])
+    close = [c for c in near if near[c] <= 1.5 * limit + 2]
     if not close:
         return {}
     row = df.agg(*[count_with_null(named(c)).alias(str(i)) for i, c in enumerate(close)]).first()

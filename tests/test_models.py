@@ -30,7 +30,7 @@ def labelled(rows, n=300, width=4, seed=0):
     y = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(0, 1, n) > 0.3).astype(int)
     data = [(i, int(t), Vectors.dense(v)) for i, (v, t) in enumerate(zip(x, y))]
     df = rows([(i, t, v) for i, t, v in data], ["key", "label", "features"])
-    return df.withColumn("label", F.col("label").cast("int")), x, y
+    return df.withColumn("label", F.col("label").cast("int")).coalesce(1).cache(), x, y
 
 
 def newton(x, y, c):

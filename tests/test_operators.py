@@ -215,7 +215,7 @@ def test_tiny_classes_and_too_many_classes(rows):
 # --- neighbours --------------------------------------------------------------------------
 
 
-def crowded(rng, n=700, width=4):
+def crowded(rng, n=1300, width=4):
     """Points of which a third are copies of one point, around a few centres."""
     centres = rng.normal(0, 10, (5, width))
     points = centres[rng.integers(0, 5, n)] + rng.normal(0, 1, (n, width))
