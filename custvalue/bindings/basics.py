@@ -159,7 +159,10 @@ def exclude_free_manual(spark, sf):
     return R.without_free_manual(customers, "revenue", "manual")
 
 
-@query("SELECT event_id, value AS latitude FROM events WHERE event_type IN ('click', 'purchase')")
+@query(
+    "SELECT event_id, value AS latitude FROM events WHERE event_type IN ('click', 'purchase') "
+    "AND value <> 0"
+)
 def valid_points(spark, sf):
     kind = F.col("event_type")
     latitude = (
@@ -199,7 +202,8 @@ def left_join(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey")
     orders = table(spark, sf, "orders").where("o_orderstatus = 'F' AND o_totalprice > 400000")
     orders = orders.select("o_orderkey", "o_custkey", "o_totalprice")
-    return J.left_join(customers, orders, "c_custkey", "o_custkey").drop("o_custkey")
+    # One customer may hold a third of all orders.
+    return J.left_join_hot_right(customers, orders, "c_custkey", "o_custkey").drop("o_custkey")
 
 
 @query(

@@ -11,7 +11,7 @@ from custvalue.functions.nulls import named
 from custvalue.operators.aggregates import first_known_per_key
 from custvalue.operators.columns import recast, renamed, without
 from custvalue.operators.filters import without_free_manual, without_ids, without_listed
-from custvalue.operators.joins import left_join
+from custvalue.operators.joins import left_join, outer_join
 
 # What a day with an open ticket costs, and hours per day.
 LOSS_PER_DAY = 10.0
@@ -33,17 +33,27 @@ def join_sources(
     as joining everything and then taking first known values per e-mail, without the
     multiplied rows in between. Joins are grouped by key: id, then e-mail (the grouping by
     e-mail already put the rows where these joins need them), then domain. The left side is
-    shuffled three times however many sources there are. A shared mail domain is a hot key
-    on the left only, which adaptive execution splits; blank domains match nothing.
+    shuffled three times however many sources there are. A shared mail domain is a hot key on
+    the left: the domain sources are put together first, so that a single join meets it, which
+    adaptive execution can split as nothing after it needs the rows by domain. Blank domains
+    match nothing.
     """
     purchases = first_known_per_key(purchases, "edd:customer_id", ["edd:date", "edd:email"])
     customers = left_join(revenue, purchases, "revenue:id", "edd:customer_id")
     customers = first_known_per_key(customers, EMAIL, ["revenue:id"])
-    for sources, key in ((by_email, EMAIL), (by_domain, DOMAIN)):
-        for table, column, order in sources:
-            reduced = first_known_per_key(table, column, order)
-            customers = left_join(customers, reduced, key, column, skip_blank=True)
-    return customers
+    for table, column, order in by_email:
+        reduced = first_known_per_key(table, column, order)
+        customers = left_join(customers, reduced, EMAIL, column, skip_blank=True)
+    domains = None
+    for table, column, order in by_domain:
+        reduced = first_known_per_key(table, column, order).withColumn("__domain", named(column))
+        domains = reduced if domains is None else outer_join(domains, reduced, "__domain")
+    if domains is None:
+        return customers
+    joined = left_join(
+        customers, domains, DOMAIN, "__domain", skip_blank=True, hot_keys=True
+    )
+    return joined.drop("__domain")
 
 
 def with_adjusted_revenue(
