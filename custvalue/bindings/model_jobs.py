@@ -50,7 +50,7 @@ def stratified_split(spark, sf):
 )
 def knn_vote(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    near = nearest(vectors, vectors, 5, "vec_id", "embedding", other_than_self=True)
+    near = nearest(vectors, vectors, 5, "vec_id", "embedding", apart="vec_id")
     return knn_votes(near, vectors, "vec_id", "label", 5)
 
 

@@ -84,8 +84,8 @@ def _sums(rows: DataFrame, fits: Sequence[Fit], weights: np.ndarray) -> np.ndarr
         .agg(F.sum("value").alias("value"))
     )
     out = np.zeros((len(fits), width))
-    for row in summed.collect():
-        out[row.fit, row.place] = row.value
+    table = summed.toArrow()
+    out[table["fit"].to_numpy(), table["place"].to_numpy()] = table["value"].to_numpy()
     return out
 
 

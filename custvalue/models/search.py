@@ -23,7 +23,6 @@ from custvalue.models.classifiers import (
 from custvalue.models.logistic_many import cross_validated
 from custvalue.models.metrics import weighted_metrics
 from custvalue.operators.neighbors import nearest
-from custvalue.sources.csv import union_all_by_name
 
 FOLDS = 5
 
@@ -118,35 +117,31 @@ def search_logistic(data: DataFrame, strengths: Sequence[float] = LOGISTIC_GRID)
 def search_neighbors(data: DataFrame, counts: Sequence[int] = NEIGHBOR_GRID) -> DataFrame:
     """Mean weighted F1 of the nearest-neighbour vote per neighbour count.
 
-    Neighbours are found once per fold, for the largest count; smaller counts use the first
-    of them. All votes of all folds are scored together.
+    Neighbours are found once, for the largest count and among the rows of other folds;
+    smaller counts use the first of them. All votes of all folds are scored together.
     """
     rows = data.select("key", "label", "fold", vector_to_array("features").alias("vector")).cache()
-    votes = []
     try:
-        folds = sorted(fold_sizes(rows))
-        for fold in folds:
-            train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-            near = nearest(test, train, max(counts), "key", "vector")
-            labels = train.select(F.col("key").alias("neighbor"), F.col("label").alias("vote"))
-            tallied = near.join(labels, "neighbor").groupBy("query").agg(
-                *[
-                    F.count_if((F.col("place") <= k) & (F.col("vote") == 1)).alias(f"n{k}")
-                    for k in counts
-                ]
-            )
-            actual = test.select(F.col("key").alias("query"), "label")
-            # More than half the votes: a tie goes to label 0.
-            guesses = [
-                F.struct(F.lit(k).alias("k"), (2 * F.col(f"n{k}") > k).cast("int").alias("prediction"))
+        near = nearest(rows, rows, max(counts), "key", "vector", apart="fold")
+        labels = rows.select(F.col("key").alias("neighbor"), F.col("label").alias("vote"))
+        tallied = near.join(labels, "neighbor").groupBy("query").agg(
+            *[
+                F.count_if((F.col("place") <= k) & (F.col("vote") == 1)).alias(f"n{k}")
                 for k in counts
             ]
-            votes.append(
-                tallied.join(actual, "query").select(
-                    F.lit(fold).alias("fold"), "label", F.explode(F.array(*guesses)).alias("g")
-                ).select("fold", "label", "g.*")
-            )
-        scores = weighted_metrics(union_all_by_name(votes), by=["fold", "k"])
+        )
+        # More than half the votes: a tie goes to label 0.
+        guesses = [
+            F.struct(F.lit(k).alias("k"), (2 * F.col(f"n{k}") > k).cast("int").alias("prediction"))
+            for k in counts
+        ]
+        actual = rows.select(F.col("key").alias("query"), "label", "fold")
+        votes = tallied.join(actual, "query").select(
+            "fold", "label", F.explode(F.array(*guesses)).alias("g")
+        )
+        scores = weighted_metrics(
+            votes.select("fold", "label", "g.*"), by=["fold", "k"]
+        )
         means = {r.k: r.f1 for r in scores.groupBy("k").agg(F.avg("f1").alias("f1")).collect()}
     finally:
         rows.unpersist()

@@ -41,12 +41,14 @@ def nearest(
     k: int,
     key: str,
     vector: str,
-    other_than_self: bool = False,
+    apart: str | None = None,
 ) -> DataFrame:
     """(query, neighbor, distance, place): the ``k`` nearest points of each query row.
 
     Both tables have a unique integer ``key`` and a ``vector`` as an array of numbers; equal
-    distances rank by key. ``other_than_self`` leaves out the point with the query's key.
+    distances rank by key. Points that share the query's value of the integer column
+    ``apart`` are left out: with the key, a row is no neighbour of itself; with a fold number,
+    rows find neighbours in the other folds only.
 
     Points are grouped around a bounded number of pivot points and packed into blocks of
     bounded size, so a crowded spot becomes many blocks. A first look into the blocks around
@@ -54,9 +56,12 @@ def nearest(
     point (by the triangle inequality) are searched. Query packs meet point blocks by an
     equi-join, and a pair of blocks gives at most ``k`` rows per query, never its pairs.
     """
-    as_doubles = named(vector).cast("array<double>").alias("vector")
-    points = points.select(named(key).cast("bigint").alias("key"), as_doubles)
-    queries = queries.select(named(key).cast("bigint").alias("key"), as_doubles)
+    columns = [
+        named(key).cast("bigint").alias("key"),
+        (F.lit(None) if apart is None else named(apart)).cast("bigint").alias("apart"),
+        named(vector).cast("array<double>").alias("vector"),
+    ]
+    points, queries = points.select(*columns), queries.select(*columns)
     n_points, n_queries = points.count(), queries.count()
     if not n_points or not n_queries:
         return queries.sparkSession.createDataFrame(
@@ -72,7 +77,9 @@ def nearest(
         cluster = distances.argmin(axis=1)
         return pd.DataFrame({"cluster": cluster.astype("int32"), "reach": distances.min(axis=1)})
 
-    grouped = points.withColumn("p", nearest_pivot("vector")).select("key", "vector", "p.*")
+    grouped = points.withColumn("p", nearest_pivot("vector")).select(
+        "key", "apart", "vector", "p.*"
+    )
     # One row per pivot: bounded.
     stats = grouped.groupBy("cluster").agg(F.max("reach").alias("reach"), F.count("*").alias("n"))
     reach, sizes = np.full(n_pivots, -np.inf), np.zeros(n_pivots, dtype="int64")
@@ -82,10 +89,11 @@ def nearest(
     blocks_of = F.array(*map(F.lit, n_blocks))
     block = F.pmod(F.xxhash64("key"), blocks_of[F.col("cluster")]).cast("int")
     blocks = grouped.groupBy("cluster", block.alias("block")).agg(
-        F.collect_list(F.struct("key", "vector")).alias("points")
+        F.collect_list(F.struct("key", "apart", "vector")).alias("points")
     )
     packs = max(1, math.ceil(n_queries / _BLOCK_ROWS))
-    enough = k + 1 if other_than_self else k
+    # The first look only has to find some k points: some of those met may be left out.
+    enough = k if apart is None else 2 * k
     # A pair of blocks is few bytes and much arithmetic: keep adaptive execution from putting
     # many pairs into one task.
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -108,20 +116,20 @@ def nearest(
 
     def search(with_clusters: DataFrame) -> DataFrame:
         sought = (
-            with_clusters.select("key", "vector", F.explode("clusters").alias("cluster"))
+            with_clusters.select("key", "apart", "vector", F.explode("clusters").alias("cluster"))
             .withColumn(
                 "block", F.explode(F.sequence(F.lit(0), blocks_of[F.col("cluster")] - 1))
             )
             .withColumn("pack", F.pmod(F.xxhash64("key"), F.lit(packs)))
             .repartition(tasks, "cluster", "block", "pack")
             .groupBy("cluster", "block", "pack")
-            .agg(F.collect_list(F.struct("key", "vector")).alias("queries"))
+            .agg(F.collect_list(F.struct("key", "apart", "vector")).alias("queries"))
         )
 
         def best_of_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for mine, theirs in zip(batch["queries"], batch["points"]):
-                    yield _best(mine, theirs, k, other_than_self)
+                    yield _best(mine, theirs, k, apart is not None)
 
         pairs = sought.join(blocks, ["cluster", "block"]).select("queries", "points")
         best = pairs.mapInPandas(best_of_pairs, "query bigint, neighbor bigint, distance double")
@@ -135,12 +143,12 @@ def nearest(
     # A query that met fewer than k points (the table is that small) searches everything.
     limit = F.when(F.col("n") >= k, F.col("distance")).otherwise(F.lit(float("inf")))
     bounded = queries.join(limits, "key", "left").select(
-        "key", "vector", F.coalesce(limit, F.lit(float("inf"))).alias("limit")
+        "key", "apart", "vector", F.coalesce(limit, F.lit(float("inf"))).alias("limit")
     )
     return search(bounded.withColumn("clusters", near_clusters("vector", "limit")))
 
 
-def _best(mine, theirs, k: int, other_than_self: bool) -> pd.DataFrame:
+def _best(mine, theirs, k: int, apart: bool) -> pd.DataFrame:
     """The k nearest points of one block for each query of one pack."""
     query_keys = np.array([q["key"] for q in mine])
     point_keys = np.array([p["key"] for p in theirs])
@@ -148,8 +156,10 @@ def _best(mine, theirs, k: int, other_than_self: bool) -> pd.DataFrame:
     point_keys = point_keys[by_key]
     points = np.stack([p["vector"] for p in theirs])[by_key]
     distances = _distances(np.stack([q["vector"] for q in mine]), points)
-    if other_than_self:
-        distances[query_keys[:, None] == point_keys[None, :]] = np.inf
+    if apart:
+        query_groups = np.array([q["apart"] for q in mine])
+        point_groups = np.array([p["apart"] for p in theirs])[by_key]
+        distances[query_groups[:, None] == point_groups[None, :]] = np.inf
     # Points are in key order, and a stable sort keeps it among equal distances.
     order = np.argsort(distances, axis=1, kind="stable")[:, :k]
     best = np.take_along_axis(distances, order, axis=1).ravel()
@@ -211,7 +221,7 @@ def over_sample(
             "way", F.pmod(F.xxhash64("copy", "query", F.lit(seed + 1)), F.lit(2**53)) / F.lit(2.0**53)
         )
     )
-    neighbors = nearest(minority, minority, k, key, vector, other_than_self=True)
+    neighbors = nearest(minority, minority, k, key, vector, apart=key)
     theirs = minority.select(named(key).alias("neighbor"), named(vector).alias("theirs"))
     between = F.zip_with("mine", "theirs", lambda a, b: a + (b - a) * F.col("way"))
     made = (
