@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from custvalue.bindings import standins as S
 from custvalue.bindings.registry import query, safe_names, table
 from custvalue.functions.nulls import named, sum_or_zero
-from custvalue.operators.aggregates import label_rates
+from custvalue.operators.aggregates import MAX_VALUES, distinct_values, label_rates
 from custvalue.operators.filters import renewal_ids
 from custvalue.operators.quantiles import exact_percentiles
 from custvalue.plans import customers as customer_plan
@@ -296,16 +296,8 @@ def customer_table(spark, sf):
         sources.clean_revenue(S.revenue(spark, sf)),
         _purchases(spark, sf, _LICENSES, _METHODS),
         by_email=[
-            (
-                sources.clean_contacts(contacts, segments=_KINDS),
-                "intercom:email",
-                ["intercom:first_seen_(mdt)"],
-            ),
-            (
-                sources.clean_subscribers(subscribers, campaigns=[]),
-                "drip:email",
-                ["drip:last"],
-            ),
+            (sources.clean_contacts(contacts, segments=_KINDS), "intercom:email", None),
+            (sources.clean_subscribers(subscribers, campaigns=[]), "drip:email", None),
             (sources.clean_crm_contacts(people), "hubcust:email", ["hubcust:original_source"]),
             (sources.clean_support(emails), "helpscout:emails", ["helpscout:id"]),
         ],
@@ -377,7 +369,10 @@ def customer_360(spark, sf):
 def median_revenue_by_license(spark, sf):
     # The percentiles read their input several times: keep the joins behind it from repeating.
     customers = cut_lineage(S.customer_licenses(spark, sf))
-    found = exact_percentiles(customers, "revenue", [0.5], ["license"])
+    licenses = distinct_values(customers, F.col("license"))
+    found = exact_percentiles(
+        customers, "revenue", [0.5], ["license"], few_groups=len(licenses) <= MAX_VALUES
+    )
     return found.select(
         "license", "n", F.round(F.col("percentiles")[0], 3).alias("median_revenue")
     )

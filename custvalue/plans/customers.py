@@ -20,16 +20,20 @@ HOURS_PER_DAY = 24.0
 EMAIL, DOMAIN = "revenue:email", "revenue:domain"
 
 
+def _reduced(table: DataFrame, key: str, order: Sequence[str] | None) -> DataFrame:
+    return table if order is None else first_known_per_key(table, key, order)
+
+
 def join_sources(
     revenue: DataFrame,
     purchases: DataFrame,
-    by_email: Sequence[tuple[DataFrame, str, Sequence[str]]] = (),
-    by_domain: Sequence[tuple[DataFrame, str, Sequence[str]]] = (),
+    by_email: Sequence[tuple[DataFrame, str, Sequence[str] | None]] = (),
+    by_domain: Sequence[tuple[DataFrame, str, Sequence[str] | None]] = (),
 ) -> DataFrame:
     """One row per e-mail of ``revenue`` with every source's columns.
 
     A source is (table, key column, order). Each is cut down to one row per key, first known
-    values by its order, before it is joined, so no join can multiply rows; that is the same
+    values by its order (None: it has one row per key already), before it is joined, so no join can multiply rows; that is the same
     as joining everything and then taking first known values per e-mail, without the
     multiplied rows in between. Joins are grouped by key: id, then e-mail (the grouping by
     e-mail already put the rows where these joins need them), then domain. The left side is
@@ -42,11 +46,11 @@ def join_sources(
     customers = left_join(revenue, purchases, "revenue:id", "edd:customer_id")
     customers = first_known_per_key(customers, EMAIL, ["revenue:id"])
     for table, column, order in by_email:
-        reduced = first_known_per_key(table, column, order)
+        reduced = _reduced(table, column, order)
         customers = left_join(customers, reduced, EMAIL, column, skip_blank=True)
     domains = None
     for table, column, order in by_domain:
-        reduced = first_known_per_key(table, column, order).withColumn("__domain", named(column))
+        reduced = _reduced(table, column, order).withColumn("__domain", named(column))
         domains = reduced if domains is None else outer_join(domains, reduced, "__domain")
     if domains is None:
         return customers

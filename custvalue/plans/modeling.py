@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from custvalue.functions.nulls import named
 from custvalue.models.classifiers import logistic
@@ -51,10 +52,14 @@ def prepare_features(
 ) -> FeatureSet:
     """Indicator columns, useless columns out, stratified split, unknown numbers filled.
 
+    ``drop`` names columns of the table or of its indicators. List cells are no features:
+    their indicator columns are.
     The table is written to the checkpoint folder once it has its final columns, since the
     split and every small regression read it again.
     """
-    labelled = with_label(customers.withColumnRenamed(key, "key"), target)
+    lists = [f.name for f in customers.schema if isinstance(f.dataType, T.ArrayType)]
+    plain = customers.drop(*lists, *[c for c in drop if c not in (key, target)])
+    labelled = with_label(plain.withColumnRenamed(key, "key"), target)
     inputs = labelled.drop("key", "label")
     _, categorical = split_kinds(inputs)
     wide = without_useless_names(dummies(labelled, categorical, max_values)).drop(*drop)
