@@ -159,7 +159,7 @@ def site_survey(spark, sf):
 def _analytics(spark, sf):
     """Three analytics tables by order: two sets of dimensions and one of metrics."""
     lines = table(spark, sf, "lineitem")
-    order = F.col("l_orderkey").cast("string").alias("ga:transactionId")
+    order = F.col("l_orderkey").alias("ga:transactionId")
     known_flag = F.nullif("l_returnflag", F.lit("N"))
     first = lines.select(
         order,

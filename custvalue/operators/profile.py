@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custvalue.functions.nulls import count_with_null, named
+from custvalue.functions.nulls import named
 from custvalue.operators.quantiles import exact_percentiles
 
 # The limits and names the profile goes by.
@@ -152,8 +152,13 @@ def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[st
     close = [c for c in near if near[c] <= 1.5 * limit + 2]
     if not close:
         return {}
-    row = df.agg(*[count_with_null(named(c)).alias(str(i)) for i, c in enumerate(close)]).first()
-    return {c: n for c, n in zip(close, row) if n <= limit}
+    # The columns left hold few values, so their sets are small and need no shuffle per column.
+    cells = [
+        (F.size(F.collect_set(named(c))) + F.coalesce(F.max(named(c).isNull().cast("int")), F.lit(0)))
+        .alias(str(i))
+        for i, c in enumerate(close)
+    ]
+    return {c: n for c, n in zip(close, df.agg(*cells).first()) if n <= limit}
 
 
 def split_kinds(df: DataFrame) -> tuple[list[str], list[str]]:

@@ -44,8 +44,10 @@ def enrich_transactions(
     payment_id = PREFIX + "Payment ID"
     payments = prefixed(payments, PREFIX)
     wanted = payments.schema[payment_id].dataType
-    keyed = together.withColumn(ANALYTICS_ID, named(ANALYTICS_ID).cast("string").try_cast(wanted))
-    return left_join(payments, keyed, payment_id, ANALYTICS_ID)
+    if together.schema[ANALYTICS_ID].dataType != wanted:
+        as_id = named(ANALYTICS_ID).cast("string").try_cast(wanted)
+        together = together.withColumn(ANALYTICS_ID, as_id)
+    return left_join(payments, together, payment_id, ANALYTICS_ID)
 
 
 def paid_transactions(transactions: DataFrame, renewals: DataFrame) -> DataFrame:
