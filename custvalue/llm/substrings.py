@@ -35,13 +35,14 @@ from custvalue.llm.shared import NO_ID, named, saved, text_parts
 
 WINDOW = 20
 GROUP_BYTES = 4 << 20  # text bytes whose suffixes make one group
-SAMPLE_BYTES = 8 << 20  # text bytes, about, that are looked at for crowded prefixes
+SAMPLE_BYTES = 2 << 20  # text bytes, about, that are looked at for crowded prefixes
 _LEVELS = (1, 2, 4, 8, 16)
 
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
     """Integers as planes of bytes: their many zero bytes then compress to nothing."""
-    return values.astype(kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    size = np.dtype(kind).itemsize
+    return values.astype(kind).view(np.uint8).reshape(-1, size).T.tobytes()
 
 
 def _unplaned(data: bytes, kind: str) -> np.ndarray:
