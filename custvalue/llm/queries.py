@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from custvalue.bindings.registry import query, table
-from custvalue.llm import rules, substrings
+from custvalue.llm import jaccard, langid, mixing, packing, rules, substrings
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -85,3 +85,42 @@ def op9_quality_rules(spark, sf):
         (~rules.kept(rules.BASE)).alias("base_failed"),
         rules.kept(rules.CURRENT).alias("kept"),
     )
+
+
+# The vocabulary file and its place are the installed package's matter; ids come from it alone.
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op1_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = F.coalesce(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)
+    )
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).withColumn("held_out", held_out)
+
+
+@query()
+def op2_source_mix(spark, sf):
+    copies = mixing.schedule(table(spark, sf, "documents"))
+    return copies.groupBy("row").agg(
+        F.first("id").alias("doc_id"),
+        F.first("size").alias("size"),
+        F.first("source_size").alias("source_size"),
+        F.first("target").alias("target"),
+        F.sum("words").alias("taken"),
+    ).drop("row")
+
+
+@query()
+def op8_best_fit_packing(spark, sf):
+    return packing.packed(packing.pieces(table(spark, sf, "documents"), _vocabulary()))
+
+
+@query()
+def op10_jaccard_join(spark, sf):
+    return jaccard.similar_groups(table(spark, sf, "documents"))
