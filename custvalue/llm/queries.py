@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from custvalue.bindings.registry import query, table
-from custvalue.llm import jaccard, langid, mixing, packing, rules, substrings
+from custvalue.llm import (
+    cotraining,
+    hosts,
+    impact,
+    jaccard,
+    langid,
+    mixing,
+    packing,
+    rules,
+    substrings,
+    warc,
+)
+from custvalue.llm.shared import shared_folder
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -88,7 +100,7 @@ def op9_quality_rules(spark, sf):
 
 
 # The vocabulary file and its place are the installed package's matter; ids come from it alone.
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -118,9 +130,177 @@ def op2_source_mix(spark, sf):
 
 @query()
 def op8_best_fit_packing(spark, sf):
-    return packing.packed(packing.pieces(table(spark, sf, "documents"), _vocabulary()))
+    return packing.packed(packing.pieces(table(spark, sf, "documents"), vocabulary()))
 
 
 @query()
 def op10_jaccard_join(spark, sf):
     return jaccard.similar_groups(table(spark, sf, "documents"))
+
+
+RULES = (
+    hosts.Rule("net/", "block"),
+    hosts.Rule("example.net/en/", "allow"),
+    hosts.Rule("example.com/de/", "block"),
+    hosts.Rule("org/fr/", "allow"),
+)
+
+_KAPPA = """
+  SELECT CASE WHEN room IS NULL OR room = 0 THEN 10.0
+    ELSE (1 - least(greatest(over / room, 0.001), 0.5)) / least(greatest(over / room, 0.001), 0.5)
+    END AS k
+  FROM (
+    SELECT sum(b2 - p * b - p * (1 - p) * (c - 1)) AS over,
+      sum(p * (1 - p) * (n - n2 / n - (c - 1))) AS room
+    FROM (
+      SELECT count(*) AS c, sum(n) AS n, sum(bad) AS b, sum(n * n) AS n2,
+        sum(bad * bad / n) AS b2, sum(bad) / sum(n) AS p
+      FROM {children} GROUP BY {parent}
+    ) WHERE c > 1
+  )
+"""
+
+_OP3_SQL = rf"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0
+    THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+),
+p AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+    try_cast(nullif(regexp_extract(rest, '^[^/?#]*/[^/?#]*/([0-9]+)', 1), '') AS BIGINT) AS about
+  FROM u
+),
+known AS (SELECT doc_id, max(1 - quality) AS bad FROM labels
+  WHERE quality IS NOT NULL GROUP BY doc_id),
+r AS (
+  SELECT host, split_part(host, '.', -1) AS suffix, bad,
+    CASE WHEN contains(host, '.')
+      THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain
+  FROM p JOIN known ON about = doc_id WHERE host <> ''
+),
+h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
+  FROM r GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+s AS (SELECT suffix, 0 AS everything, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+t AS (SELECT coalesce(sum(bad) / sum(n), 0) AS m FROM s),
+kh AS ({_KAPPA.format(children="h", parent="domain")}),
+kd AS ({_KAPPA.format(children="d", parent="suffix")}),
+ks AS ({_KAPPA.format(children="s", parent="everything")}),
+sm AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM s, ks, t),
+dm AS (SELECT d.domain, (bad + k * m) / (n + k) AS m FROM d JOIN sm USING (suffix), kd),
+post AS (
+  SELECT host AS key, bad + k * m AS a, n - bad + k * (1 - m) AS b
+  FROM h JOIN dm USING (domain), kh
+  UNION ALL SELECT '/' || domain, k * m, k * (1 - m) FROM dm, kh
+  UNION ALL SELECT '//' || suffix, k * m, k * (1 - m) FROM sm, kd
+),
+bounds AS (
+  SELECT key, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound
+  FROM post
+),
+j AS (
+  SELECT page_id, p.host, p.path, coalesce(b1.bound, b2.bound, b3.bound, t.m) AS bound,
+    CASE
+      WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%'
+        THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%'
+        THEN 'example.com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/'
+    END AS rule
+  FROM p CROSS JOIN t
+  LEFT JOIN bounds b1 ON b1.key = p.host
+  LEFT JOIN bounds b2 ON b2.key = '/' || CASE WHEN contains(p.host, '.')
+    THEN split_part(p.host, '.', -2) || '.' || split_part(p.host, '.', -1) ELSE p.host END
+  LEFT JOIN bounds b3 ON b3.key = '//' || split_part(p.host, '.', -1)
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+  WHEN rule IS NOT NULL THEN 'allow'
+  WHEN bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict
+FROM j
+"""
+
+
+@query(_OP3_SQL)
+def op3_url_filter(spark, sf):
+    """The outcome of a page is the label of the document that its path names by number."""
+    about = F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/([0-9]+)", 1)
+    labels = table(spark, sf, "labels").where("quality IS NOT NULL").groupBy("doc_id").agg(
+        F.max(1 - F.col("quality")).alias("bad")
+    )
+    pages = table(spark, sf, "pages").select(
+        "page_id", "url", about.try_cast("bigint").alias("about")
+    )
+    same = F.struct("about") == F.struct("doc_id")
+    judged = hosts.judged(pages.join(labels, same, "left"), RULES)
+    return judged.drop("bad_bound")
+
+
+_OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum([a * c.v[i] FOR a, i IN q.v])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM s
+) WHERE rank <= 20
+"""
+
+
+@query(_OP5_SQL)
+def op5_exact_top_k(spark, sf):
+    return impact.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+_OP6_SQL = """
+WITH b AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+),
+x AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM b
+),
+y AS (
+  SELECT page_id, payload_bytes, list_reduce([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 15) & 31) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)
+    FOR v IN [('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT FOR i IN range(8)]
+  ], lambda a, c: a || c) AS payload_digest FROM x
+),
+f AS (SELECT payload_digest, min(page_id) AS first FROM y GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM y JOIN f USING (payload_digest)
+"""
+
+
+@query(_OP6_SQL)
+def op6_warc_round_trip(spark, sf):
+    folder = shared_folder(spark)
+    warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.read_captures(spark, folder, with_payload=False).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+@query()
+def op7_quality_classifier(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = cotraining.fit(docs, labels.select("doc_id", (1 - F.col("quality")).alias("bad")))
+    scored = cotraining.scored(docs, model)
+    return scored.select("doc_id", "p_text", "p_metadata", "score", "accepted")

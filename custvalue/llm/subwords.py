@@ -98,3 +98,14 @@ def means(texts: Sequence[str | None], table: np.ndarray) -> tuple[np.ndarray, n
         sums[text] += np.add.reduceat(table[bucket], edges, axis=0)
         count[text] += np.diff(np.append(edges, len(bucket)))
     return sums / np.maximum(count, 1)[:, None], count
+
+
+def shares(texts: Sequence[str | None], bits: int) -> np.ndarray:
+    """Per text the share of its subwords in each bucket."""
+    size = 1 << bits
+    total = np.zeros(len(texts) * size, np.int64)
+    for bucket, edges, text in subwords(texts, bits):
+        owner = np.repeat(text.astype(np.int64), np.diff(np.append(edges, len(bucket))))
+        total += np.bincount(owner * size + bucket, minlength=len(total))
+    total = total.reshape(len(texts), size)
+    return total / np.maximum(total.sum(axis=1, keepdims=True), 1)
