@@ -27,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.llm import wordhash as W
 from custvalue.llm.shared import NO_ID, named, saved, text_parts
 
 WINDOW = 20
-GROUP_BYTES = 4 << 20  # text bytes whose suffixes make one group
+GROUP_BYTES = 8 << 20  # text bytes whose suffixes make one group
 SAMPLE_BYTES = 2 << 20  # text bytes, about, that are looked at for crowded prefixes
 _LEVELS = (1, 2, 4, 8, 16)
 
@@ -87,7 +87,7 @@ def crowded_prefixes(
     At most the sampled words divided by the limit come to the driver: a few hundred numbers.
     """
     share = min(1.0, SAMPLE_BYTES / max(total, 1))
-    sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = texts.where(F.pmod(F.xxhash64("id", "key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     limit = max(group_bytes / 6 / 16 * share, 40)
     found = (
         sample.select("text")
@@ -148,64 +148,99 @@ def _leaves(groups: int, crowded: dict[int, np.ndarray], window: int):
         group = (W.mixed(prefix) % np.uint64(groups)).astype(np.int64)
         by_group = np.argsort(group, kind="stable")
         edges = np.searchsorted(group[by_group], np.arange(groups + 1))
-        names = ("part", "ids", "keys", "locus", "text", "place", "dup_text", "dup_place")
-        out = {name: [] for name in names}
-        for g in np.flatnonzero(np.diff(edges)):
+        rows = []
+        full = np.flatnonzero(np.diff(edges))
+        for g in full.tolist():
             mine = by_group[edges[g] : edges[g + 1]]
-            a, b = mine[first[mine]], mine[~first[mine]]
-            used, inner = np.unique(text[mine], return_inverse=True)
-            inner_first, inner_rest = inner[first[mine]], inner[~first[mine]]
-            row = (
-                int(g), ids[used].tobytes(), keys[used].tobytes(), locus[a].tobytes(),
-                _planes(inner_first, "<u4"), _planes(place[a], "<u4"),
-                _planes(inner_rest, "<u4"), _planes(place[b], "<u4"),
+            used = np.unique(text[mine])
+            rows.append(
+                (
+                    _planes(np.diff(ids[used], prepend=0), "<i8"),
+                    _planes(keys[used], "<i2"),
+                    _planes(np.diff(w.first[used], prepend=0), "<u4"),
+                    _planes(np.diff(starts[mine], prepend=0), "<u4"),
+                    np.packbits(first[mine]).tobytes(),
+                    locus[mine[first[mine]]].tobytes(),
+                )
             )
-            for name, value in zip(names, row):
-                out[name].append(value)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(out["part"], pa.int64()), *[pa.array(out[n], pa.binary()) for n in names[1:]]],
-            names=list(names),
-        )
+        columns = [pa.array(column, pa.binary()) for column in zip(*rows)]
+        return pa.RecordBatch.from_arrays([pa.array(full), *columns], names=_LEAF_NAMES)
 
     return cut
 
 
-def _marks(group: pa.Table) -> pa.Table:
-    """The words' places below all but the first leaf of each node of a group's subtrees."""
-    ids, keys, locus, place, dup_id, dup_key, dup_place = ([] for _ in range(7))
-    for row in group.select(group.column_names[1:]).to_pylist():
-        id_, key = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["keys"], np.int64)
-        text, rest = _unplaned(row["text"], "<u4"), _unplaned(row["dup_text"], "<u4")
-        ids.append(id_[text])
-        keys.append(key[text])
-        locus.append(np.frombuffer(row["locus"], np.uint64))
-        place.append(_unplaned(row["place"], "<u4"))
-        dup_id.append(id_[rest])
-        dup_key.append(key[rest])
-        dup_place.append(_unplaned(row["dup_place"], "<u4"))
-    ids, keys, locus, place = map(np.concatenate, (ids, keys, locus, place))
+_LEAF_NAMES = ["part", "ids", "keys", "bounds", "starts", "first", "locus"]
+_LEAF = "part long, ids binary, keys binary, bounds binary, starts binary, first binary, locus binary"
+
+
+def _later(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, key, place) of all but the first leaf of each node of a group's subtrees."""
+    loci, leaves, marked = [], [], []
+    for row in group.select(_LEAF_NAMES[1:]).to_pylist():
+        ids = np.cumsum(_unplaned(row["ids"], "<i8"))
+        keys = _unplaned(row["keys"], "<i2")
+        bounds = np.cumsum(_unplaned(row["bounds"], "<u4").astype(np.int64))
+        starts = np.cumsum(_unplaned(row["starts"], "<u4").astype(np.int64))
+        text = np.searchsorted(bounds, starts, "right") - 1
+        leaf = np.stack([ids[text], keys[text].astype(np.int64), starts - bounds[text]])
+        first = np.unpackbits(np.frombuffer(row["first"], np.uint8), count=len(starts)).astype(bool)
+        loci.append(np.frombuffer(row["locus"], np.uint64))
+        leaves.append(leaf[:, first])
+        marked.append(leaf[:, ~first])
+    locus, (ids, keys, place) = np.concatenate(loci), np.concatenate(leaves, axis=1)
     many = np.flatnonzero(W.repeated(locus))
     order = many[np.lexsort((place[many], ids[many], locus[many]))]
     new = np.ones(len(order), bool)
     new[1:] = locus[order[1:]] != locus[order[:-1]]
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     later = order[(ids[head] != ids[order]) | (place[head] != place[order])]
-    id_ = np.concatenate([ids[later], *dup_id])
-    key = np.concatenate([keys[later], *dup_key])
-    where = np.concatenate([place[later], *dup_place])
-    order = np.lexsort((where, key, id_))
-    id_, key, where = id_[order], key[order], where[order]
+    return tuple(
+        np.concatenate([column[later], *[m[i] for m in marked]])
+        for i, column in enumerate((ids, keys, place))
+    )
+
+
+def _marks(buckets: int):
+    """A group's marks, packed into one row for each bucket of documents."""
+
+    def mark(group: pa.Table) -> pa.Table:
+        id_, key, place = _later(group)
+        bucket = (W.mixed(id_.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((place, key, id_, bucket))
+        id_, key, place, bucket = id_[order], key[order], place[order], bucket[order]
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(edges))
+        columns: list[list[bytes]] = [[], [], []]
+        for b in full.tolist():
+            mine = slice(edges[b], edges[b + 1])
+            columns[0].append(_planes(np.diff(id_[mine], prepend=0), "<i8"))
+            columns[1].append(_planes(key[mine], "<i2"))
+            columns[2].append(_planes(place[mine], "<u4"))
+        return pa.table(
+            [pa.array(full), *[pa.array(c, pa.binary()) for c in columns]],
+            names=["bucket", "ids", "keys", "places"],
+        )
+
+    return mark
+
+
+def _by_document(bucket: pa.Table) -> pa.Table:
+    """The marks of a bucket's documents from all groups, one row per document text."""
+    rows = bucket.select(["ids", "keys", "places"]).to_pylist()
+    id_ = np.concatenate([np.cumsum(_unplaned(r["ids"], "<i8")) for r in rows])
+    key = np.concatenate([_unplaned(r["keys"], "<i2") for r in rows])
+    place = np.concatenate([_unplaned(r["places"], "<u4") for r in rows])
+    order = np.lexsort((place, key, id_))
+    id_, key, place = id_[order], key[order], place[order]
     new = np.ones(len(order), bool)
     new[1:] = (id_[1:] != id_[:-1]) | (key[1:] != key[:-1])
     edges = np.append(np.flatnonzero(new), len(order))
+    spans = zip(edges[:-1].tolist(), edges[1:].tolist())
     return pa.table(
         {
             "id": pa.array(id_[edges[:-1]], pa.int64()),
-            "key": pa.array(key[edges[:-1]], pa.int64()),
-            "places": pa.array(
-                [where[a:b].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:])],
-                pa.binary(),
-            ),
+            "key": pa.array(key[edges[:-1]].astype(np.int64)),
+            "places": pa.array([place[a:b].tobytes() for a, b in spans], pa.binary()),
         }
     )
 
@@ -220,8 +255,8 @@ def _removed(window: int, text_at: int, marks_at: int, spans: bool):
                 n_words.append(len(words))
                 runs: list[dict] = []
                 lost = 0
-                if mark.is_valid and len(mark):
-                    starts = np.concatenate([np.frombuffer(m, "<u4") for m in mark.as_py()])
+                if mark.is_valid:
+                    starts = np.frombuffer(mark.as_py(), "<u4")
                     gone = W.covered(starts.astype(np.int64), window, len(words))
                     lost = int(gone.sum())
                     if spans:
@@ -248,6 +283,12 @@ def _removed(window: int, text_at: int, marks_at: int, spans: bool):
     return strip
 
 
+def _key(text_column: str) -> Column:
+    """Sixteen bits of a text's hash: keeps rows apart that share an id but not the text."""
+    low = F.pmod(F.xxhash64(named(text_column)), F.lit(1 << 16))
+    return (low - (1 << 15)).cast("long")
+
+
 def repeat_marks(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -255,25 +296,22 @@ def repeat_marks(
     window: int = WINDOW,
     group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
-    """(id, key, places): starts of the windows that occur earlier, one row per document text.
-
-    ``key`` is ``xxhash64`` of the text; it keeps rows apart that share an id.
-    """
+    """(id, key, places): starts of the windows that occur earlier, one row per document text."""
     texts = docs.select(
         F.coalesce(named(id_column).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(named(text_column)).alias("key"),
+        _key(text_column).alias("key"),
         named(text_column).alias("text"),
     ).where("text IS NOT NULL")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     crowded = crowded_prefixes(texts, total, window, group_bytes)
-    leaves = texts.mapInArrow(
-        _leaves(groups, crowded, window),
-        "part long, ids binary, keys binary, locus binary, text binary, place binary, "
-        "dup_text binary, dup_place binary",
+    leaves = texts.mapInArrow(_leaves(groups, crowded, window), _LEAF)
+    marks = leaves.groupBy("part").applyInArrow(
+        _marks(groups), "bucket long, ids binary, keys binary, places binary"
+    )
+    return marks.groupBy("bucket").applyInArrow(
+        _by_document, "id long, key long, places binary"
     )
-    marks = leaves.groupBy("part").applyInArrow(_marks, "id long, key long, places binary")
-    return marks.groupBy("id", "key").agg(F.collect_list("places").alias("places"))
 
 
 def without_repeats(
@@ -295,7 +333,7 @@ def without_repeats(
     mine = F.coalesce(named(id_column).cast("long"), F.lit(NO_ID))
     joined = rows.join(
         marks,
-        (mine == F.col("__id")) & (F.xxhash64(named(text_column)) == F.col("__key")),
+        (mine == F.col("__id")) & (_key(text_column) == F.col("__key")),
         "left",
     ).select(*map(named, columns), "__places")
     schema = joined.drop("__places").schema.add("n_words", "long").add("n_removed", "long")
