@@ -17,11 +17,12 @@ reaches the threshold one indexed segment meets. The allocation goes by cost:
   small sets, whose bands have few and long segments on purpose, since segments of one or two
   shingles would meet by chance. If even that does not reach H + 1, empty segments count too.
 
-A set made of crowded segments (one of thousands of near copies) indexes the crowded ones apart.
-Members of an index entry are not paired all with all: each meets the entry's first and last
-member, verified links are joined to components, and only members still in different components
-are paired afterwards. What is left out lies inside one component already, so components are
-exact. Candidates are verified on their whole sets.
+Entries with a bounded number of members are paired; pairs whose sizes or sketches (counts of
+shingles by hash, which bound the difference from below) rule each other out are dropped, and the
+rest are verified on their whole sets. A set made of crowded segments, one of thousands of near
+copies, indexes those apart, and so are entries with more members. What such entries tie together
+is a family: it is cut into blocks, every two blocks meet in a cell with their whole sets, and a
+cell returns one link per member to the smallest one that links reach there, never its pairs.
 
 Equal sets are one class from the start; copies are never paired. Shingles and sets are known by
 64-bit hashes.
@@ -50,8 +51,10 @@ from custvalue.llm.substrings import _planes, _unplaned
 SHINGLE = 5
 THRESHOLD = 80  # percent
 PART_BYTES = 8 << 20  # text bytes whose index entries make one group
-SAMPLE_DOCS = 20_000  # and at least one in 64: documents looked at for crowded segments
-CROWDED = 100  # sets that make a segment crowded, as estimated from the sample
+SAMPLE_DOCS = 20_000  # and at least one in 8: documents looked at for crowded segments
+CROWDED = 32  # sets that make a segment crowded, as estimated from the sample
+PAIRED = 64  # members, at most, of an entry whose members are paired
+BLOCK = 1500  # members of a family's block
 MOST_CROWDED = 500_000  # broadcast at most so many; the rest are treated like others
 FILTER_BITS = 26  # at most 2**26 bits of filter are broadcast; more ids only make it coarser
 
@@ -115,6 +118,30 @@ def class_hashes(flat: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(n > 0, W.mixed(np.diff(sums[edges]) + n.astype(np.uint64)), np.uint64(0))
 
 
+def sketches(flat: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Counts of each set's shingles by hash, one byte each, about four shingles to a count."""
+    bucket = W.mixed(flat + np.uint64(17))
+    out = []
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        size = max(16, 1 << ((high - low) // 4).bit_length())
+        count = np.bincount(bucket[low:high] & np.uint64(size - 1), minlength=size)
+        out.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+    return out
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Shingles, at least, that lie in one set alone, by their sketches."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) != len(b):
+        if (a == 255).any():  # a count that may be larger cannot be added up
+            return 0
+        a = a.reshape(-1, len(b)).sum(axis=0, dtype=np.int64)
+        a = np.where(b == 255, np.minimum(a, 255), a)
+    return int(np.abs(a.astype(np.int64) - b).sum())
+
+
 def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(values), bool)
@@ -198,13 +225,25 @@ def signatures(
 
 
 _INDEX = (
-    "n long, node long, entry long, part long, entries binary, nodes binary, place binary"
+    "n long, node long, entry long, part long, entries binary, nodes binary, sizes binary, "
+    "place binary, sketch binary"
 )
 
 
+def _once(flat: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different sets of a batch that are not empty, their edges, and their hashes."""
+    node = class_hashes(flat, edges)
+    once = np.unique(node, return_index=True)[1]
+    once = once[np.diff(edges)[once] > 0]
+    sets = [flat[edges[i] : edges[i + 1]] for i in once.tolist()]
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+    return np.concatenate([np.empty(0, np.uint64), *sets]), bounds, node[once]
+
+
 def _empty_columns(rows: int) -> dict[str, pa.Array]:
     longs = {k: pa.nulls(rows, pa.int64()) for k in ("n", "node", "entry", "part")}
-    return longs | {k: pa.nulls(rows, pa.binary()) for k in ("entries", "nodes", "place")}
+    binaries = ("entries", "nodes", "sizes", "place", "sketch")
+    return longs | {k: pa.nulls(rows, pa.binary()) for k in binaries}
 
 
 def _indexed(scheme: Scheme, crowded: np.ndarray, parts: int):
@@ -221,21 +260,14 @@ def _indexed(scheme: Scheme, crowded: np.ndarray, parts: int):
                 columns = _empty_columns(len(n))
                 columns["n"] = pa.array(n)
                 columns["node"] = pa.array(node.view(np.int64), mask=n == 0)
+                columns["sketch"] = pa.array(sketches(flat, edges), pa.binary())
                 yield pa.RecordBatch.from_pydict({"doc_id": ids} | columns)
-                yield from entries(flat, edges, node, ids.type)
+                yield from entries(flat, edges, ids.type)
 
-    def entries(flat, edges, node, id_type):
-        # Each set of the batch once, in any order.
-        once = np.unique(node, return_index=True)[1]
-        once = once[np.diff(edges)[once] > 0]
-        if not len(once):
-            return
-        n = np.diff(edges)[once]
-        flat = np.concatenate([flat[edges[i] : edges[i + 1]] for i in once.tolist()])
-        node = node[once]
-        who, entry, hot = signatures(
-            flat, np.concatenate([[0], np.cumsum(n)]), scheme, crowded
-        )
+    def entries(flat, edges, id_type):
+        flat, edges, node = _once(flat, edges)
+        n = np.diff(edges)
+        who, entry, hot = signatures(flat, edges, scheme, crowded)
         if hot.any():
             columns = _empty_columns(int(hot.sum()))
             columns["entry"] = pa.array(entry[hot].view(np.int64))
@@ -251,10 +283,15 @@ def _indexed(scheme: Scheme, crowded: np.ndarray, parts: int):
         for p in full.tolist():
             mine = slice(cuts[p], cuts[p + 1])
             used, place = np.unique(who[mine], return_inverse=True)
-            rows.append((entry[mine].tobytes(), node[used].tobytes(), _planes(place, "<u4")))
+            rows.append(
+                (
+                    entry[mine].tobytes(), node[used].tobytes(), _planes(n[used], "<u4"),
+                    _planes(place, "<u4"),
+                )
+            )
         columns = _empty_columns(len(full))
         columns["part"] = pa.array(full)
-        for i, name in enumerate(("entries", "nodes", "place")):
+        for i, name in enumerate(("entries", "nodes", "sizes", "place")):
             columns[name] = pa.array([r[i] for r in rows], pa.binary())
         yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(full), id_type)} | columns)
 
@@ -267,15 +304,12 @@ def _all_entries(scheme: Scheme):
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_parts(batch.column(1)):
-                flat, edges = shingle_sets(data, offsets)
-                node = class_hashes(flat, edges)
-                full = np.diff(edges) > 0
-                bounds = np.append(edges[:-1][full], edges[-1])
+                flat, bounds, node = _once(*shingle_sets(data, offsets))
                 who, entry, _ = signatures(flat, bounds, scheme, nothing, all_=True)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "entry": pa.array(entry.view(np.int64)),
-                        "node": pa.array(node[full][who].view(np.int64)),
+                        "node": pa.array(node[who].view(np.int64)),
                     }
                 )
 
@@ -284,17 +318,16 @@ def _all_entries(scheme: Scheme):
 
 def crowded_entries(texts: DataFrame, n_docs: int, scheme: Scheme) -> np.ndarray:
     """Sorted index entries that many different sets share, by a sample of documents."""
-    share = min(1.0, max(SAMPLE_DOCS / max(n_docs, 1), 1 / 64))
+    share = min(1.0, max(SAMPLE_DOCS / max(n_docs, 1), 1 / 8))
     limit = max(4, round(CROWDED * share))
     place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20))
     sample = texts.where(place < int(share * (1 << 20)) + 1)
     found = (
         sample.mapInArrow(_all_entries(scheme), "entry long, node long")
-        .distinct()
         .groupBy("entry")
-        .count()
-        .where(F.col("count") >= limit)
-        .orderBy(F.desc("count"), "entry")
+        .agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
+        .where((F.col("n") >= limit) & (F.col("low") < F.col("high")))
+        .orderBy(F.desc("n"), "entry")
         .limit(MOST_CROWDED)
         .select("entry")
         .collect()
@@ -302,62 +335,155 @@ def crowded_entries(texts: DataFrame, n_docs: int, scheme: Scheme) -> np.ndarray
     return np.sort(np.array([row.entry for row in found], np.int64).view(np.uint64))
 
 
-def _shared_entries(group: pa.Table) -> pa.Table:
-    """The member lists of a group's index entries that two or more sets share, each list once."""
-    entries, nodes = [], []
-    for row in group.select(["entries", "nodes", "place"]).to_pylist():
-        entries.append(np.frombuffer(row["entries"], np.uint64))
-        nodes.append(np.frombuffer(row["nodes"], np.int64)[_unplaned(row["place"], "<u4")])
-    entry, node = np.concatenate(entries), np.concatenate(nodes)
-    several = np.flatnonzero(W.repeated(entry))
-    entry, node = entry[several], node[several]
-    order = np.lexsort((node, entry))
-    entry, node = entry[order], node[order]
-    new = np.ones(len(entry), bool)
-    new[1:] = (entry[1:] != entry[:-1]) | (node[1:] != node[:-1])
-    entry, node = entry[new], node[new]
-    start = np.ones(len(entry), bool)
-    start[1:] = entry[1:] != entry[:-1]
-    first = np.flatnonzero(start)
-    size = np.diff(np.append(first, len(entry)))
-    lists = np.empty(0, np.int64)
-    if len(first):
-        total = np.add.reduceat(W.mixed(node.view(np.uint64) + np.uint64(3)), first)
-        keep = np.flatnonzero(size > 1)
-        lists = keep[np.unique(total[keep] + size[keep].astype(np.uint64), return_index=True)[1]]
-    members = [node[first[i] : first[i] + size[i]] for i in lists.tolist()]
-    return pa.table({"members": pa.array(members, pa.list_(pa.int64()))})
-
-
-def _ordered(a, b):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-
-
-def _to_ends(members: DataFrame) -> DataFrame:
-    """Pairs of each member (x) with the least and the greatest of its entry, where given."""
-    ends = F.explode(F.array("low", "high")).alias("end")
-    pairs = members.select("x", ends).where("x <> end")
-    return pairs.select(*_ordered(F.col("x"), F.col("end"))).distinct()
-
-
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of an entry's members (bucket, x, component) that lie in different components.
-
-    Members outside the entry's largest component meet all members of other components; members
-    of the largest among each other need not.
-    """
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(
-        F.max_by("component", F.struct("n", "component")).alias("__main"), F.count("*").alias("k")
+def _met(threshold: int):
+    """Of a group's entries: pairs of members (a, b), or the members (x) of crowded ones."""
+
+    def meet(group: pa.Table) -> pa.Table:
+        entries, nodes, sizes = [], [], []
+        for row in group.select(["entries", "nodes", "sizes", "place"]).to_pylist():
+            place = _unplaned(row["place"], "<u4")
+            entries.append(np.frombuffer(row["entries"], np.uint64))
+            nodes.append(np.frombuffer(row["nodes"], np.int64)[place])
+            sizes.append(_unplaned(row["sizes"], "<u4").astype(np.int64)[place])
+        entry, node, n = map(np.concatenate, (entries, nodes, sizes))
+        several = np.flatnonzero(W.repeated(entry))
+        order = several[np.lexsort((node[several], entry[several]))]
+        entry, node, n = entry[order], node[order], n[order]
+        new = np.ones(len(entry), bool)
+        new[1:] = (entry[1:] != entry[:-1]) | (node[1:] != node[:-1])
+        entry, node, n = entry[new], node[new], n[new]
+        start = np.ones(len(entry), bool)
+        start[1:] = entry[1:] != entry[:-1]
+        first = np.flatnonzero(start)
+        size = np.diff(np.append(first, len(entry)))
+        many = np.repeat(size > PAIRED, size)
+        # Pairs by distance in their entry: next neighbours, next but one, and so on.
+        paired = np.flatnonzero(~many)
+        e, x, k = entry[paired], node[paired], n[paired]
+        found = []
+        for step in range(1, min(PAIRED, len(e))):
+            same = np.flatnonzero(e[step:] == e[:-step])
+            if not len(same):
+                break
+            a, b, na, nb = x[same], x[same + step], k[same], k[same + step]
+            fits = 100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb)
+            found.append(np.stack([a[fits], b[fits]], axis=1))
+        pairs = np.concatenate([np.empty((0, 2), np.int64), *found])
+        code = W.mixed(pairs[:, 0].view(np.uint64)) + pairs[:, 1].view(np.uint64)
+        pairs = pairs[np.unique(code, return_index=True)[1]]
+        none = np.zeros(len(pairs) + int(many.sum()), bool)
+        none[len(pairs) :] = True
+        filler = np.zeros(int(many.sum()), np.int64)
+        return pa.table(
+            {
+                "a": pa.array(np.concatenate([pairs[:, 0], node[many]])),
+                "b": pa.array(np.concatenate([pairs[:, 1], filler]), mask=none),
+                "bucket": pa.array(
+                    np.concatenate([np.zeros(len(pairs), np.int64), entry[many].view(np.int64)]),
+                    mask=~none,
+                ),
+            }
+        )
+
+    return meet
+
+
+def _may_link(threshold: int):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            bound = n * (100 - threshold) // (100 + threshold)
+            keep = [
+                least_difference(x.as_buffer(), y.as_buffer()) <= most
+                for x, y, most in zip(batch.column(4), batch.column(5), bound.tolist())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1)], names=["a", "b"]
+            ).filter(pa.array(keep, pa.bool_()))
+
+    return check
+
+
+def _not_ruled_out(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose sketches leave it open whether they link."""
+    mine = sets.select(
+        F.col("node").alias("__a"), F.col("n").alias("na"), F.col("sketch").alias("x")
     )
-    largest = largest.where("k > 1").select(F.col("bucket").alias("__bucket"), "__main")
-    open_ = members.join(largest, F.struct("bucket") == F.struct("__bucket")).drop("__bucket")
-    minor = open_.where("component <> __main").select(
-        F.col("bucket").alias("__bucket"), F.col("x").alias("__x"), F.col("component").alias("__c")
+    theirs = sets.select(
+        F.col("node").alias("__b"), F.col("n").alias("nb"), F.col("sketch").alias("y")
     )
-    met = open_.join(minor, F.struct("bucket") == F.struct("__bucket"))
-    met = met.where("component <> __c AND (component = __main OR x < __x)")
-    return met.select(*_ordered(F.col("x"), F.col("__x"))).distinct()
+    both = pairs.join(mine, F.struct("a") == F.struct("__a"))
+    both = both.join(theirs, F.struct("b") == F.struct("__b"))
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(
+        _may_link(threshold), "a long, b long"
+    )
+
+
+def _families(apart: DataFrame) -> DataFrame:
+    """(node, family): members tied together by crowded entries (bucket, x)."""
+    ends = apart.groupBy("bucket").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    ends = ends.where("low <> high").withColumnRenamed("bucket", "__bucket")
+    met = apart.join(ends, F.struct("bucket") == F.struct("__bucket"))
+    ties = saved(met.where("x <> low").select(F.col("x").alias("a"), F.col("low").alias("b")))
+    return saved(components(ties)).withColumnRenamed("component", "family")
+
+
+def _cell_links(threshold: int):
+    """Per member of a cell its smallest member that links reach within the cell."""
+
+    def link(cell: pa.Table) -> pa.Table:
+        node = cell.column("node").to_numpy()
+        once = np.unique(node, return_index=True)[1]
+        node = node[once]
+        column = cell.column("shingles").combine_chunks()
+        sets = [np.frombuffer(column[i].as_buffer(), np.uint64) for i in once.tolist()]
+        n = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), n)
+        flat = np.concatenate(sets)
+        shared = W.repeated(flat)
+        owner, flat = owner[shared], np.unique(flat[shared], return_inverse=True)[1]
+        order = np.argsort(flat, kind="stable")
+        owner, flat = owner[order], flat[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        width = 2048
+        for low in range(0, int(flat[-1]) + 1 if len(flat) else 0, width):
+            part = slice(*np.searchsorted(flat, (low, low + width)))
+            holds = np.zeros((len(sets), width), np.float32)
+            holds[owner[part], flat[part] - low] = 1
+            common += holds @ holds.T
+        linked = 100 * common >= threshold * (n[:, None] + n[None, :] - common)
+        label = np.arange(len(sets))
+        while True:
+            least = np.where(linked, label[None, :], len(sets)).min(axis=1)
+            least = np.minimum(least, label)
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        far = np.flatnonzero(label != np.arange(len(sets)))
+        return pa.table({"a": pa.array(node[far]), "b": pa.array(node[label[far]])})
+
+    return link
+
+
+def _family_links(families: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links within families, as pairs of members that links join."""
+    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumnRenamed("family", "__family")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    placed = families.join(sizes, F.struct("family") == F.struct("__family")).select(
+        F.col("node").alias("__node"), "family",
+        F.pmod(F.xxhash64("node"), blocks).alias("mine"),
+        F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"),
+    )
+    cells = placed.select(
+        "__node", "family",
+        F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+    )
+    whole = cells.join(sets, F.struct("__node") == F.struct("node"))
+    return whole.select("family", "i", "j", "node", "shingles").groupBy(
+        "family", "i", "j"
+    ).applyInArrow(_cell_links(threshold), "a long, b long")
 
 
 def _filter_bits(ids: DataFrame) -> np.ndarray:
@@ -389,15 +515,12 @@ def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
             place = batch.column(0).to_numpy(zero_copy_only=False)
             some = batch.column(1).filter(pa.array(known[place]))
             for _, _, data, offsets in text_parts(some):
-                flat, edges = shingle_sets(data, offsets)
-                node = class_hashes(flat, edges)
-                once = np.unique(node, return_index=True)[1]
-                once = once[np.diff(edges)[once] > 0].tolist()
-                sets = [flat[edges[i] : edges[i + 1]].tobytes() for i in once]
+                flat, edges, node = _once(*shingle_sets(data, offsets))
+                spans = zip(edges[:-1].tolist(), edges[1:].tolist())
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "node": pa.array(node[once].view(np.int64)),
-                        "shingles": pa.array(sets, pa.binary()),
+                        "node": pa.array(node.view(np.int64)),
+                        "shingles": pa.array([flat[a:b].tobytes() for a, b in spans], pa.binary()),
                     }
                 )
 
@@ -435,12 +558,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_linked(threshold), "a long, b long")
 
 
-def _with_component(members: DataFrame, found: DataFrame) -> DataFrame:
-    found = found.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
-    joined = members.join(found, F.struct("x") == F.struct("__node"), "left")
-    return joined.select("bucket", "x", F.coalesce("__component", "x").alias("component"))
-
-
 def similar_groups(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -460,45 +577,27 @@ def similar_groups(
         texts.mapInArrow(_indexed(scheme, crowded, parts), f"doc_id {kind}, {_INDEX}")
     )
     rows = index.where("n IS NOT NULL").select("doc_id", "n", "node")
-    lists = saved(
+    kinds = index.where("n IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("id")
+    )
+    kinds = saved(kinds)
+    met = saved(
         index.where("part IS NOT NULL")
-        .select("part", "entries", "nodes", "place")
+        .select("part", "entries", "nodes", "sizes", "place")
         .groupBy("part")
-        .applyInArrow(_shared_entries, "members array<long>")
-        .distinct()
+        .applyInArrow(_met(threshold), "a long, b long, bucket long")
     )
-    apart = saved(
-        index.where("entry IS NOT NULL")
-        .select(F.col("entry").alias("bucket"), F.col("node").alias("x"))
-        .distinct()
-    )
-    ends = apart.groupBy("bucket").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    ends = ends.where("low <> high").withColumnRenamed("bucket", "__bucket")
-    listed = lists.select(
-        F.explode("members").alias("x"),
-        F.element_at("members", 1).alias("low"),
-        F.element_at("members", -1).alias("high"),
-    )
-    met = apart.join(ends, F.struct("bucket") == F.struct("__bucket")).select("x", "low", "high")
-    pairs = saved(_to_ends(listed).union(_to_ends(met)).distinct())
-    # Every class of a longer entry may be asked for again below.
-    asked = (
-        pairs.select(F.explode(F.array("a", "b")).alias("__node"))
-        .union(lists.where("size(members) > 2").select(F.explode("members")))
-        .distinct()
-    )
-    ids = rows.groupBy("node").agg(F.min("doc_id").alias("id"))
-    sets = _sets_of(texts, ids.join(asked, ids["node"] == asked["__node"]).select("id"))
-    links = saved(_verified(pairs, sets, threshold))
+    pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
+    pairs = saved(_not_ruled_out(pairs, kinds, threshold))
+    apart = index.where("entry IS NOT NULL").select("entry", "node")
+    apart = apart.union(met.where("bucket IS NOT NULL").select("bucket", "a"))
+    families = _families(saved(apart.toDF("bucket", "x").distinct()))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("__node"))
+    asked = asked.union(families.select("node")).distinct()
+    sets = _sets_of(texts, kinds.join(asked, F.struct("node") == F.struct("__node")).select("id"))
+    links = _verified(pairs, sets, threshold)
+    links = links.union(_family_links(families, sets, threshold))
     found = saved(components(links))
-    members = lists.where("size(members) > 2").select(
-        F.xxhash64("members").alias("bucket"), F.explode("members").alias("x")
-    )
-    members = members.union(apart)
-    more = _across(_with_component(members, found)).join(pairs, ["a", "b"], "left_anti")
-    late = saved(_verified(more, sets, threshold))
-    if late.limit(1).count():
-        found = saved(components(links.union(late)))
     return _named_components(rows, found)
 
 
