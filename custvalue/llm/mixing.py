@@ -29,7 +29,7 @@ from custvalue.llm.shared import WORD, named, saved
 
 ROUNDS = 2  # a source gives each document at most so many times
 MAX_SOURCES = 100_000  # one row each comes to the driver and is broadcast
-_SLICE_ROWS = 20_000
+_SLICE_ROWS = 4_000
 _SLICES_PER_BLOCK = 1024
 
 
