@@ -84,10 +84,11 @@ def _sample(labelled: DataFrame, id_column: str, text: str, lang: str, size: int
         *[F.lit(x) for row in counts for x in (row["lang"], min(1.0, each / row["count"]))]
     )
     place = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(place < share[F.col("lang")]).limit(2 * max(size, 20 * len(counts)))
-    found = chosen.select("lang", "text").mapInArrow(
+    chosen = rows.where(place < share[F.col("lang")]).select("lang", "text")
+    # The shares make the sample about its size; the limit holds even where ids repeat.
+    found = chosen.mapInArrow(
         _vectors(bits), "lang string, bucket binary, share binary"
-    )
+    ).limit(2 * max(size, 20 * len(counts)))
     return sorted(tuple(row) for row in found.toLocalIterator())
 
 
