@@ -316,10 +316,12 @@ def _all_entries(scheme: Scheme):
     return look
 
 
-def crowded_entries(texts: DataFrame, n_docs: int, scheme: Scheme) -> np.ndarray:
+def crowded_entries(
+    texts: DataFrame, n_docs: int, scheme: Scheme, members: int = CROWDED
+) -> np.ndarray:
     """Sorted index entries that many different sets share, by a sample of documents."""
     share = min(1.0, max(SAMPLE_DOCS / max(n_docs, 1), 1 / 8))
-    limit = max(4, round(CROWDED * share))
+    limit = max(4, round(members * share))
     place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20))
     sample = texts.where(place < int(share * (1 << 20)) + 1)
     found = (
@@ -335,7 +337,7 @@ def crowded_entries(texts: DataFrame, n_docs: int, scheme: Scheme) -> np.ndarray
     return np.sort(np.array([row.entry for row in found], np.int64).view(np.uint64))
 
 
-def _met(threshold: int):
+def _met(threshold: int, paired: int = PAIRED):
     """Of a group's entries: pairs of members (a, b), or the members (x) of crowded ones."""
 
     def meet(group: pa.Table) -> pa.Table:
@@ -356,12 +358,12 @@ def _met(threshold: int):
         start[1:] = entry[1:] != entry[:-1]
         first = np.flatnonzero(start)
         size = np.diff(np.append(first, len(entry)))
-        many = np.repeat(size > PAIRED, size)
+        many = np.repeat(size > paired, size)
         # Pairs by distance in their entry: next neighbours, next but one, and so on.
-        paired = np.flatnonzero(~many)
-        e, x, k = entry[paired], node[paired], n[paired]
+        few = np.flatnonzero(~many)
+        e, x, k = entry[few], node[few], n[few]
         found = []
-        for step in range(1, min(PAIRED, len(e))):
+        for step in range(1, min(paired, len(e))):
             same = np.flatnonzero(e[step:] == e[:-step])
             if not len(same):
                 break
@@ -466,11 +468,13 @@ def _cell_links(threshold: int):
     return link
 
 
-def _family_links(families: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _family_links(
+    families: DataFrame, sets: DataFrame, threshold: int, block: int = BLOCK
+) -> DataFrame:
     """Links within families, as pairs of members that links join."""
     sizes = families.groupBy("family").agg(F.count("*").alias("size"))
     sizes = sizes.withColumnRenamed("family", "__family")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    blocks = F.ceil(F.col("size") / block).cast("long")
     placed = families.join(sizes, F.struct("family") == F.struct("__family")).select(
         F.col("node").alias("__node"), "family",
         F.pmod(F.xxhash64("node"), blocks).alias("mine"),
@@ -563,15 +567,22 @@ def similar_groups(
     id_column: str = "doc_id",
     text_column: str = "text",
     threshold: int = THRESHOLD,
+    members: int = CROWDED,
+    paired: int = PAIRED,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the smallest id that links reach."""
+    """Per document: doc_id, n_shingles and component_id, the smallest id that links reach.
+
+    ``members``, ``paired`` and ``block`` set what is crowded, up to where members of an entry
+    are paired, and how large a family's blocks are; no result depends on them.
+    """
     texts = docs.select(named(id_column).alias("id"), named(text_column).alias("text"))
     scheme = Scheme(threshold)
     size = texts.agg(
         F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")
     ).first()
     parts = max(1, -(-(size["bytes"] or 0) // PART_BYTES))
-    crowded = crowded_entries(texts, size["n"], scheme)
+    crowded = crowded_entries(texts, size["n"], scheme, members)
     kind = texts.schema["id"].dataType.simpleString()
     index = saved(
         texts.mapInArrow(_indexed(scheme, crowded, parts), f"doc_id {kind}, {_INDEX}")
@@ -585,7 +596,7 @@ def similar_groups(
         index.where("part IS NOT NULL")
         .select("part", "entries", "nodes", "sizes", "place")
         .groupBy("part")
-        .applyInArrow(_met(threshold), "a long, b long, bucket long")
+        .applyInArrow(_met(threshold, paired), "a long, b long, bucket long")
     )
     pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
     pairs = saved(_not_ruled_out(pairs, kinds, threshold))
@@ -596,7 +607,7 @@ def similar_groups(
     asked = asked.union(families.select("node")).distinct()
     sets = _sets_of(texts, kinds.join(asked, F.struct("node") == F.struct("__node")).select("id"))
     links = _verified(pairs, sets, threshold)
-    links = links.union(_family_links(families, sets, threshold))
+    links = links.union(_family_links(families, sets, threshold, block))
     found = saved(components(links))
     return _named_components(rows, found)
 

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from custvalue.llm import wordhash as W
 from custvalue.llm.shared import NO_ID, named, saved, text_parts
@@ -336,9 +337,10 @@ def without_repeats(
         (mine == F.col("__id")) & (_key(text_column) == F.col("__key")),
         "left",
     ).select(*map(named, columns), "__places")
-    schema = joined.drop("__places").schema.add("n_words", "long").add("n_removed", "long")
-    schema = schema.add("kept_text", "string")
+    added = [("n_words", LongType()), ("n_removed", LongType()), ("kept_text", StringType())]
     if spans:
-        schema = schema.add("removed_spans", "array<struct<start:bigint,end:bigint>>")
+        span = StructType([StructField("start", LongType()), StructField("end", LongType())])
+        added.append(("removed_spans", ArrayType(span)))
+    schema = StructType(rows.schema.fields + [StructField(n, kind) for n, kind in added])
     strip = _removed(window, columns.index(text_column), len(columns), spans)
     return joined.mapInArrow(strip, schema)
