@@ -194,26 +194,23 @@ def date_ranges(spark, sf):
 
 
 @query(
-    "SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN "
-    "(SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000) "
+    "SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN orders "
     "ON c_custkey = o_custkey"
 )
 def left_join(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey")
-    orders = table(spark, sf, "orders").where("o_orderstatus = 'F' AND o_totalprice > 400000")
-    orders = orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     # One customer may hold a third of all orders.
     return J.left_join_hot_right(customers, orders, "c_custkey", "o_custkey").drop("o_custkey")
 
 
 @query(
     "SELECT coalesce(c_custkey, user_id) AS id, c_acctbal, n_tickets FROM "
-    "(SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING') FULL JOIN "
+    "customer FULL JOIN "
     "(SELECT user_id, count(*) AS n_tickets FROM events GROUP BY 1) ON c_custkey = user_id"
 )
 def outer_ticket_counts(spark, sf):
-    customers = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
-    customers = customers.select(F.col("c_custkey").alias("id"), "c_acctbal")
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
     tickets = A.count_per_key(table(spark, sf, "events"), "user_id", "n_tickets")
     return J.outer_join(customers, C.renamed(tickets, {"user_id": "id"}), "id")
 
@@ -222,14 +219,13 @@ def outer_ticket_counts(spark, sf):
     "SELECT l_orderkey, l_linenumber, quantity, round(price, 2) AS price FROM "
     "(SELECT l_orderkey, l_linenumber, max(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2) "
     "LEFT JOIN (SELECT l_orderkey, l_linenumber, sum(l_extendedprice) AS price FROM lineitem "
-    "WHERE l_returnflag = 'R' GROUP BY 1, 2) USING (l_orderkey, l_linenumber)"
+    "GROUP BY 1, 2) USING (l_orderkey, l_linenumber)"
 )
 def two_key_join(spark, sf):
     lines = table(spark, sf, "lineitem")
     keys = ["l_orderkey", "l_linenumber"]
     left = lines.groupBy(*keys).agg(F.max("l_quantity").alias("quantity"))
-    returned = lines.where("l_returnflag = 'R'").groupBy(*keys)
-    right = returned.agg(F.round(F.sum("l_extendedprice"), 2).alias("price"))
+    right = lines.groupBy(*keys).agg(F.round(F.sum("l_extendedprice"), 2).alias("price"))
     return J.left_join(left, right, keys)
 
 
@@ -383,3 +379,28 @@ def ticket_hours(spark, sf):
     return S.conversations(spark, sf).select(
         F.col("id").alias("event_id"), F.round(hours, 4).alias("hours")
     )
+
+
+# --- null rows, lists of records ---------------------------------------------------------
+
+
+@query(
+    f"WITH {S.KNOWN_ORDERS_SQL} SELECT o_orderkey, "
+    "CASE WHEN o_orderpriority IS NULL THEN 'unknown' ELSE 'known' END AS part FROM known"
+)
+def null_split(spark, sf):
+    orders = S.known_orders(spark, sf).select("o_orderkey", "o_orderpriority")
+    known, unknown = R.null_rows(orders, "o_orderpriority")
+    both = known.withColumn("part", F.lit("known")).unionByName(
+        unknown.withColumn("part", F.lit("unknown"))
+    )
+    return both.drop("o_orderpriority")
+
+
+@query("SELECT l_orderkey, l_quantity, l_discount FROM lineitem")
+def drop_by_name_pattern(spark, sf):
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_quantity", "l_discount", F.col("l_tax").alias("tax_nan"),
+        F.col("l_returnflag").alias("flag@x"),
+    )
+    return C.without_useless_names(lines)

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from custvalue.bindings import standins as S
 from custvalue.bindings.registry import query, safe_names, table
 from custvalue.functions.nulls import named, sum_or_zero
-from custvalue.operators.aggregates import MAX_VALUES, distinct_values, label_rates
+from custvalue.operators.aggregates import label_rates
 from custvalue.operators.filters import renewal_ids
 from custvalue.operators.quantiles import exact_percentiles
 from custvalue.plans import customers as customer_plan
 from custvalue.plans import sources, support, transactions
-from custvalue.session import cut_lineage
 
 # --- adjusted revenue, the flagship ------------------------------------------------------
 
@@ -144,7 +143,7 @@ _SURVEY_SQL = f"""survey AS (
     "CASE WHEN industry IS NULL THEN 1 ELSE 0 END AS industry_nan FROM survey"
 )
 def site_survey(spark, sf):
-    survey = sources.clean_survey(S.survey_answers(spark, sf), industries=["de", "en", "es"])
+    survey = sources.clean_survey(S.survey_answers(spark, sf))
     return survey.select(
         named("turk:input.website_url").alias("url"),
         named("turk:turk_domain").alias("host"),
@@ -168,11 +167,13 @@ def _analytics(spark, sf):
         known_flag.alias("ga:source"),
         F.dayofweek(F.col("l_shipdate").cast("date")).alias("ga:dayOfWeek"),
     )
-    second = lines.where("l_linestatus = 'O'").select(
+    second = lines.select(
         order,
         F.col("l_shipdate").alias("seen"),
         F.col("l_extendedprice").alias("tie"),
-        F.dayofweek(F.col("l_shipdate").cast("date")).alias("ga:dayOfWeek"),
+        F.dayofweek(F.date_add(F.col("l_shipdate").cast("date"), F.col("l_linenumber"))).alias(
+            "ga:dayOfWeek"
+        ),
     )
     metrics = lines.select(
         order,
@@ -187,9 +188,9 @@ def _analytics(spark, sf):
     f"WITH {S.PAYMENTS_SQL}, a AS (SELECT l_orderkey, "
     "arg_min(l_returnflag, (l_shipdate, l_extendedprice)) FILTER (l_returnflag <> 'N') AS source, "
     "arg_min(dayofweek(l_shipdate) + 1, (l_shipdate, l_extendedprice)) AS day_x, "
-    "arg_min(dayofweek(l_shipdate) + 1, (l_shipdate, l_extendedprice)) "
-    "FILTER (l_linestatus = 'O') AS day_y, "
-    "arg_min(l_quantity, (l_shipdate, l_extendedprice)) AS quantity FROM lineitem GROUP BY 1) "
+    "arg_min(dayofweek(l_commit) + 1, (l_shipdate, l_extendedprice)) AS day_y, "
+    "arg_min(l_quantity, (l_shipdate, l_extendedprice)) AS quantity FROM (SELECT *, "
+    "l_shipdate + to_days(CAST(l_linenumber AS INTEGER)) AS l_commit FROM lineitem) GROUP BY 1) "
     "SELECT payment_id, email, method, source, CAST(day_x AS INTEGER) AS day_x, "
     "CAST(day_y AS INTEGER) AS day_y, quantity FROM payments LEFT JOIN a ON payment_id = l_orderkey"
 )
@@ -209,7 +210,6 @@ def transactions_enriched(spark, sf):
 
 
 _LICENSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-_METHODS = ["1-URGENT", "2-HIGH", "Manual Purchases"]
 _PAID_SQL = f"""{S.PAYMENTS_SQL}, {S.RENEWALS_SQL}, paid AS (
   SELECT * FROM payments WHERE status = 'complete' AND method IS DISTINCT FROM 'Test Payment'
   AND payment_id NOT IN (SELECT payment_id FROM renewals))"""
@@ -227,10 +227,10 @@ _PURCHASES_SQL = (
 )
 
 
-def _purchases(spark, sf, licenses=None, methods=None):
+def _purchases(spark, sf):
     payments = transactions.prefixed(S.payments(spark, sf), transactions.PREFIX)
     renewals = renewal_ids(S.meta_rows(spark, sf))
-    return transactions.customer_purchases(payments, renewals, licenses, methods)
+    return transactions.customer_purchases(payments, renewals)
 
 
 @query(f"WITH {_PAID_SQL} {_PURCHASES_SQL}")
@@ -252,6 +252,8 @@ def customer_purchases(spark, sf):
 
 # --- the customer table ------------------------------------------------------------------
 
+_MAILS = [f"mail_{k}" for k in _KINDS if k != "error"]
+
 
 def customer_table(spark, sf):
     """All sources joined and cleaned, with the stand-ins of the driver's tables."""
@@ -263,7 +265,9 @@ def customer_table(spark, sf):
         F.array_join(F.collect_set("event_type"), ",").alias("Segment"),
     )
     subscribers = by_user.where("event_type <> 'error'").groupBy("Email").agg(
-        F.array_join(F.collect_set("event_type"), ",").alias("Campaign Names"),
+        F.array_join(F.collect_set(F.concat(F.lit("mail_"), "event_type")), ",").alias(
+            "Campaign Names"
+        ),
         F.max("ts").alias("last"),
     )
     people = table(spark, sf, "customer").select(
@@ -279,7 +283,7 @@ def customer_table(spark, sf):
         F.col("r_name").alias("Industry"),
         F.col("c_custkey").alias("Company"),
     )
-    hosts = sources.clean_survey(S.survey_answers(spark, sf), industries=["de", "en", "es"])
+    hosts = sources.clean_survey(S.survey_answers(spark, sf))
     load = support.support_load(
         table(spark, sf, "customer").select(F.col("c_custkey").alias("id")),
         S.conversations(spark, sf),
@@ -292,12 +296,14 @@ def customer_table(spark, sf):
         "number_support_tickets",
         "time_spent",
     )
+    contacts, subscribers = sources.clean_contacts(contacts), sources.clean_subscribers(subscribers)
+    marks = [c for c in (*contacts.columns, *subscribers.columns) if ":" not in c]
     joined = customer_plan.join_sources(
         sources.clean_revenue(S.revenue(spark, sf)),
-        _purchases(spark, sf, _LICENSES, _METHODS),
+        _purchases(spark, sf),
         by_email=[
-            (sources.clean_contacts(contacts, segments=_KINDS), "intercom:email", None),
-            (sources.clean_subscribers(subscribers, campaigns=[]), "drip:email", None),
+            (contacts, "intercom:email", None),
+            (subscribers, "drip:email", None),
             (sources.clean_crm_contacts(people), "hubcust:email", ["hubcust:original_source"]),
             (sources.clean_support(emails), "helpscout:emails", ["helpscout:id"]),
         ],
@@ -313,7 +319,7 @@ def customer_table(spark, sf):
     return customer_plan.clean_customers(
         joined,
         test_emails=["c0@household.com", "c1@machinery.com"],
-        flags=_KINDS,
+        flags=marks,
         as_text=["turk:answer.well-made_y"],
         as_number=["helpscout:number_support_tickets"],
     )
@@ -324,13 +330,16 @@ def customer_table(spark, sf):
     "load AS (SELECT user_id, count(*) AS n, sum(hours) AS hours FROM tickets GROUP BY 1), "
     "contacts AS (SELECT user_id, min(ts) AS first_seen, "
     + ", ".join(f"max(CASE WHEN event_type = '{k}' THEN 1 END) AS {k}" for k in _KINDS)
+    + "".join(
+        f", max(CASE WHEN event_type = '{k}' THEN 1 END) AS mail_{k}" for k in _KINDS if k != "error"
+    )
     + ", max(CASE WHEN event_type <> 'error' THEN ts END) AS last_mail FROM events GROUP BY 1), "
     "companies AS (SELECT c_mktsegment AS segment, arg_min(r_name, c_custkey) AS industry FROM "
     "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey "
     "GROUP BY 1) "
     f"SELECT c_custkey AS id, {S.EMAIL_SQL} AS email, greatest(c_acctbal, 0.0) AS purchase_value, "
     "total_spent, licenses_promo, method_manual, first_seen, "
-    + ", ".join(f"coalesce({k}, 0) AS {k}" for k in _KINDS)
+    + ", ".join(f"coalesce({k}, 0) AS {k}" for k in (*_KINDS, *_MAILS))
     + ", last_mail, c_nationkey AS original_source, industry, "
     "CAST(n AS DOUBLE) AS number_support_tickets, round(hours / 24 * 10, 4) AS loss, "
     "round(greatest(c_acctbal, 0.0) - hours / 24 * 10, 4) AS adjusted_revenue "
@@ -350,6 +359,7 @@ def customer_360(spark, sf):
         named("edd:payment_method_manual_purchases").alias("method_manual"),
         named("intercom:first_seen_(mdt)").alias("first_seen"),
         *_KINDS,
+        *_MAILS,
         named("drip:last").alias("last_mail"),
         named("hubcust:original_source").alias("original_source"),
         named("hubcomp:industry").alias("industry"),
@@ -368,11 +378,8 @@ def customer_360(spark, sf):
 )
 def median_revenue_by_license(spark, sf):
     # The percentiles read their input several times: keep the joins behind it from repeating.
-    customers = cut_lineage(S.customer_licenses(spark, sf))
-    licenses = distinct_values(customers, F.col("license"))
-    found = exact_percentiles(
-        customers, "revenue", [0.5], ["license"], few_groups=len(licenses) <= MAX_VALUES
-    )
+    customers = S.customer_licenses(spark, sf).persist()
+    found = exact_percentiles(customers, "revenue", [0.5], ["license"])
     return found.select(
         "license", "n", F.round(F.col("percentiles")[0], 3).alias("median_revenue")
     )

@@ -11,21 +11,27 @@ from custvalue.operators import aggregates as A
 from custvalue.operators import joins as J
 from custvalue.operators import profile as P
 from custvalue.operators.features import mean_filled, scaled, scaling
-from custvalue.session import cut_lineage
 
 # --- first, latest, sums, counts ---------------------------------------------------------
 
 
+# Some orders have no date: they come last.
+_DATED_SQL = f"""{S.KNOWN_ORDERS_SQL}, dated AS (
+  SELECT * REPLACE (CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS o_orderdate) FROM known),
+placed AS (SELECT *, row_number() OVER (PARTITION BY o_custkey
+  ORDER BY o_orderdate NULLS LAST, o_orderkey) AS place FROM dated)"""
+
+
 @query(
-    f"WITH {S.KNOWN_ORDERS_SQL} SELECT o_custkey, "
-    "arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, "
-    "arg_min(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_totalprice IS NOT NULL) "
-    "AS o_totalprice, "
-    "arg_min(o_orderpriority, (o_orderdate, o_orderkey)) FILTER (o_orderpriority IS NOT NULL) "
-    "AS o_orderpriority FROM known GROUP BY o_custkey"
+    f"WITH {_DATED_SQL} SELECT o_custkey, arg_min(o_orderkey, place) AS o_orderkey, "
+    "arg_min(o_totalprice, place) FILTER (o_totalprice IS NOT NULL) AS o_totalprice, "
+    "arg_min(o_orderpriority, place) FILTER (o_orderpriority IS NOT NULL) AS o_orderpriority "
+    "FROM placed GROUP BY o_custkey"
 )
 def first_known(spark, sf):
-    orders = S.known_orders(spark, sf)
+    orders = S.known_orders(spark, sf).withColumn(
+        "o_orderdate", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate"))
+    )
     first = A.first_known_per_key(orders, "o_custkey", ["o_orderdate", "o_orderkey"])
     return first.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
 
@@ -111,19 +117,19 @@ def payment_flags(spark, sf):
     return A.group_values(orders, "o_custkey", {name: F.max(flag) for name, flag in flags.items()})
 
 
-_ROLES = ["assistant", "system", "user"]
-
-
 @query(
     "SELECT conv_id, "
-    + ", ".join(f"max(CASE WHEN role = '{r}' THEN 1 END) AS role_{r}" for r in _ROLES)
+    + ", ".join(
+        f"max(CASE WHEN role = '{r}' THEN 1 END) AS role_{r}" for r in ("assistant", "system", "user")
+    )
     + ", count(DISTINCT role) AS n_roles FROM conversations GROUP BY 1"
 )
 def role_indicators(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "role")
-    flags = A.key_indicators(turns, "conv_id", "role", _ROLES, prefix="role_")
+    roles = A.distinct_values(turns, F.col("role"))
+    flags = A.key_indicators(turns, "conv_id", "role", roles, prefix="role_")
     present = L.distinct_items(F.array_compact(F.array(*[
-        F.when(F.col(f"role_{r}") == 1, F.lit(r)) for r in _ROLES
+        F.when(F.col(f"role_{r}") == 1, F.lit(r)) for r in roles
     ])))
     return flags.withColumn("n_roles", F.size(present).cast("bigint"))
 
@@ -142,24 +148,41 @@ def onehot_drop_first(spark, sf):
 
 
 _METRICS = ["signup", "click", "error", "purchase", "view"]
-_DAYS = [f"2024-01-{day:02d}" for day in range(1, 32)]
 
 
-@query(
-    "WITH long AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, event_type, value FROM events), "
-    "first_metric AS (SELECT day, min(list_position(['signup', 'click', 'error', 'purchase', "
-    "'view'], event_type)) AS p FROM long GROUP BY 1), "
-    "anchors AS (SELECT DISTINCT day, user_id FROM long JOIN first_metric USING (day) WHERE "
-    "event_type = ['signup', 'click', 'error', 'purchase', 'view'][p]) "
-    "SELECT day, user_id, "
-    + ", ".join(f"min(CASE WHEN event_type = '{m}' THEN value END) AS {m}" for m in _METRICS)
-    + " FROM long JOIN anchors USING (day, user_id) GROUP BY 1, 2"
-)
+def _widen_sql() -> str:
+    """The chain of left joins, one field after the other, per day; then a day's first field."""
+    sides = [f"f{i} AS (SELECT day, user_id, v FROM long WHERE event_type = '{m}')"
+             for i, m in enumerate(_METRICS)]
+    chains = []
+    for first in range(len(_METRICS)):
+        values = ", ".join(
+            ("NULL" if i < first else f"f{i}.v") + f" AS {m}" for i, m in enumerate(_METRICS)
+        )
+        joins = " ".join(
+            f"LEFT JOIN f{i} ON f{i}.day = f{first}.day AND f{i}.user_id = f{first}.user_id"
+            for i in range(first + 1, len(_METRICS))
+        )
+        chains.append(
+            f"SELECT f{first}.day, f{first}.user_id, {values} FROM f{first} {joins} "
+            f"JOIN first_metric m ON m.day = f{first}.day AND m.p = {first + 1}"
+        )
+    return (
+        "WITH long AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, event_type, "
+        "round(value) AS v FROM events), first_metric AS (SELECT day, min(list_position("
+        f"{_METRICS}, event_type)) AS p FROM long GROUP BY 1), " + ", ".join(sides) + " "
+        + " UNION ALL ".join(chains)
+    )
+
+
+@query(_widen_sql())
 def metric_widen(spark, sf):
+    """Users have several events of a kind on a day: every combination is kept."""
     long = table(spark, sf, "events").select(
-        F.col("ts").cast("date").cast("string").alias("day"), "user_id", "event_type", "value"
+        F.col("ts").cast("date").cast("string").alias("day"), "user_id", "event_type",
+        F.round("value").alias("value"),
     )
-    return A.widened(long, ["user_id"], "event_type", "value", _METRICS, "day", _DAYS)
+    return A.widened(long, ["user_id"], "event_type", "value", _METRICS, "day")
 
 
 # --- profile -----------------------------------------------------------------------------
@@ -201,8 +224,18 @@ def identifier_profile(spark, sf):
 
 
 @query(
-    "SELECT * FROM (VALUES ('one', 'x', 0), ('one_or_none', '7', 1)) "
-    'AS t("column", value, has_null) WHERE (SELECT count(*) FROM lineitem) > 0'
+    "WITH lines AS (SELECT *, 'x' AS one, CASE WHEN l_quantity > 10 THEN 7 END AS one_or_none "
+    "FROM lineitem) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", max(CAST({c} AS VARCHAR)) AS value, "
+        f"max(CAST({c} IS NULL AS INTEGER)) AS has_null FROM lines "
+        f"HAVING count(DISTINCT {c}) = 1"
+        for c in (
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+            "l_shipdate", "one", "one_or_none",
+        )
+    )
 )
 def constant_columns(spark, sf):
     lines = table(spark, sf, "lineitem").withColumns(
@@ -258,14 +291,17 @@ def column_kinds(spark, sf):
 
 @query(
     f"WITH {S.KNOWN_ORDERS_SQL}, filled AS (SELECT coalesce(o_totalprice, "
-    "(SELECT avg(o_totalprice) FROM known)) AS p, CAST(o_custkey AS DOUBLE) AS c FROM known) "
-    "SELECT 'o_totalprice' AS \"column\", round(quantile_cont(p, 0.25), 4) AS p25, "
-    "round(quantile_cont(p, 0.5), 4) AS p50, round(quantile_cont(p, 0.75), 4) AS p75 FROM filled "
-    "UNION ALL SELECT 'o_custkey', round(quantile_cont(c, 0.25), 4), "
-    "round(quantile_cont(c, 0.5), 4), round(quantile_cont(c, 0.75), 4) FROM filled"
+    "(SELECT avg(o_totalprice) FROM known)) AS p, CAST(o_custkey AS DOUBLE) AS c, "
+    "CAST(o_orderkey AS DOUBLE) AS k FROM known) "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS \"column\", round(quantile_cont({c}, 0.25), 4) AS p25, "
+        f"round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75 "
+        "FROM filled"
+        for name, c in (("o_totalprice", "p"), ("o_custkey", "c"), ("o_orderkey", "k"))
+    )
 )
 def quartiles(spark, sf):
-    found = P.quartiles(S.known_orders(spark, sf), ["o_totalprice", "o_custkey"])
+    found = P.quartiles(S.known_orders(spark, sf))
     return found.select("column", *[F.round(c, 4).alias(c) for c in ("p25", "p50", "p75")])
 
 
@@ -276,7 +312,7 @@ def quartiles(spark, sf):
 )
 def category_counts(spark, sf):
     customers = table(spark, sf, "customer")
-    return P.category_counts(customers, ["c_name", "c_mktsegment", "c_nationkey"])
+    return P.category_counts(customers, customers.columns)
 
 
 def _target_sql(column: str) -> str:
@@ -296,10 +332,11 @@ def _target_sql(column: str) -> str:
     + _target_sql("c_nationkey")
 )
 def target_by_category(spark, sf):
-    customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    customers = table(spark, sf, "customer")
     spent = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"))
-    rows = cut_lineage(customers.join(spent, F.col("c_custkey") == F.col("o_custkey")))
-    found = P.target_by_category(rows, ["c_mktsegment", "c_nationkey"], "spent")
+    # The percentiles read their input several times: keep the join behind it from repeating.
+    rows = customers.join(spent, F.col("c_custkey") == F.col("o_custkey")).persist()
+    found = P.target_by_category(rows, customers.columns, "spent")
     numbers = [F.round(c, 4).alias(c) for c in ("least", "p25", "p50", "p75", "greatest")]
     return found.select("column", "value", "n", *numbers)
 
@@ -317,20 +354,29 @@ def revenue_histogram(spark, sf):
 
 
 @query(
-    f"WITH {S.KNOWN_ORDERS_SQL} SELECT o_orderkey, round(coalesce(o_totalprice, "
+    f"WITH {S.KNOWN_ORDERS_SQL} SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, "
+    "CAST(o_custkey AS DOUBLE) AS o_custkey, round(coalesce(o_totalprice, "
     "avg(o_totalprice) OVER ()), 4) AS o_totalprice FROM known"
 )
 def mean_fill(spark, sf):
-    orders = S.known_orders(spark, sf).select("o_orderkey", "o_totalprice")
-    filled = mean_filled(orders, ["o_totalprice"])
-    return filled.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"))
+    orders = S.known_orders(spark, sf)
+    numbers = P.numeric_columns(orders)
+    filled = mean_filled(orders.select(*numbers), numbers)
+    return filled.withColumn("o_totalprice", F.round("o_totalprice", 4))
 
 
 @query(
-    "SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / "
-    "stddev_pop(o_totalprice) OVER (), 6) AS o_totalprice FROM orders"
+    "SELECT o_orderkey, "
+    + ", ".join(
+        f"round((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}_score"
+        for c in ("o_orderkey", "o_custkey", "o_totalprice")
+    )
+    + " FROM orders"
 )
 def standard_scale(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    scores = scaled(orders, scaling(orders, ["o_totalprice"]))
-    return scores.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
+    orders = table(spark, sf, "orders")
+    numbers = P.numeric_columns(orders)
+    copies = orders.select("o_orderkey", *[F.col(c).alias(f"{c}_score") for c in numbers])
+    names = [f"{c}_score" for c in numbers]
+    scores = scaled(copies, scaling(copies, names))
+    return scores.select("o_orderkey", *[F.round(c, 6).alias(c) for c in names])

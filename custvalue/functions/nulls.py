@@ -66,8 +66,3 @@ def first_known(column: Column, order: Column) -> Column:
 def latest_known(column: Column, order: Column) -> Column:
     """Aggregate: the known value that comes last by ``order``."""
     return F.max_by(column, F.when(column.isNotNull(), order))
-
-
-def count_with_null(column: Column) -> Column:
-    """Aggregate: distinct values, null being one of them."""
-    return F.count_distinct(column) + F.coalesce(F.max(column.isNull().cast("int")), F.lit(0))

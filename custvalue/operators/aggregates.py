@@ -25,12 +25,19 @@ def _order(order_by: Sequence[str]) -> Column:
     return F.struct(*[named(c) for c in order_by])
 
 
+def _order_nulls_last(order_by: Sequence[str]) -> Column:
+    """Ascending order in which a missing value comes after all others."""
+    cells = [cell for c in order_by for cell in (named(c).isNull(), named(c))]
+    return F.struct(*[cell.alias(f"o{i}") for i, cell in enumerate(cells)])
+
+
 def first_known_per_key(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
     """One row per key with the first known value of every column by ``order_by``.
 
     ``order_by`` is required, and should end in a unique column: a cluster has no file order.
+    Rows with a missing order value come last.
     """
-    order = _order(order_by)
+    order = _order_nulls_last(order_by)
     return _keyed(df, key).agg(
         *[first_known(named(c), order).alias(c) for c in df.columns if c != key]
     )
@@ -135,29 +142,54 @@ def widened(
     value: str,
     fields: Sequence[str],
     range_column: str | None = None,
-    ranges: Sequence[str] = (),
+    ranges: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Long (keys, field, value) rows side by side, one row per key.
+    """Long (keys, field, value) rows side by side, as a chain of left joins would put them.
 
-    One shuffle in place of one join per field. As a chain of left joins would, it keeps the
-    keys of the first field that has any row. With a ``range_column`` that holds within each
-    of the listed ``ranges``; rows of other ranges were not asked for and are left out.
-    Of several values for one key and field the least is taken.
+    The chain starts with the first field that has any row, so its keys stay, and a key that has
+    several rows of a field multiplies. With a ``range_column`` that holds within each range, of
+    which ``ranges`` may list those asked for.
+
+    Keys with at most one row per field, nearly all, take one grouping in place of one join per
+    field; only keys with several rows of a field go through the joins.
     """
     by = ([range_column] if range_column else []) + list(keys)
     asked = long.where(named(field).isin(list(fields)))
-    if range_column:
+    if range_column and ranges is not None:
         asked = asked.where(named(range_column).isin(list(ranges)))
     place = F.array_position(F.array(*map(F.lit, fields)), named(field))
+    counts = [F.count_if(named(field) == f) for f in fields]
     wide = asked.groupBy(*map(named, by)).agg(
         F.min(place).alias("__place"),
+        F.greatest(*counts, F.lit(0)).alias("__most"),
         *[F.min(F.when(named(field) == f, named(value))).alias(f) for f in fields],
     )
     group = named(range_column) if range_column else F.lit(0)
     anchors = asked.groupBy(group.alias("__group")).agg(F.min(place).alias("__anchor"))
-    # One row per listed range, or one in all: a bounded side.
-    match = (group == F.col("__group")) & (F.col("__place") == F.col("__anchor"))
-    return wide.join(F.broadcast(anchors), match, "left_semi").drop("__place")
+    if not range_column or ranges is not None:
+        anchors = F.broadcast(anchors)  # one row in all, or one per listed range
+    match = group.eqNullSafe(F.col("__group")) & (F.col("__place") == F.col("__anchor"))
+    kept = wide.join(anchors, match, "left_semi")
+    single = kept.where("__most <= 1").drop("__place", "__most")
+    several = kept.where("__most > 1").select(*map(named, by)).withColumnsRenamed(
+        {c: f"__{i}" for i, c in enumerate(by)}
+    )
+
+    def same(other: Sequence[str]) -> Column:
+        condition = F.lit(True)
+        for mine, theirs in zip(by, other):
+            condition = condition & named(mine).eqNullSafe(F.col(theirs))
+        return condition
+
+    inner = [f"__{i}" for i in range(len(by))]
+    rows = asked.join(several, same(inner), "left_semi")
+    multiplied = several.toDF(*by)
+    for f in fields:
+        side = rows.where(named(field) == f).select(
+            *[named(c).alias(n) for c, n in zip(by, inner)], named(value).alias(f)
+        )
+        multiplied = multiplied.join(side, same(inner), "left").drop(*inner)
+    return single.unionByName(multiplied)
 
 
 def label_rates(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from custvalue.functions.nulls import named
 from custvalue.operators.aggregates import first_known_per_key
-from custvalue.operators.columns import recast, renamed, without
+from custvalue.operators.columns import recast, renamed
 from custvalue.operators.filters import without_free_manual, without_ids, without_listed
 from custvalue.operators.joins import left_join, outer_join
 
@@ -114,8 +114,3 @@ def clean_customers(
         hours = named("helpscout:time_spent").cast("double")
         customers = customers.withColumn("helpscout:days_open", hours / HOURS_PER_DAY)
     return with_adjusted_revenue(customers, no_ticket_fill=no_ticket_fill)
-
-
-def model_columns(customers: DataFrame, drop: Sequence[str]) -> DataFrame:
-    """The customer table without columns that are identifiers, dates or leaks."""
-    return without(customers, drop)

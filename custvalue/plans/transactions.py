@@ -11,12 +11,7 @@ from pyspark.sql import types as T
 from custvalue.functions.nulls import differs, latest_known, named, sum_or_zero
 from custvalue.functions.text import license_names, normalized_name
 from custvalue.functions.times import parse_time
-from custvalue.operators.aggregates import (
-    MAX_VALUES,
-    any_flag,
-    distinct_values,
-    first_known_per_key,
-)
+from custvalue.operators.aggregates import any_flag, first_known_per_key, item_values
 from custvalue.operators.columns import prefixed
 from custvalue.operators.filters import without_ids
 from custvalue.operators.joins import left_join, suffixed_join
@@ -57,17 +52,6 @@ def paid_transactions(transactions: DataFrame, renewals: DataFrame) -> DataFrame
     return without_ids(kept, PREFIX + "Payment ID", renewals)
 
 
-def _value_lists(df: DataFrame, items: str, column: str) -> tuple[list[str], list[str]]:
-    """Distinct items of a list column and distinct values of another, in one pass."""
-    values = F.concat(
-        F.transform(named(items), lambda v: F.struct(F.lit(0).alias("kind"), v.alias("v"))),
-        F.array(F.struct(F.lit(1).alias("kind"), named(column).alias("v"))),
-    )
-    both = df.select(F.explode(values).alias("value")).where("value.v IS NOT NULL")
-    found = distinct_values(both, F.col("value"), 2 * MAX_VALUES)
-    return [v for kind, v in found if kind == 0], [v for kind, v in found if kind == 1]
-
-
 def customer_purchases(
     transactions: DataFrame,
     renewals: DataFrame,
@@ -76,10 +60,11 @@ def customer_purchases(
 ) -> DataFrame:
     """One row per e-mail: total spent, licence and payment-method flags, latest known values.
 
-    One shuffle of the transactions: total, flags and latest values are all aggregates of
-    the same group, each pre-aggregated on the map side. ``licenses`` and ``methods`` are
-    looked up when not given.
+    One shuffle of the transactions: total, sets of categories and latest values are all
+    aggregates of the same group, each pre-aggregated on the map side. ``licenses`` and
+    ``methods`` are looked up in its result when not given.
     """
+    method_of = named(PREFIX + "Payment Method")
     email, method = PREFIX + "Email", PREFIX + "Payment Method"
     date, amount = PREFIX + "Date", PREFIX + "Amount ($)"
     paid = paid_transactions(transactions, renewals).withColumn(
@@ -87,25 +72,34 @@ def customer_purchases(
     )
     if isinstance(paid.schema[date].dataType, T.StringType):
         paid = paid.withColumn(date, parse_time(named(date)))
-    if licenses is None or methods is None:
-        found_licenses, found_methods = _value_lists(paid, "__licenses", method)
-        licenses = found_licenses if licenses is None else licenses
-        methods = found_methods if methods is None else methods
-
     latest = F.struct(named(date), named(PREFIX + "Payment ID"))
     used = differs(named(PREFIX + "Discount Code"), NO_CODE)
     values = {
         "EDD:total_spent": sum_or_zero(named(amount)),
         "EDD:used_code": latest_known(used, latest),
+        "__licenses": F.array_distinct(F.flatten(F.collect_set("__licenses"))),
+        "__methods": F.collect_set(method_of),
+        "__no_method": any_flag(named(method).isNull()),
     }
-    for name in licenses:
-        values[f"EDD:licenses_{name}"] = any_flag(F.array_contains("__licenses", name))
-    for name in methods:
-        values[f"{method}_{name}"] = any_flag(named(method) == name)
-    values[f"{method}_nan"] = any_flag(named(method).isNull())
     for column in transactions.columns:
         if column not in (email, method, amount):
             values[column] = latest_known(named(column), latest)
     rows = paid.where(named(email).isNotNull()).groupBy(named(email))
-    found = rows.agg(*[v.alias(normalized_name(n)) for n, v in values.items()])
-    return found.withColumnRenamed(email, normalized_name(email))
+    # Flags are looked up in each customer's sets, which hold categories only.
+    found = rows.agg(*[v.alias(n) for n, v in values.items()])
+    if licenses is None or methods is None:
+        # One row per customer: kept for the lists and for the result.
+        found = found.persist()
+        licenses = item_values(found, "__licenses") if licenses is None else licenses
+        methods = item_values(found, "__methods") if methods is None else methods
+    flags = {f"EDD:licenses_{n}": F.array_contains("__licenses", n) for n in licenses}
+    flags |= {f"{method}_{n}": F.array_contains("__methods", n) for n in methods}
+    flags = {n: F.coalesce(c.cast("int"), F.lit(0)) for n, c in flags.items()}
+    flags[f"{method}_nan"] = F.col("__no_method")
+    order = ["EDD:total_spent", "EDD:used_code", *flags]
+    order += [c for c in values if c not in order and not c.startswith("__")]
+    found = found.withColumns(flags).select(
+        named(email).alias(normalized_name(email)),
+        *[named(c).alias(normalized_name(c)) for c in order],
+    )
+    return found

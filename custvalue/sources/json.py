@@ -29,9 +29,10 @@ HEADER_AND_ROWS = "columnHeaders array<struct<name: string>>, rows array<array<s
 
 
 def read_json(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | str, multiline: bool = True
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, multiline: bool = False
 ) -> DataFrame:
-    """JSON files, one document per file (``multiline``) or one per line."""
+    """JSON files, one document per line, or one per file (``multiline``), which is one task's
+    work each."""
     return spark.read.schema(schema).json(path, multiLine=multiline)
 
 

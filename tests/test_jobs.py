@@ -233,7 +233,6 @@ def test_cleaning_drops_tests_and_gifts_and_prices_support(rows):
         assert cells["a@x"]["helpscout:loss_per_customer"] == 20.0
         assert cells["none@x"]["adjusted_revenue"] is None and cells["none@x"]["segment"] == 0
         assert cells["a@x"]["rating"] == "3.5"
-    assert "seg" not in K.model_columns(df, ["seg"]).columns
 
 
 def test_label_rates(rows):

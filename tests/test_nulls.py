@@ -71,12 +71,6 @@ def test_null_keys_meet_only_when_asked(rows):
     assert safe == {"l1": "r1", "l2": "r2"}
 
 
-def test_distinct_count_takes_null_as_a_value(rows):
-    df = rows([("a",), ("b",), (None,), ("a",)], "c string")
-    assert one(df.agg(N.count_with_null(F.col("c")))) == 3
-    assert one(df.where("c IS NOT NULL").agg(N.count_with_null(F.col("c")))) == 2
-
-
 def test_clamp_maps_null_to_zero(rows):
     df = rows([(-2.0,), (None,), (3.0,)], "x double")
     assert [r[0] for r in df.select(N.at_least_zero(F.col("x"))).collect()] == [0.0, 0.0, 3.0]

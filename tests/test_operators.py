@@ -98,6 +98,30 @@ def test_widened_equals_a_chain_of_left_merges(rows):
     )
 
 
+def test_widening_keeps_every_repeated_value(rows):
+    data = [
+        (1, "sku", "A"), (1, "sku", "B"), (1, "name", "x"), (1, "name", "y"), (1, "cat", None),
+        (2, "sku", "C"), (3, "name", "z"), (4, "sku", None), (None, "sku", "N"), (None, "sku", "M"),
+    ]
+    long = rows(data, "id int, f string, v string")
+    got = A.widened(long, ["id"], "f", "v", ["sku", "name", "cat"]).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(
+        [
+            (1, "A", "x", None), (1, "A", "y", None), (1, "B", "x", None), (1, "B", "y", None),
+            (2, "C", None, None), (4, None, None, None), (None, "N", None, None),
+            (None, "M", None, None),
+        ],
+        key=repr,
+    )
+
+
+def test_first_known_puts_missing_dates_last(rows):
+    df = rows([("k", None, "undated"), ("k", "2020-01-01", "dated"), ("j", None, "only")],
+              "k string, d string, v string")
+    got = {r.k: r.v for r in A.first_known_per_key(df, "k", ["d"]).collect()}
+    assert got == {"k": "dated", "j": "only"}
+
+
 # --- profile -----------------------------------------------------------------------------
 
 

@@ -27,9 +27,31 @@ def test_csv_with_types_and_null_tokens(spark, tmp_path):
     assert guessed.where("id = 2").first().name == "(not set)"
 
 
+def test_types_are_inferred_after_null_tokens(spark, tmp_path):
+    path = write(
+        tmp_path / "a.csv",
+        "lat,n,big,flag,text,none\n1.5,(not set),5000000000,true,1,NA\n(not set),7,NA,NA,x,\nNA,8,1,false,,\n",
+    )
+    df = C.read_csv(spark, path, null_values=["(not set)"])
+    assert [kind for _, kind in df.dtypes] == ["double", "int", "bigint", "boolean", "string", "string"]
+    assert [r.lat for r in df.collect()] == [1.5, None, None]
+
+
+def test_cells_that_do_not_fit_are_errors_or_counted(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "id,v\n1,2.5\n2,12x\n3,NA\nz,12x\n")
+    schema = "id int, v double"
+    with pytest.raises(Exception, match="column v is no double: 12x"):
+        C.read_csv(spark, path, "id string, v double").collect()
+    assert C.bad_cell_counts(spark, path, schema) == {"id": 1, "v": 2}
+    lenient = C.read_csv(spark, path, schema, bad_cells="null")
+    assert [tuple(r) for r in lenient.collect()] == [(1, 2.5), (2, None), (3, None), (None, None)]
+    with pytest.raises(ValueError):
+        C.read_csv(spark, path, schema, bad_cells="zero")
+
+
 def test_line_breaks_inside_quotes(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'id,name\n1,"two\nlines"\n2,x\n')
-    assert [r.name for r in C.read_csv(spark, path, "id int, name string").collect()] == ["two\nlines", "x"]
+    assert [r.name for r in C.read_csv(spark, path, "id int, name string", multiline=True).collect()] == ["two\nlines", "x"]
 
 
 def test_only_long_rows_are_skipped(spark, tmp_path):
@@ -109,7 +131,7 @@ def test_paged_json_counts_repeated_items_once(spark, tmp_path):
     ]
     for i, page in enumerate(pages):
         write(tmp_path / f"{i}.json", json.dumps(page, indent=1))
-    items = J.page_items(J.read_json(spark, str(tmp_path), J.PAGE_OF_CONTACTS))
+    items = J.page_items(J.read_json(spark, str(tmp_path), J.PAGE_OF_CONTACTS, multiline=True))
     assert sorted((r.id, r.firstName, r.lastName) for r in items.collect()) == [
         (1, "a", None), (2, "b", None), (3, None, "c"),
     ]
