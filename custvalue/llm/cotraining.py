@@ -175,13 +175,14 @@ def _sample(docs: DataFrame, labels: DataFrame, columns: dict[str, str], bad: st
     mine = ["text", *METADATA]
     # At most twice the sample's ids, so they may go to every task.
     with_label = rows.join(F.broadcast(taken), F.col("__doc") == F.col("__id"))
-    with_label = with_label.select(hashed, "bad", *mine).limit(2 * size)
+    with_label = with_label.select(hashed, "bad", *mine)
     n_docs = rows.select("__doc").count()
-    others = rows.where(_place("__doc", 23) < min(1.0, size / max(n_docs, 1))).limit(2 * size)
+    others = rows.where(_place("__doc", 23) < min(1.0, size / max(n_docs, 1)))
     others = others.select(hashed, F.lit(None).cast("int").alias("bad"), *mine)
-    found = with_label.unionByName(others).mapInArrow(
-        _features, "h long, bad int, content binary, meta binary"
-    )
+    # The shares make each sample about its size; the limits hold even where ids repeat.
+    kinds = "h long, bad int, content binary, meta binary"
+    parts = [part.mapInArrow(_features, kinds).limit(2 * size) for part in (with_label, others)]
+    found = parts[0].unionByName(parts[1])
     return sorted((tuple(r) for r in found.toLocalIterator()), key=lambda r: (r[0], r[1] is None))
 
 

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from custvalue.llm import wordhash as W
 from custvalue.llm.components import components
-from custvalue.llm.shared import named, saved, text_parts
+from custvalue.llm.shared import give_back, named, saved, text_parts
 from custvalue.llm.substrings import _planes, _unplaned
 
 SHINGLE = 5
@@ -376,6 +376,7 @@ def _met(threshold: int, paired: int = PAIRED):
         none = np.zeros(len(pairs) + int(many.sum()), bool)
         none[len(pairs) :] = True
         filler = np.zeros(int(many.sum()), np.int64)
+        give_back()
         return pa.table(
             {
                 "a": pa.array(np.concatenate([pairs[:, 0], node[many]])),
@@ -463,6 +464,7 @@ def _cell_links(threshold: int):
                 break
             label = least
         far = np.flatnonzero(label != np.arange(len(sets)))
+        give_back()
         return pa.table({"a": pa.array(node[far]), "b": pa.array(node[label[far]])})
 
     return link

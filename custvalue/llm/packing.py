@@ -19,6 +19,7 @@ import os
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from custvalue.llm.shared import named, saved, text_parts
 
 CAPACITY = 4096
 END_ID = 1
-_CACHED_WORDS = 3_000_000  # a worker's memory of words; it starts anew beyond that
+_CACHED_WORDS = 1_000_000  # a worker's memory of words; it starts anew beyond that
+_ENCODED_WORDS = 8_000  # words the encoder is given at once
 _SALT_ROWS = 20_000
 
 # A word may also be cut between an ASCII letter or digit (1) and one of these marks (2): the
@@ -65,9 +67,15 @@ class WordIds:
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         if len(self.hashes) + len(hashes) > _CACHED_WORDS:
             self._clear()
-        ids = [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        more = np.fromiter((i for word in ids for i in word), np.uint32, int(length.sum()))
+        sizes, flat = [], []
+        for low in range(0, len(texts), _ENCODED_WORDS):
+            some = self.encoder.encode_batch_fast(
+                texts[low : low + _ENCODED_WORDS], add_special_tokens=False
+            )
+            ids = [e.ids for e in some]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.array(list(chain.from_iterable(ids)), np.uint32))
+        length, more = np.concatenate(sizes), np.concatenate(flat)
         if self.used + len(more) > len(self.flat):
             grown = np.empty(max(len(self.flat) * 2, self.used + len(more)), np.uint32)
             grown[: self.used] = self.flat[: self.used]
@@ -131,7 +139,7 @@ def _cut(path: str, end_id: int, capacity: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            for low, high, data, offsets in text_parts(batch.column(1), 1 << 23):
+            for low, high, data, offsets in text_parts(batch.column(1), 1 << 21):
                 ids, begins = encoder.ids(data, offsets)
                 # Room for the end id behind every document.
                 every = np.full(len(ids) + high - low, end_id, "<u4")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Workers live on between stages, and what they hoard
+    after large batches would count against the executor's next tasks."""
+    global _trim
+    if _trim is None:
+        try:
+            _trim = ctypes.CDLL(None).malloc_trim
+        except (OSError, AttributeError):  # another C library: nothing to do
+            _trim = lambda pad: 0
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def text_parts(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple]:
     """A string column in runs of rows of about ``most`` bytes: (first row, last row + 1,
     bytes, offsets). A null is empty. A longer text is a run of its own, never cut."""
@@ -67,3 +84,4 @@ def text_parts(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple]:
         high = min(max(high, low + 1), len(column))
         yield low, high, data[ends[low] : ends[high]], ends[low : high + 1] - ends[low]
         low = high
+    give_back()

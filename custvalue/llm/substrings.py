@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from custvalue.llm import wordhash as W
-from custvalue.llm.shared import NO_ID, named, saved, text_parts
+from custvalue.llm.shared import NO_ID, give_back, named, saved, text_parts
 
 WINDOW = 20
 GROUP_BYTES = 8 << 20  # text bytes whose suffixes make one group
@@ -217,6 +217,7 @@ def _marks(buckets: int):
             columns[0].append(_planes(np.diff(id_[mine], prepend=0), "<i8"))
             columns[1].append(_planes(key[mine], "<i2"))
             columns[2].append(_planes(place[mine], "<u4"))
+        give_back()
         return pa.table(
             [pa.array(full), *[pa.array(c, pa.binary()) for c in columns]],
             names=["bucket", "ids", "keys", "places"],
