@@ -26,9 +26,16 @@ from custvalue.session import cut_lineage
 
 
 @query(
-    "WITH sizes AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) "
-    "SELECT o_orderstatus, 'test' AS part, CAST(ceil(n * 0.25) AS BIGINT) AS n FROM sizes UNION ALL "
-    "SELECT o_orderstatus, 'train', n - CAST(ceil(n * 0.25) AS BIGINT) FROM sizes"
+    # A quarter of all rows, rounded up, over the classes by largest remainder.
+    "WITH sizes AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1), "
+    "total AS (SELECT sum(n) AS rows, ceil(sum(n) * 0.25) AS test FROM sizes), "
+    "exact AS (SELECT o_orderstatus, n, test, n * test / rows AS x FROM sizes, total), "
+    "ranked AS (SELECT *, row_number() OVER (ORDER BY x - floor(x) DESC, o_orderstatus) AS place, "
+    "test - sum(floor(x)) OVER () AS extra FROM exact), "
+    "given AS (SELECT o_orderstatus, n, CAST(floor(x) + (place <= extra)::INTEGER AS BIGINT) AS t "
+    "FROM ranked) "
+    "SELECT o_orderstatus, 'test' AS part, t AS n FROM given UNION ALL "
+    "SELECT o_orderstatus, 'train', n - t FROM given"
 )
 def stratified_split(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")

@@ -7,7 +7,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,24 +15,135 @@ from pyspark.sql import functions as F
 from custvalue.functions.nulls import named
 from custvalue.operators.splits import stratified_parts
 
-_MAX_PIVOTS = 512
-_BLOCK_ROWS = 512
-_POINTS_PER_PIVOT = 256
-_CELLS_AT_ONCE = 4_000_000
+_BLOCK_ROWS = 1024  # points in a block
+_QUERIES_PER_CELL = 1024
+_POINTS_PER_CELL = 16384
 _SLACK = 1e-9
 
 # The array helpers travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def _packed(size: int):
+    """Rows (kind, key, apart, vector) as blocks of at most ``size`` rows of one kind.
+
+    Rows arrive in order of their distance from a fixed point where that helps: a block then
+    lies in a thin shell, and a small radius around its own centre lets others rule it out.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column(0).to_numpy()
+            keys = batch.column(1).to_numpy()
+            apart = batch.column(2).fill_null(np.iinfo(np.int64).min).to_numpy()
+            column = batch.column(3)
+            width = len(column[0]) if len(batch) else 0
+            vectors = column.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width)
+            rows: list[tuple] = []
+            for kind in np.unique(kinds).tolist():
+                mine = np.flatnonzero(kinds == kind)
+                way = vectors[mine] - vectors[mine[0]] if len(mine) else vectors[mine]
+                mine = mine[np.argsort((way * way).sum(axis=1), kind="stable")]
+                for low in range(0, len(mine), size):
+                    some = mine[low : low + size]
+                    rows.append(
+                        (
+                            kind, int(keys[some[0]]), width, keys[some].tobytes(),
+                            apart[some].tobytes(), vectors[some].tobytes(),
+                        )
+                    )
+            columns = list(zip(*rows)) or [()] * 6
+            kinds_ = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds_)],
+                names=["kind", "seed", "width", "keys", "apart", "vectors"],
+            )
+
+    return pack
+
+
+class _Block:
+    """Points with their own centre and radius."""
+
+    def __init__(self, keys: np.ndarray, apart: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.apart, self.vectors = keys[order], apart[order], vectors[order]
+        self.centre = vectors.mean(axis=0)
+        away = self.vectors - self.centre
+        self.reach = float(np.sqrt((away * away).sum(axis=1).max()))
+        self.squares = (self.vectors * self.vectors).sum(axis=1)
+
+
+def _cell_search(k: int, separate: bool):
+    def search(cell: pa.Table) -> pa.Table:
+        width = cell.column("width")[0].as_py()
+        kinds = cell.column("kind").to_numpy()
+
+        def rows(i: int) -> tuple[np.ndarray, ...]:
+            vectors = np.frombuffer(cell.column("vectors")[i].as_py(), np.float64)
+            return (
+                np.frombuffer(cell.column("keys")[i].as_py(), np.int64),
+                np.frombuffer(cell.column("apart")[i].as_py(), np.int64),
+                vectors.reshape(-1, width),
+            )
+
+        asked = [rows(int(i)) for i in np.flatnonzero(kinds == 1)]
+        blocks = [_Block(*rows(int(i))) for i in np.flatnonzero(kinds == 0)]
+        found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if asked and blocks:
+            found = _nearest_in_cell(*(np.concatenate(c) for c in zip(*asked)), blocks, k, separate)
+        return pa.table([pa.array(f) for f in found], names=["query", "neighbor", "distance"])
+
+    return search
+
+
+def _nearest_in_cell(keys, apart, queries, blocks: list[_Block], k: int, separate: bool):
+    """The k nearest points of a cell's blocks for each query: (query, neighbor, distance)."""
+    centres = np.stack([b.centre for b in blocks])
+    reach = np.array([b.reach for b in blocks])
+    to_centre = _distances(queries, centres)
+    limit = np.full(len(queries), np.inf)
+    best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    # Nearest blocks first, so that limits are tight when the far ones come.
+    for i in np.argsort(np.median(to_centre - reach, axis=0), kind="stable"):
+        block = blocks[i]
+        # A block can be left out where its nearest possible point is too far (triangle rule).
+        near = np.flatnonzero(to_centre[:, i] - block.reach <= limit * (1 + _SLACK) + _SLACK)
+        if not len(near):
+            continue
+        q = queries[near]
+        squares = (q * q).sum(axis=1)[:, None] + block.squares[None, :]
+        about = squares - 2 * (q @ block.vectors.T)
+        # What rounding may do to the quick distances, as a bound on their squares.
+        slack = 1e-11 * squares.max() * max(8, q.shape[1] / 8) + 1e-300
+        if separate:
+            about[apart[near][:, None] == block.apart[None, :]] = np.inf
+        bound = np.full(len(near), np.inf)
+        if about.shape[1] > k:
+            bound = np.partition(about, k - 1, axis=1)[:, k - 1]
+        bound = np.minimum(bound + slack, limit[near] ** 2 * (1 + _SLACK) + slack)
+        row, col = np.nonzero(about <= bound[:, None])
+        row, col = row[np.isfinite(about[row, col])], col[np.isfinite(about[row, col])]
+        exact = np.empty(len(row))
+        for low in range(0, len(row), 1 << 16):
+            some = slice(low, low + (1 << 16))
+            way = q[row[some]] - block.vectors[col[some]]
+            exact[some] = np.sqrt((way**2).sum(axis=1))
+        name = np.concatenate([best[0], near[row]])
+        point = np.concatenate([best[1], block.keys[col]])
+        distance = np.concatenate([best[2], exact])
+        order = np.lexsort((point, distance, name))
+        name, point, distance = name[order], point[order], distance[order]
+        place = np.arange(len(name)) - np.searchsorted(name, name)
+        best = [name[place < k], point[place < k], distance[place < k]]
+        full = np.flatnonzero(np.bincount(best[0], minlength=len(limit)) >= k)
+        limit[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+    return keys[best[0]], best[1], best[2]
+
+
 def _distances(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Euclidean distances by plain differences, so equal vectors give equal distances."""
-    step = max(1, _CELLS_AT_ONCE // max(1, others.size))
-    parts = [
-        ((rows[i : i + step, None, :] - others[None, :, :]) ** 2).sum(axis=2)
-        for i in range(0, len(rows), step)
-    ]
-    return np.sqrt(np.concatenate(parts))
+    """Euclidean distances by plain differences."""
+    return np.stack([np.sqrt(((rows - other) ** 2).sum(axis=1)) for other in others], axis=1)
 
 
 def nearest(
@@ -50,127 +161,39 @@ def nearest(
     ``apart`` are left out: with the key, a row is no neighbour of itself; with a fold number,
     rows find neighbours in the other folds only.
 
-    Points are grouped around a bounded number of pivot points and packed into blocks of
-    bounded size, so a crowded spot becomes many blocks. A first look into the blocks around
-    the nearest pivots bounds each query's distance; then only groups that can hold a nearer
-    point (by the triangle inequality) are searched. Query packs meet point blocks by an
-    equi-join, and a pair of blocks gives at most ``k`` rows per query, never its pairs.
+    Rows travel in packs. Packs of queries meet packs of points in a grid of cells of bounded
+    size; in a cell, blocks too far for a query's limit (by their own centre and radius) are left
+    out, the others are compared by one matrix product, and what may be among the nearest is
+    measured exactly. A cell gives at most ``k`` rows per query.
     """
     columns = [
         named(key).cast("bigint").alias("key"),
         (F.lit(None) if apart is None else named(apart)).cast("bigint").alias("apart"),
         named(vector).cast("array<double>").alias("vector"),
     ]
-    points, queries = points.select(*columns), queries.select(*columns)
-    n_points, n_queries = points.count(), queries.count()
-    if not n_points or not n_queries:
-        return queries.sparkSession.createDataFrame(
-            [], "query bigint, neighbor bigint, distance double, place int"
-        )
-    n_pivots = max(1, min(_MAX_PIVOTS, n_points // _POINTS_PER_PIVOT))
-    picked = points.orderBy(F.xxhash64("key"), "key").limit(n_pivots).collect()
-    pivots = np.array([row.vector for row in picked])
-
-    @F.pandas_udf("cluster int, reach double")
-    def nearest_pivot(vectors: pd.Series) -> pd.DataFrame:
-        distances = _distances(np.stack(vectors.to_numpy()), pivots)
-        cluster = distances.argmin(axis=1)
-        return pd.DataFrame({"cluster": cluster.astype("int32"), "reach": distances.min(axis=1)})
-
-    grouped = points.withColumn("p", nearest_pivot("vector")).select(
-        "key", "apart", "vector", "p.*"
-    )
-    # One row per pivot: bounded.
-    stats = grouped.groupBy("cluster").agg(F.max("reach").alias("reach"), F.count("*").alias("n"))
-    reach, sizes = np.full(n_pivots, -np.inf), np.zeros(n_pivots, dtype="int64")
-    for row in stats.collect():
-        reach[row.cluster], sizes[row.cluster] = row.reach, row.n
-    n_blocks = [max(1, math.ceil(size / _BLOCK_ROWS)) for size in sizes]
-    blocks_of = F.array(*map(F.lit, n_blocks))
-    block = F.pmod(F.xxhash64("key"), blocks_of[F.col("cluster")]).cast("int")
-    blocks = grouped.groupBy("cluster", block.alias("block")).agg(
-        F.collect_list(F.struct("key", "apart", "vector")).alias("points")
-    )
-    packs = max(1, math.ceil(n_queries / _BLOCK_ROWS))
-    # The first look only has to find some k points: some of those met may be left out.
-    enough = k if apart is None else 2 * k
-    # A pair of blocks is few bytes and much arithmetic: keep adaptive execution from putting
-    # many pairs into one task.
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    @F.pandas_udf("array<int>")
-    def first_clusters(vectors: pd.Series) -> pd.Series:
-        order = _distances(np.stack(vectors.to_numpy()), pivots).argsort(axis=1, kind="stable")
-        out = []
-        for row in order:
-            upto = int(np.searchsorted(sizes[row].cumsum(), min(enough, n_points))) + 1
-            out.append(row[:upto].astype("int32"))
-        return pd.Series(out)
-
-    @F.pandas_udf("array<int>")
-    def near_clusters(vectors: pd.Series, limits: pd.Series) -> pd.Series:
-        distances = _distances(np.stack(vectors.to_numpy()), pivots)
-        limit = limits.to_numpy()[:, None]
-        possible = (distances - reach[None, :]) <= limit * (1 + _SLACK) + _SLACK
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in possible])
-
-    def search(with_clusters: DataFrame) -> DataFrame:
-        sought = (
-            with_clusters.select("key", "apart", "vector", F.explode("clusters").alias("cluster"))
-            .withColumn(
-                "block", F.explode(F.sequence(F.lit(0), blocks_of[F.col("cluster")] - 1))
-            )
-            .withColumn("pack", F.pmod(F.xxhash64("key"), F.lit(packs)))
-            .repartition(tasks, "cluster", "block", "pack")
-            .groupBy("cluster", "block", "pack")
-            .agg(F.collect_list(F.struct("key", "apart", "vector")).alias("queries"))
-        )
+    points = points.select(F.lit(0).alias("kind"), *columns)
+    queries = queries.select(F.lit(1).alias("kind"), *columns)
+    down = max(1, math.ceil(queries.count() / _QUERIES_PER_CELL))
+    across = max(1, math.ceil(points.count() / _POINTS_PER_CELL))
+    schema = "kind int, seed long, width int, keys binary, apart binary, vectors binary"
+    place = F.xxhash64("seed", "kind")
 
-        def best_of_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for mine, theirs in zip(batch["queries"], batch["points"]):
-                    yield _best(mine, theirs, k, apart is not None)
-
-        pairs = sought.join(blocks, ["cluster", "block"]).select("queries", "points")
-        best = pairs.mapInPandas(best_of_pairs, "query bigint, neighbor bigint, distance double")
-        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
-        return best.withColumn("place", rank).where(F.col("place") <= k)
+    def spread(rows: DataFrame, size: int, own: int, other: int, names: tuple[str, str]):
+        everywhere = F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))
+        return rows.mapInArrow(_packed(size), schema).select(
+            "kind", "width", "keys", "apart", "vectors",
+            F.pmod(place, F.lit(own).cast("long")).alias(names[0]),
+            F.explode(everywhere).alias(names[1]),
+        )
 
-    looked = search(queries.withColumn("clusters", first_clusters("vector")))
-    limits = looked.groupBy(F.col("query").alias("key")).agg(
-        F.max("distance").alias("distance"), F.count("*").alias("n")
-    )
-    # A query that met fewer than k points (the table is that small) searches everything.
-    limit = F.when(F.col("n") >= k, F.col("distance")).otherwise(F.lit(float("inf")))
-    bounded = queries.join(limits, "key", "left").select(
-        "key", "apart", "vector", F.coalesce(limit, F.lit(float("inf"))).alias("limit")
+    cells = spread(queries, _QUERIES_PER_CELL // 4, down, across, ("down", "across")).unionByName(
+        spread(points, _BLOCK_ROWS, across, down, ("across", "down"))
     )
-    return search(bounded.withColumn("clusters", near_clusters("vector", "limit")))
-
-
-def _best(mine, theirs, k: int, apart: bool) -> pd.DataFrame:
-    """The k nearest points of one block for each query of one pack."""
-    query_keys = np.array([q["key"] for q in mine])
-    point_keys = np.array([p["key"] for p in theirs])
-    by_key = np.argsort(point_keys)
-    point_keys = point_keys[by_key]
-    points = np.stack([p["vector"] for p in theirs])[by_key]
-    distances = _distances(np.stack([q["vector"] for q in mine]), points)
-    if apart:
-        query_groups = np.array([q["apart"] for q in mine])
-        point_groups = np.array([p["apart"] for p in theirs])[by_key]
-        distances[query_groups[:, None] == point_groups[None, :]] = np.inf
-    # Points are in key order, and a stable sort keeps it among equal distances.
-    order = np.argsort(distances, axis=1, kind="stable")[:, :k]
-    best = np.take_along_axis(distances, order, axis=1).ravel()
-    found = pd.DataFrame(
-        {
-            "query": np.repeat(query_keys, order.shape[1]),
-            "neighbor": point_keys[order].ravel(),
-            "distance": best,
-        }
+    best = cells.groupBy("down", "across").applyInArrow(
+        _cell_search(k, apart is not None), "query bigint, neighbor bigint, distance double"
     )
-    return found[np.isfinite(best)]
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
+    return best.withColumn("place", rank).where(F.col("place") <= k)
 
 
 def knn_votes(neighbors: DataFrame, labels: DataFrame, key: str, label: str, k: int) -> DataFrame:
@@ -189,15 +212,17 @@ def knn_votes(neighbors: DataFrame, labels: DataFrame, key: str, label: str, k:
 def over_sample(
     df: DataFrame, key: str, vector: str, label: str, k: int = 5, seed: int = 42
 ) -> DataFrame:
-    """The rows, and synthetic rows of label 1 until both labels are equally many.
+    """The rows, and synthetic rows of the rarer label until both labels (0 and 1) are equally
+    many.
 
-    A synthetic row lies at a random place between a row of label 1 and one of its ``k``
+    A synthetic row lies at a random place between a row of that label and one of its ``k``
     nearest neighbours of the same label. All random choices are hashes of the row key, so a
     repeated task makes the same rows. Synthetic rows have a null key.
     """
     sizes = {row.c: row.n for row in df.groupBy(named(label).alias("c")).agg(
         F.count("*").alias("n")).where("c IN (0, 1)").collect()}
-    few, need = sizes.get(1, 0), sizes.get(0, 0) - sizes.get(1, 0)
+    rare = 1 if sizes.get(1, 0) <= sizes.get(0, 0) else 0
+    few, need = sizes.get(rare, 0), abs(sizes.get(0, 0) - sizes.get(1, 0))
     plain = df.select(
         named(key).cast("bigint").alias(key),
         named(vector).cast("array<double>").alias(vector),
@@ -206,7 +231,7 @@ def over_sample(
     if need <= 0 or few < 2:
         return plain
     k = min(k, few - 1)
-    minority = plain.where(named(label) == 1)
+    minority = plain.where(named(label) == rare)
     each, extra = divmod(need, few)
     share = extra / few
     counted = stratified_parts(minority, label, key, [share, 1 - share], seed, "__part")
@@ -230,7 +255,7 @@ def over_sample(
         .select(
             F.lit(None).cast("bigint").alias(key),
             between.alias(vector),
-            F.lit(1).alias(label),
+            F.lit(rare).alias(label),
         )
     )
     return plain.unionByName(made)

@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from custvalue.functions.nulls import named
 
 
+# Rows, about, in a bucket that one task looks into.
+_ROWS_PER_BUCKET = 250_000
+
+
 def exact_percentiles(
     df: DataFrame,
     value: str,
     probabilities: Sequence[float],
     by: Sequence[str] = (),
     few_groups: bool = False,
-    buckets: int = 512,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Per group: row count ``n`` and ``percentiles``, interpolated between neighbours.
 
@@ -26,7 +30,7 @@ def exact_percentiles(
     approximate pass gives cut points, a second pass counts rows per cut-point bucket, and
     only the buckets that hold a wanted rank are looked into. Each step pre-aggregates, so
     what one task holds is about ``rows / buckets`` distinct values, and one heavy value is
-    one row. Null and NaN values and null groups are left out.
+    one row. The buckets grow in number with the rows, so they do not grow in size. Null and NaN values and null groups are left out.
 
     ``few_groups`` says that the caller has checked the number of groups; the wanted buckets
     (a few per group) are then broadcast, and the rows themselves are never shuffled.
@@ -39,6 +43,8 @@ def exact_percentiles(
     )
     for key in keys:
         rows = rows.where(named(key).isNotNull())
+    if buckets is None:
+        buckets = max(8, math.ceil(rows.count() / _ROWS_PER_BUCKET))
     steps = [i / buckets for i in range(1, buckets)]
     cuts = {c for c in rows.approxQuantile("__v", steps, 0.25 / buckets) if math.isfinite(c)}
     splits = [float("-inf"), *sorted(cuts or {0.0}), float("inf")]

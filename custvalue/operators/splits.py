@@ -5,13 +5,116 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.functions.nulls import named
 
 MAX_CLASSES = 100
-_BUCKET_BITS = 12
+_LEVEL_BITS = 12
+_RANKED_ROWS = 200_000  # rows, at most, among which one task looks for a border
+
+
+def _allotted(sizes: dict, total: int) -> dict:
+    """``total`` rows over classes in proportion to their sizes, by largest remainder."""
+    rows = sum(sizes.values())
+    exact = {c: n * total / rows for c, n in sizes.items()}
+    found = {c: math.floor(round(x, 9)) for c, x in exact.items()}
+    order = sorted(sizes, key=lambda c: (-round(exact[c] - found[c], 9), c is None, str(c)))
+    for c in order[: total - sum(found.values())]:
+        found[c] += 1
+    return found
+
+
+class _Ranks:
+    """Rows of classes in order of a hash of their key, cut at given ranks."""
+
+    def __init__(self, df: DataFrame, label: str, key: str, seed: int):
+        self.hashed = F.xxhash64(named(key), F.lit(seed))
+        self.label = named(label)
+        self.rank_key = F.struct(self.hashed.alias("h"), named(key).alias("k"))
+        self.rows = df.select(
+            self.label.alias("c"), self.hashed.alias("h"), self.rank_key.alias("rank_key")
+        )
+
+    def sizes(self) -> dict:
+        counts = self.rows.groupBy("c").agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1)
+        found = {row.c: row.n for row in counts.collect()}
+        if len(found) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes: not a label")
+        return found
+
+    def borders(self, wanted: list[tuple]) -> dict:
+        """The hash and key of the row at each wanted (class, rank from 1).
+
+        Rows are counted by the first bits of their hash, then, only where a wanted rank lies and
+        still too many rows do, by the next bits, until one task may rank what is left. Counts on
+        the driver are bounded by the number of wanted ranks.
+        """
+        # (class, rank) -> prefix, its bits, rank within it, rows in it
+        places = {w: (0, 0, w[1], None) for w in wanted}
+        while open_ := {
+            w: p for w, p in places.items() if p[1] < 60 and (p[3] is None or p[3] > _RANKED_ROWS)
+        }:
+            spots = {(w[0], prefix, bits) for w, (prefix, bits, _, _) in open_.items()}
+            counts: dict = {}
+            for c, prefix, bits in spots:
+                inside = self._inside(c, prefix, bits)
+                piece = F.shiftrightunsigned("h", 64 - bits - _LEVEL_BITS)
+                for row in (
+                    self.rows.where(inside)
+                    .groupBy(piece.bitwiseAND(2**_LEVEL_BITS - 1).alias("b"))
+                    .agg(F.count("*").alias("n"))
+                    .collect()
+                ):
+                    counts.setdefault((c, prefix, bits), []).append((row.b, row.n))
+            for w, (prefix, bits, rank, _) in open_.items():
+                before = 0
+                # The first bit is a sign: hashes that begin with 1 are negative, and come first.
+                for b, n in sorted(
+                    counts[w[0], prefix, bits],
+                    key=lambda e: e[0] ^ (2 ** (_LEVEL_BITS - 1)) if bits == 0 else e[0],
+                ):
+                    if rank <= before + n:
+                        inner = (prefix << _LEVEL_BITS) + b
+                        places[w] = (inner, bits + _LEVEL_BITS, rank - before, n)
+                        break
+                    before += n
+        by_spot: dict = {}
+        for w, (prefix, bits, rank, _) in places.items():
+            by_spot.setdefault((w[0], prefix, bits), []).append((rank, w))
+        out = {}
+        for (c, prefix, bits), ranks in by_spot.items():
+            most = max(rank for rank, _ in ranks)
+            first = self.rows.where(self._inside(c, prefix, bits)).orderBy("rank_key").limit(most)
+            found = [row.rank_key for row in first.select("rank_key").collect()]
+            for rank, w in ranks:
+                out[w] = found[rank - 1]
+        return out
+
+    def _inside(self, c, prefix: int, bits: int):
+        mine = F.col("c").eqNullSafe(F.lit(c))
+        if not bits:
+            return mine
+        return mine & (F.shiftrightunsigned("h", 64 - bits) == F.lit(prefix).cast("long"))
+
+
+def _parted(df: DataFrame, ranks: _Ranks, ends: list[dict], name: str) -> DataFrame:
+    """Add ``name``: how many of the ends (rows per class) a row lies behind."""
+    wanted = [(c, r) for end in ends for c, r in end.items()]
+    borders = ranks.borders(sorted({w for w in wanted if w[1] > 0}, key=str))
+    part = F.lit(0)
+    for end in ends:
+        passed = F.lit(False)
+        for c, r in end.items():
+            mine = ranks.label.eqNullSafe(F.lit(c))
+            if r > 0:
+                row = borders[c, r]
+                border = F.struct(F.lit(row.h).alias("h"), F.lit(row.k).alias("k"))
+                mine = mine & (ranks.rank_key > border)
+            passed = passed | mine
+        part = part + F.when(passed, 1).otherwise(0)
+    return df.withColumn(name, part)
 
 
 def stratified_parts(
@@ -26,67 +129,26 @@ def stratified_parts(
 
     Rows of a class are ranked by a seeded hash of their unique ``key``; part ``j`` ends at
     rank ``ceil(n * sum of shares up to j)``. Ranking a class in a window would put it into
-    one task. Instead rows are counted per hash bucket, only the buckets in which a part ends
-    are ranked, and the rows found there are the borders every row is compared to: the result
-    is a projection of ``df``. Counts and borders on the driver are bounded by the number of
-    classes, which is checked. A repeated task gives the same parts, since the hash depends on
-    the key alone.
+    one task; here only the rows at which a part ends are looked for (``_Ranks.borders``), and
+    every row is compared to them: the result is a projection of ``df``. A repeated task gives
+    the same parts, since the hash depends on the key alone.
     """
-    hashed = F.xxhash64(named(key), F.lit(seed))
-    rank_key = F.struct(hashed.alias("h"), named(key).alias("k"))
-    rows = df.select(
-        named(label).alias("c"),
-        F.shiftright(hashed, 64 - _BUCKET_BITS).cast("int").alias("b"),
-        rank_key.alias("rank_key"),
-    )
-    counts = rows.groupBy("c", "b").agg(F.count("*").alias("n"))
-    most = MAX_CLASSES * 2**_BUCKET_BITS
-    sizes: dict = {}
-    for row in counts.limit(most + 1).collect():
-        sizes.setdefault(row.c, []).append((row.b, row.n))
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes: not a label")
-
-    ends, total = [], 0.0
+    ranks = _Ranks(df, label, key, seed)
+    sizes, ends, total = ranks.sizes(), [], 0.0
     for share in list(shares)[:-1]:
         total += share
-        ends.append(round(total, 9))
-    wanted = []
-    for c, buckets in sizes.items():
-        n, before = sum(n for _, n in buckets), 0
-        ranks = [math.ceil(round(n * end, 6)) for end in ends]
-        for b, size in sorted(buckets):
-            wanted += [(c, b, r - before) for r in ranks if before < r <= before + size]
-            before += size
-    if not wanted:
-        return df.withColumn(name, F.lit(0))
-
-    same = [(F.col("c").eqNullSafe(F.lit(c))) & (F.col("b") == b) for c, b, _ in wanted]
-    places = F.array(*[F.when(s, F.lit(place)) for s, (_, _, place) in zip(same, wanted)])
-    in_bucket = F.row_number().over(Window.partitionBy("c", "b").orderBy("rank_key"))
-    borders = (
-        rows.withColumn("places", F.array_compact(places))
-        .where(F.size("places") > 0)
-        .withColumn("place", in_bucket)
-        .where(F.array_contains("places", F.col("place")))
-        .select("c", F.explode("places").alias("hit"), "place", "rank_key")
-        .where("hit = place")
-        .select("c", "rank_key.*")
-    )
-    part = F.lit(0)
-    for border in borders.collect():
-        passed = named(label).eqNullSafe(F.lit(border.c)) & (
-            rank_key > F.struct(F.lit(border.h).alias("h"), F.lit(border.k).alias("k"))
-        )
-        part = part + F.when(passed, 1).otherwise(0)
-    return df.withColumn(name, part)
+        ends.append({c: math.ceil(round(n * round(total, 9), 6)) for c, n in sizes.items()})
+    return _parted(df, ranks, ends, name)
 
 
 def stratified_split(
     df: DataFrame, label: str, key: str, test_share: float = 0.25, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, test) with the same share of each class."""
-    parts = stratified_parts(df, label, key, [test_share, 1 - test_share], seed, "__part")
+    """(train, test): ``ceil(test_share * rows)`` test rows, over the classes in proportion."""
+    ranks = _Ranks(df, label, key, seed)
+    sizes = ranks.sizes()
+    test = math.ceil(round(test_share * sum(sizes.values()), 6))
+    parts = _parted(df, ranks, [_allotted(sizes, test)] if sizes else [], "__part")
     return (
         parts.where("__part = 1").drop("__part"),
         parts.where("__part = 0").drop("__part"),

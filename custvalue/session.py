@@ -1,9 +1,8 @@
-"""Session settings for stand-alone runs, and the shared folder for cut lineage."""
+"""Session settings for stand-alone runs, and how a table is held that is read again."""
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,28 +22,31 @@ def build_session(app: str = "custvalue", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_folder(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a scratch folder of its own; on a
-    cluster a folder on one machine would be lost with it, so there we refuse.
-    """
+def has_checkpoint_folder(spark: SparkSession) -> bool:
+    """Whether the session names a shared folder for checkpoints, which then is in use."""
     context = spark.sparkContext
     if context.getCheckpointDir():
-        return
+        return True
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="run-")
-    context.setCheckpointDir(folder)
+    if folder:
+        context.setCheckpointDir(folder)
+    return bool(folder)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once for several readers, kept by column in memory and on disk.
+
+    What a lost executor held is computed again from the input.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+    """For iterative jobs: write ``df`` to the shared folder and go on from there.
 
-    Files in shared storage outlive a lost executor, so later stages never replay the
-    whole history of an iterative job.
+    Files in shared storage outlive a lost executor, so later steps never replay the whole
+    history. A session that names no folder keeps the table instead, with its history.
     """
-    ensure_checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if has_checkpoint_folder(df.sparkSession):
+        return df.checkpoint(eager=True)
+    return held(df)

@@ -206,22 +206,18 @@ def test_bad_json_text_is_null(rows):
     assert [r[0] for r in got] == [3, None, None]
 
 
-@pytest.mark.parametrize("missing", ["cluster"])
-def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch, missing):
+def test_without_a_shared_folder_tables_are_kept_not_written(rows, monkeypatch):
     from custvalue import session
 
-    class Context:
-        master = "spark://host:7077"
+    df = rows([(1,), (2,)], "a int")
+    monkeypatch.setattr(session, "has_checkpoint_folder", lambda spark: False)
+    kept = session.cut_lineage(df)
+    assert kept.storageLevel.useDisk and kept.count() == 2
+    kept.unpersist()
 
-        def getCheckpointDir(self):
-            return None
 
-    class Conf:
-        def get(self, name, default=None):
-            return default
-
-    class Session:
-        sparkContext, conf = Context(), Conf()
+def test_the_folder_is_the_one_the_session_names(spark):
+    from custvalue import session
 
-    with pytest.raises(ValueError):
-        session.ensure_checkpoint_folder(Session())
+    assert session.has_checkpoint_folder(spark)
+    assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
