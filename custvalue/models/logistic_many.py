@@ -2,19 +2,21 @@
 
 Leaving out each feature in each fold, or trying each strength in each fold, takes hundreds
 of fits that differ little. Fitted one by one, each would read the rows dozens of times. Here
-one pass over the rows serves one Newton step of every fit: tasks add up slopes and
-curvatures of their rows per fit, Spark sums them by key, and the driver solves systems the
-size of the feature list.
+one pass over the rows serves one step of every fit. Per fold one base fit takes Newton steps;
+all other fits of the fold start from it and share its curvature, corrected by their own last
+steps (limited-memory BFGS), so a pass adds up only slopes for them: as many numbers per fit as
+there are features. Tasks add up matrices, which are summed in a tree of two levels.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -22,10 +24,11 @@ from pyspark.sql import functions as F
 
 from custvalue.models.metrics import weighted_metrics
 
-_MAX_PASSES = 60
-_TOLERANCE = 1e-9
-# Sums of one pass come to the driver; fits are taken in groups that stay below this.
-_MAX_SUMS = 400_000
+_MAX_PASSES = 200
+_TOLERANCE = 1e-13
+_MEMORY = 8
+_BRANCHES = 16
+_CELLS_AT_ONCE = 4_000_000
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -54,94 +57,203 @@ def _arrays(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.hstack([x, np.ones((len(x), 1))]), batch["label"].to_numpy(), batch["fold"].to_numpy()
 
 
-def _sums(rows: DataFrame, fits: Sequence[Fit], weights: np.ndarray) -> np.ndarray:
-    """Per fit: loss, slopes and the upper half of the curvatures, summed over its rows."""
-    left_out = np.array([-2 if f.left_out is None else f.left_out for f in fits])
-    size = weights.shape[1]
-    upper = np.triu_indices(size)
-    width = 1 + size + len(upper[0])
+def _added(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of one matrix per task (column sums, as bytes)."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("sums"))
+        return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
+
+    branch = F.pmod(F.spark_partition_id(), F.lit(_BRANCHES)).alias("branch")
+    few = parts.select("sums", branch).groupBy("branch").applyInArrow(add, "sums binary")
+    total = np.zeros(int(np.prod(shape)))
+    for row in few.collect():
+        total += np.frombuffer(row.sums, np.float64)
+    return total.reshape(shape)
+
+
+def _per_task(add_up: Callable[[np.ndarray, ...], None], size: int):
+    """Calls ``add_up(x, y, fold, total)`` for the rows of a task, a bounded number at a time."""
 
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(left_out), width))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
         for batch in batches:
-            if not len(batch):
-                continue
-            x, y, fold = _arrays(batch)
-            margins = x @ weights.T
-            chances = 1 / (1 + np.exp(-np.clip(margins, -500, 500)))
-            for m in range(len(left_out)):
-                used = fold != left_out[m]
-                z, p, t, xs = margins[used, m], chances[used, m], y[used], x[used]
-                total[m, 0] += np.sum(np.logaddexp(0, z) - t * z)
-                total[m, 1 : 1 + size] += xs.T @ (p - t)
-                total[m, 1 + size :] += (xs.T @ (xs * (p * (1 - p))[:, None]))[upper]
-        yield pd.DataFrame({"fit": np.arange(len(left_out), dtype="int32"), "sums": list(total)})
-
-    parts = rows.mapInPandas(add_up, "fit int, sums array<double>")
-    summed = (
-        parts.select("fit", F.posexplode("sums").alias("place", "value"))
-        .groupBy("fit", "place")
-        .agg(F.sum("value").alias("value"))
-    )
-    out = np.zeros((len(fits), width))
-    table = summed.toArrow()
-    out[table["fit"].to_numpy(), table["place"].to_numpy()] = table["value"].to_numpy()
-    return out
-
-
-def _step(fit: Fit, sums: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
-    """(penalised loss, Newton step) at ``weights``; the intercept is not penalised."""
-    size = len(weights)
-    curvature = np.zeros((size, size))
-    curvature[np.triu_indices(size)] = sums[1 + size :]
-    curvature += np.triu(curvature, 1).T
-    free = np.array([*fit.features, size - 1])
-    penalty = np.zeros(size)
-    penalty[list(fit.features)] = 1 / fit.c
-    slope = sums[1 : 1 + size] + penalty * weights
-    loss = sums[0] + 0.5 * float(np.sum(penalty * weights**2))
-    system = (curvature + np.diag(penalty))[np.ix_(free, free)]
+            if len(batch):
+                add_up(*_arrays(batch), total)
+        yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    return run
+
+
+def _chances(margins: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margins, -500, 500)))
+
+
+def _slopes(rows: DataFrame, left_out: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per fit: loss and slopes, summed over its rows."""
+    shape = (len(left_out), 1 + weights.shape[1])
+    step = max(1, _CELLS_AT_ONCE // len(left_out))
+
+    def add_up(x, y, fold, total):
+        out = total.reshape(shape)
+        for low in range(0, len(x), step):
+            xs, t = x[low : low + step], y[low : low + step, None]
+            used = fold[low : low + step, None] != left_out[None, :]
+            margins = xs @ weights.T
+            out[:, 0] += (np.where(used, np.logaddexp(0, margins) - t * margins, 0)).sum(axis=0)
+            out[:, 1:] += np.where(used, _chances(margins) - t, 0).T @ xs
+
+    parts = rows.mapInPandas(_per_task(add_up, shape[0] * shape[1]), "sums binary")
+    return _added(parts, shape)
+
+
+def _curvatures(rows: DataFrame, left_out: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per base fit the matrix of second derivatives, summed over its rows."""
+    size = weights.shape[1]
+    shape = (len(left_out), size, size)
+
+    def add_up(x, y, fold, total):
+        out = total.reshape(shape)
+        chances = _chances(x @ weights.T)
+        for m in range(len(left_out)):
+            used = fold != left_out[m]
+            xs, p = x[used], chances[used, m]
+            out[m] += xs.T @ (xs * (p * (1 - p))[:, None])
+
+    parts = rows.mapInPandas(_per_task(add_up, int(np.prod(shape))), "sums binary")
+    return _added(parts, shape)
+
+
+def _inverse(system: np.ndarray) -> np.ndarray:
     scale = 1 / np.sqrt(np.maximum(np.diag(system), 1e-300))
-    step = np.zeros(size)
-    scaled_system = system * scale[:, None] * scale[None, :]
-    step[free] = -scale * np.linalg.lstsq(scaled_system, scale * slope[free], rcond=None)[0]
-    return loss, step
+    scaled = system * scale[:, None] * scale[None, :]
+    return scale[:, None] * np.linalg.pinv(scaled, hermitian=True) * scale[None, :]
+
+
+class _Descent:
+    """One fit on its way: weights, slope, and the last steps."""
+
+    def __init__(self, fit: Fit, size: int, start: np.ndarray):
+        self.fit, self.free = fit, np.zeros(size, bool)
+        self.free[[*fit.features, size - 1]] = True
+        self.penalty = np.zeros(size)
+        self.penalty[list(fit.features)] = 1 / fit.c
+        self.weights = np.where(self.free, start, 0.0)
+        self.loss, self.slope, self.step = np.inf, None, np.zeros(size)
+        self.steps: list[tuple[np.ndarray, np.ndarray]] = []
+        self.length, self.done = 1.0, False
 
+    def settle(self, curvature: np.ndarray, inverses: dict) -> None:
+        """The shared curvature's inverse, with the rows of features left out taken out."""
+        name = (self.fit.left_out, self.fit.c)
+        if name not in inverses:
+            penalty = np.full(len(self.penalty), 1 / self.fit.c)
+            penalty[-1] = 1e-12
+            inverses[name] = _inverse(curvature + np.diag(penalty))
+        self.inverse, gone = inverses[name], np.flatnonzero(~self.free)
+        self.gone = gone
+        if len(gone) > len(self.free) // 2:
+            inner = np.linalg.pinv(self.inverse, hermitian=True)[np.ix_(self.free, self.free)]
+            self.inverse = np.zeros_like(self.inverse)
+            self.inverse[np.ix_(self.free, self.free)] = _inverse(inner)
+            self.gone = np.empty(0, int)
+        elif len(gone):
+            self.corner = np.linalg.pinv(self.inverse[np.ix_(gone, gone)], hermitian=True)
 
-def fit_many(rows: DataFrame, fits: Sequence[Fit]) -> np.ndarray:
+    def solved(self, v: np.ndarray) -> np.ndarray:
+        out = self.inverse @ np.where(self.free, v, 0.0)
+        if len(self.gone):
+            out -= self.inverse[:, self.gone] @ (self.corner @ out[self.gone])
+        return np.where(self.free, out, 0.0)
+
+    @property
+    def trial(self) -> np.ndarray:
+        return self.weights + self.length * self.step
+
+    def take(self, sums: np.ndarray) -> None:
+        """Accept the trial or shorten it; then choose the next step."""
+        trial = self.trial
+        loss = sums[0] + 0.5 * float(np.sum(self.penalty * trial**2))
+        slope = np.where(self.free, sums[1:] + self.penalty * trial, 0.0)
+        if self.slope is not None:
+            fall = float(self.slope @ self.step) * self.length
+            if loss > self.loss + 1e-4 * fall + 1e-13 * abs(self.loss):
+                self.length /= 2
+                # So short a step that rounding hides what it gains.
+                self.done = self.length < 1e-6 and -fall < 1e-9 * max(1.0, abs(self.loss))
+                return
+            move, change = trial - self.weights, slope - self.slope
+            if move @ change > 1e-14 * np.sqrt((move @ move) * (change @ change) + 1e-300):
+                self.steps = [*self.steps[1 - _MEMORY :], (move, change)]
+        self.weights, self.loss, self.slope, self.length = trial, loss, slope, 1.0
+        self.done = float(slope @ self.solved(slope)) <= _TOLERANCE * max(1.0, abs(loss))
+        direction, parts = slope.copy(), []
+        for move, change in reversed(self.steps):
+            share = move @ direction / (move @ change)
+            parts.append(share)
+            direction -= share * change
+        direction = self.solved(direction)
+        for (move, change), share in zip(self.steps, reversed(parts)):
+            direction += move * (share - change @ direction / (move @ change))
+        self.step = -direction
+
+
+def _folds(fits: Sequence[Fit]) -> np.ndarray:
+    return np.array([-2 if f.left_out is None else f.left_out for f in fits])
+
+
+def fit_many(
+    rows: DataFrame, fits: Sequence[Fit], on_pass: Callable[[], None] = lambda: None
+) -> np.ndarray:
     """Weights per fit, one per feature and the intercept last; features left out weigh 0.
 
     Minimises ``c * loss + |weights|^2 / 2``. ``rows`` come from ``model_rows`` and should be
-    cached. A step that would raise the loss is halved until it does not.
+    cached. Raises when the passes do not suffice. ``on_pass`` is called for every pass.
     """
     first = rows.select(F.size("x").alias("n")).first()
     if first is None:
         raise ValueError("no rows to learn from")
     size = first.n + 1
-    group = max(1, _MAX_SUMS // (1 + size + size * (size + 1) // 2))
-    weights = np.zeros((len(fits), size))
-    for start in range(0, len(fits), group):
-        part = list(range(start, min(start + group, len(fits))))
-        best = {m: np.inf for m in part}
-        step = {m: np.zeros(size) for m in part}
+    strengths = sorted(f.c for f in fits)
+    everything = tuple(sorted({i for f in fits for i in f.features}))
+    left_out = sorted({f.left_out for f in fits}, key=str)
+    bases = [
+        _Descent(Fit(everything, strengths[len(strengths) // 2], fold), size, np.zeros(size))
+        for fold in left_out
+    ]
+    folds = _folds([b.fit for b in bases])
+
+    def run(going: list[_Descent], newton: bool) -> None:
         for _ in range(_MAX_PASSES):
-            trial = np.stack([weights[m] + step[m] for m in part])
-            sums = _sums(rows, [fits[m] for m in part], trial)
-            going = []
-            for i, m in enumerate(part):
-                loss, next_step = _step(fits[m], sums[i], trial[i])
-                if loss > best[m] + 1e-12 * abs(best[m]):
-                    step[m] = step[m] / 2
-                    going.append(m)
-                    continue
-                gain = best[m] - loss
-                weights[m], best[m], step[m] = trial[i], loss, next_step
-                if gain > _TOLERANCE * max(1.0, abs(loss)):
-                    going.append(m)
-            part = going
-            if not part:
-                break
-    return weights
+            going = [d for d in going if not d.done]
+            if not going:
+                return
+            on_pass()
+            if newton and all(d.length == 1.0 for d in going):
+                # Fresh curvature where the trial is; its steps need no memory.
+                found = _curvatures(rows, folds, np.stack([d.trial for d in bases]))
+                for d, curvature in zip(bases, found):
+                    d.curvature, d.steps = curvature, []
+                    d.settle(curvature, {})
+            trials = np.stack([d.trial for d in going])
+            for d, sums in zip(going, _slopes(rows, _folds([d.fit for d in going]), trials)):
+                d.take(sums)
+                if newton:
+                    d.steps = []
+        if any(not d.done for d in going):
+            raise RuntimeError(f"logistic fits did not converge in {_MAX_PASSES} passes")
+
+    run(bases, newton=True)
+    by_fold = {d.fit.left_out: d for d in bases}
+    inverses: dict = {}
+    descents = []
+    for fit in fits:
+        base = by_fold[fit.left_out]
+        descent = _Descent(fit, size, base.weights)
+        descent.settle(base.curvature, inverses)
+        descents.append(descent)
+    run(descents, newton=False)
+    return np.stack([d.weights for d in descents])
 
 
 def fold_scores(rows: DataFrame, fits: Sequence[Fit], weights: np.ndarray) -> list[float]:

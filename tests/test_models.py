@@ -166,6 +166,43 @@ def test_logistic_equals_a_newton_solution(rows):
     assert np.allclose(together[1], [part[0], 0, part[1], 0, part[2]], atol=1e-6)
 
 
+def test_passes_do_not_grow_with_the_features(rows):
+    passes = {}
+    for width in (50, 300):
+        rng = np.random.default_rng(width)
+        x = rng.normal(0, 1, (400, width))
+        y = (x[:, :5].sum(axis=1) + rng.normal(0, 1, 400) > 0).astype(int)
+        data = rows(
+            [(i, int(t), i % 2, Vectors.dense(v)) for i, (v, t) in enumerate(zip(x, y))],
+            ["key", "label", "fold", "features"],
+        )
+        cached = model_rows(data.repartition(2)).cache()
+        everything = range(width)
+        fits = [
+            Fit(tuple(j for j in everything if j != i), 1.0, fold)
+            for i in [-1, *range(0, width, max(1, width // 25))] for fold in (0, 1)
+        ]
+        count = []
+        weights = fit_many(cached, fits, lambda: count.append(1))
+        passes[width] = len(count)
+        folds = np.arange(400) % 2
+        for fit, got in list(zip(fits, weights))[::11]:
+            some = list(fit.features)
+            expected = newton(x[folds != fit.left_out][:, some], y[folds != fit.left_out], 1.0)
+            assert np.allclose(got[[*some, width]], expected, atol=1e-5)
+        cached.unpersist()
+    assert passes[300] <= passes[50] + 6 and passes[300] < 40
+
+
+def test_fits_that_do_not_settle_are_an_error(rows, monkeypatch):
+    from custvalue.models import logistic_many
+
+    monkeypatch.setattr(logistic_many, "_MAX_PASSES", 2)
+    df, _, _ = labelled(rows)
+    with pytest.raises(RuntimeError, match="did not converge"):
+        fit_many(model_rows(df), [Fit((0, 1, 2, 3), 17.0)])
+
+
 def test_joint_fits_survive_separable_rows(rows):
     x = np.linspace(-1, 1, 40)[:, None] * [100.0]
     y = (x[:, 0] > 0).astype(int)
@@ -343,11 +380,7 @@ def test_from_customer_table_to_model(rows):
     )
     prepared = prepare_features(rows(data, schema), "id", "target", drop=["email"])
     assert prepared.features == ["spend", "industry_retail", "industry_travel", "flag_1"]
-    assert prepared.test.count() == sum(
-        int(np.ceil(0.25 * n)) for n in (
-            sum(1 for d in data if d[1] == 1), sum(1 for d in data if d[1] != 1)
-        )
-    )
+    assert prepared.test.count() == 100
     model = fit_license_model(prepared)
     assert "industry_retail" in model.features
     assert model.coefficients.first().feature == "industry_retail"
