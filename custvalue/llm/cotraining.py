@@ -30,7 +30,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from custvalue.llm import rules
 from custvalue.llm import subwords as S
-from custvalue.llm.shared import named, text_parts
+from custvalue.llm.shared import named, small_batches, text_parts
 from custvalue.llm.wordhash import per_text
 
 SAMPLE = 3000
@@ -280,4 +280,4 @@ def scored(
     rows = docs.select(*map(named, columns))
     kinds = [DoubleType()] * 3 + [BooleanType()]
     fields = [StructField(c, k) for c, k in zip(own, kinds)]
-    return rows.mapInArrow(score, StructType(rows.schema.fields + fields))
+    return small_batches(rows).mapInArrow(score, StructType(rows.schema.fields + fields))

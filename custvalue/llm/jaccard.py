@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from custvalue.llm import wordhash as W
 from custvalue.llm.components import components
-from custvalue.llm.shared import give_back, named, saved, text_parts
+from custvalue.llm.shared import give_back, named, saved, small_batches, text_parts
 from custvalue.llm.substrings import _planes, _unplaned
 
 SHINGLE = 5
@@ -54,7 +54,7 @@ PART_BYTES = 8 << 20  # text bytes whose index entries make one group
 SAMPLE_DOCS = 20_000  # and at least one in 8: documents looked at for crowded segments
 CROWDED = 32  # sets that make a segment crowded, as estimated from the sample
 PAIRED = 64  # members, at most, of an entry whose members are paired
-BLOCK = 1500  # members of a family's block
+BLOCK = 1000  # members of a family's block
 MOST_CROWDED = 500_000  # broadcast at most so many; the rest are treated like others
 FILTER_BITS = 26  # at most 2**26 bits of filter are broadcast; more ids only make it coarser
 
@@ -455,9 +455,9 @@ def _cell_links(threshold: int):
             holds[owner[part], flat[part] - low] = 1
             common += holds @ holds.T
         linked = 100 * common >= threshold * (n[:, None] + n[None, :] - common)
-        label = np.arange(len(sets))
+        label = np.arange(len(sets), dtype=np.int32)
         while True:
-            least = np.where(linked, label[None, :], len(sets)).min(axis=1)
+            least = np.where(linked, label[None, :], np.int32(len(sets))).min(axis=1)
             least = np.minimum(least, label)
             least = least[least]
             if (least == label).all():
@@ -579,6 +579,7 @@ def similar_groups(
     are paired, and how large a family's blocks are; no result depends on them.
     """
     texts = docs.select(named(id_column).alias("id"), named(text_column).alias("text"))
+    texts = small_batches(texts)
     scheme = Scheme(threshold)
     size = texts.agg(
         F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.llm import subwords as S
-from custvalue.llm.shared import named
+from custvalue.llm.shared import named, small_batches
 
 UNKNOWN = "und"
 SAMPLE = 2000  # labelled documents to learn from, spread evenly over the languages
@@ -183,6 +183,6 @@ def predict(
 
     rows = docs.select(named(id_column), named(text_column))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(
+    return small_batches(rows).mapInArrow(
         named_languages, f"doc_id {kind}, lang_pred string, score double, accepted boolean"
     )

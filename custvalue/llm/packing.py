@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from custvalue.llm import wordhash as W
-from custvalue.llm.shared import named, saved, text_parts
+from custvalue.llm.shared import named, saved, small_batches, text_parts
 
 CAPACITY = 4096
 END_ID = 1
@@ -184,7 +184,7 @@ def pieces(
         f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, "
         "ids_crc32 long" + (", ids binary" if with_ids else "")
     )
-    return rows.mapInArrow(_cut(tokenizer, end_id, capacity, with_ids), schema)
+    return small_batches(rows).mapInArrow(_cut(tokenizer, end_id, capacity, with_ids), schema)
 
 
 class _Tree:

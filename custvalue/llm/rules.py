@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.llm import wordhash as W
-from custvalue.llm.shared import named, text_parts
+from custvalue.llm.shared import named, small_batches, text_parts
 
 _RUN = 5
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -121,7 +121,7 @@ def ledger(
     failed = bits[0].cast("long")
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit.cast("long"))
-    return rows.mapInArrow(_measured, schema).withColumn("failed", failed)
+    return small_batches(rows).mapInArrow(_measured, schema).withColumn("failed", failed)
 
 
 def kept(policy: Policy) -> Column:

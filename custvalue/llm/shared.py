@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,24 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most 8 MB.
+
+    Whole texts go to Python; with large batches the copies on the way would take more of an
+    executor than the work itself.
+    """
+    conf = df.sparkSession.conf
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", str(conf.get(_BATCH_KEY)).lower()).groups()
+    size = int(number) << 10 * " kmgt".index(unit or " ")
+    if not 0 < size <= _BATCH_BYTES:
+        conf.set(_BATCH_KEY, str(_BATCH_BYTES))
+    return df
+
+
 _trim = None
 
 

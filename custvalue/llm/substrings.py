@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from custvalue.llm import wordhash as W
-from custvalue.llm.shared import NO_ID, give_back, named, saved, text_parts
+from custvalue.llm.shared import NO_ID, give_back, named, saved, small_batches, text_parts
 
 WINDOW = 20
 GROUP_BYTES = 8 << 20  # text bytes whose suffixes make one group
@@ -304,6 +304,7 @@ def repeat_marks(
         _key(text_column).alias("key"),
         named(text_column).alias("text"),
     ).where("text IS NOT NULL")
+    texts = small_batches(texts)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     crowded = crowded_prefixes(texts, total, window, group_bytes)

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from custvalue.llm import wordhash as W
-from custvalue.llm.shared import text_parts
+from custvalue.llm.shared import small_batches, text_parts
 
 
 def test_words_are_those_of_the_pattern(word_list):
@@ -51,3 +51,13 @@ def test_helpers_count_and_cover():
     assert W.covered(np.array([1, 2]), 2, 5).tolist() == [False, True, True, True, False]
     assert W.per_text(np.array([1, 0, 1], bool), np.array([0, 0, 2, 3])).tolist() == [0, 1, 1]
     assert re.match("[0-9]+", str(W.mixed(np.array([5], np.uint64))[0]))
+
+
+def test_batches_are_made_small_but_never_larger(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for given, expected in (("64m", str(8 << 20)), ("1k", "1k"), ("-1", str(8 << 20)), ("100b", "100b")):
+        spark.conf.set(key, given)
+        small_batches(spark.range(1))
+        assert spark.conf.get(key).rstrip("b") == expected.rstrip("b")
+    spark.conf.set(key, before)
