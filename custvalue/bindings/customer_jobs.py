@@ -210,7 +210,7 @@ def transactions_enriched(spark, sf):
 
 
 _LICENSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-_PAID_SQL = f"""{S.PAYMENTS_SQL}, {S.RENEWALS_SQL}, paid AS (
+PAID_SQL = f"""{S.PAYMENTS_SQL}, {S.RENEWALS_SQL}, paid AS (
   SELECT * FROM payments WHERE status = 'complete' AND method IS DISTINCT FROM 'Test Payment'
   AND payment_id NOT IN (SELECT payment_id FROM renewals))"""
 _PURCHASES_SQL = (
@@ -233,7 +233,7 @@ def _purchases(spark, sf):
     return transactions.customer_purchases(payments, renewals)
 
 
-@query(f"WITH {_PAID_SQL} {_PURCHASES_SQL}")
+@query(f"WITH {PAID_SQL} {_PURCHASES_SQL}")
 def customer_purchases(spark, sf):
     found = _purchases(spark, sf)
     return found.select(
@@ -326,7 +326,7 @@ def customer_table(spark, sf):
 
 
 @query(
-    f"WITH {_PAID_SQL}, purchases AS ({_PURCHASES_SQL}), {S.TICKETS_SQL}, "
+    f"WITH {PAID_SQL}, purchases AS ({_PURCHASES_SQL}), {S.TICKETS_SQL}, "
     "load AS (SELECT user_id, count(*) AS n, sum(hours) AS hours FROM tickets GROUP BY 1), "
     "contacts AS (SELECT user_id, min(ts) AS first_seen, "
     + ", ".join(f"max(CASE WHEN event_type = '{k}' THEN 1 END) AS {k}" for k in _KINDS)

@@ -25,7 +25,7 @@ def neighbor_means(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
 
 
 def compare_revenue_models(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
-    """Errors on the test rows per regressor: (model, rmse, mae, r2).
+    """Errors on the test rows per regressor: (model, rmse, mae, r2, rows).
 
     Rows have ``key``, ``label`` and ``features``.
     """
@@ -43,7 +43,7 @@ def compare_revenue_models(train: DataFrame, test: DataFrame, k: int = 5) -> Dat
         scores = [
             RegressionEvaluator(metricName=m).evaluate(predicted) for m in ("rmse", "mae", "r2")
         ]
-        rows.append((name, *scores))
+        rows.append((name, *scores, predicted.where("prediction IS NOT NULL").count()))
     return train.sparkSession.createDataFrame(
-        rows, "model string, rmse double, mae double, r2 double"
+        rows, "model string, rmse double, mae double, r2 double, rows bigint"
     )

@@ -69,11 +69,14 @@ def f1_of(predictions: DataFrame) -> float:
     return weighted_metrics(predictions).first().f1
 
 
-def _ranked(spark, kinds: Sequence[str], settings: Sequence[str], scores: Sequence[float]):
+def _ranked(
+    spark, kinds: Sequence[str], settings: Sequence[str], scores: Sequence[float], rows: int
+):
+    """Settings by falling score, with the rows that were scored for each over all folds."""
     order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
-    rows = [(place, kinds[i], settings[i], scores[i]) for place, i in enumerate(order, 1)]
+    found = [(place, kinds[i], settings[i], scores[i], rows) for place, i in enumerate(order, 1)]
     return spark.createDataFrame(
-        rows, "place int, classifier string, settings string, mean_f1 double"
+        found, "place int, classifier string, settings string, mean_f1 double, rows bigint"
     )
 
 
@@ -103,7 +106,16 @@ def search(data: DataFrame, recipes: Sequence[Recipe], parallelism: int = 3) ->
     for (identity, _), f1 in zip(work, scores):
         sums[identity] += f1
     means = [sums[recipe.identity] / len(sizes) for recipe in recipes]
-    return _ranked(data.sparkSession, [r.kind for r in recipes], list(map(str, recipes)), means)
+    return _ranked(
+        data.sparkSession, [r.kind for r in recipes], list(map(str, recipes)), means, total
+    )
+
+
+def refitted(data: DataFrame, ranking: DataFrame, recipes: Sequence[Recipe]):
+    """The recipe at place 1 fitted on all rows, with its model."""
+    best = ranking.where("place = 1").first()
+    recipe = next(r for r in recipes if (r.kind, str(r)) == (best.classifier, best.settings))
+    return recipe, recipe.fit(data, best.rows)
 
 
 def search_logistic(data: DataFrame, strengths: Sequence[float] = LOGISTIC_GRID) -> DataFrame:
@@ -111,7 +123,8 @@ def search_logistic(data: DataFrame, strengths: Sequence[float] = LOGISTIC_GRID)
     width = data.select("features").first().features.size
     scores = cross_validated(data, [(range(width), c) for c in strengths])
     names = [str(logistic(c)) for c in strengths]
-    return _ranked(data.sparkSession, ["logistic"] * len(names), names, scores)
+    total = sum(fold_sizes(data).values())
+    return _ranked(data.sparkSession, ["logistic"] * len(names), names, scores, total)
 
 
 def search_neighbors(data: DataFrame, counts: Sequence[int] = NEIGHBOR_GRID) -> DataFrame:
@@ -143,11 +156,12 @@ def search_neighbors(data: DataFrame, counts: Sequence[int] = NEIGHBOR_GRID) ->
             votes.select("fold", "label", "g.*"), by=["fold", "k"]
         )
         means = {r.k: r.f1 for r in scores.groupBy("k").agg(F.avg("f1").alias("f1")).collect()}
+        total = tallied.count()
     finally:
         rows.unpersist()
     names = [f"n_neighbors={k}" for k in counts]
     return _ranked(
-        data.sparkSession, ["neighbors"] * len(names), names, [means[k] for k in counts]
+        data.sparkSession, ["neighbors"] * len(names), names, [means[k] for k in counts], total
     )
 
 
