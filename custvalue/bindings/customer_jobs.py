@@ -303,7 +303,7 @@ def customer_table(spark, sf):
         _purchases(spark, sf),
         by_email=[
             (contacts, "intercom:email", None),
-            (subscribers, "drip:email", None),
+            (subscribers, "drip:email", ["drip:last"]),
             (sources.clean_crm_contacts(people), "hubcust:email", ["hubcust:original_source"]),
             (sources.clean_support(emails), "helpscout:emails", ["helpscout:id"]),
         ],

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from custvalue.functions.nulls import named
 from custvalue.operators.aggregates import MAX_VALUES, one_hot_columns
-from custvalue.operators.profile import long_values, near_distinct
-from custvalue.session import cut_lineage
+from custvalue.operators.profile import long_values
+from custvalue.session import cut_lineage, held
 
 # The penalty of the small regressions that fill unknown numbers.
 FILL_PENALTY = 0.1
@@ -164,18 +164,18 @@ def category_values(
     """
     if not columns:
         return {}
-    near = near_distinct(df, columns)
-    wide = [c for c in columns if near[c] > 1.5 * limit + 2]
-    if not wide:
-        values = (
-            long_values(df, columns).where("value IS NOT NULL").groupBy("column", "value").agg(
-                F.lit(1).alias("one")
-            )
+    values = held(
+        long_values(df, columns).where("value IS NOT NULL").groupBy("column", "value").agg(
+            F.lit(1).alias("one")
         )
-        found: dict[str, list] = {c: [] for c in columns}
+    )
+    counts = values.groupBy("column").count().where(F.col("count") > limit).collect()
+    wide = sorted(row.column for row in counts)
+    found: dict[str, list] = {c: [] for c in columns}
+    if not wide:
         for row in values.select("column", "value").collect():
             found[row.column].append(row.value)
-        wide = [c for c in columns if len(found[c]) > limit]
+    values.unpersist()
     if wide:
         raise ValueError(f"not categories, more than {limit} values: {', '.join(wide)}")
     return {c: sorted(v) for c, v in found.items()}

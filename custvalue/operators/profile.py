@@ -132,33 +132,20 @@ def identifier_profile(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return counts.join(sample, "column")
 
 
-def near_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Approximate distinct counts of all columns in one pass, null not counted.
+def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int]:
+    """Exact distinct counts, null being a value, of the columns with at most ``limit``.
 
-    The sketch of a small set never reports much more than its size: a column reported far
-    above a limit is surely above it. Only columns near a limit need an exact count.
+    Columns that show more at a glance are ruled out; the others are counted together, their
+    distinct values where they lie.
     """
-    if not columns:
-        return {}
-    cells = [F.approx_count_distinct(named(c)).alias(str(i)) for i, c in enumerate(columns)]
-    row = df.agg(*cells).first()
-    return dict(zip(columns, row))
-
-
-def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int]:
-    """Exact distinct counts, null being a value, of the columns with at most ``limit``."""
     seen = seen_distinct(df, columns)
-    near = near_distinct(df, [c for c in columns if seen[c] <= limit])
-    close = [c for c in near if near[c] <= 1.5 * limit + 2]
+    close = [c for c in columns if seen[c] <= limit]
     if not close:
         return {}
-    # The columns left hold few values, so their sets are small and need no shuffle per column.
-    cells = [
-        (F.size(F.collect_set(named(c))) + F.coalesce(F.max(named(c).isNull().cast("int")), F.lit(0)))
-        .alias(str(i))
-        for i, c in enumerate(close)
-    ]
-    return {c: n for c, n in zip(close, df.agg(*cells).first()) if n <= limit}
+    values = long_values(df, close).groupBy("column", "value").agg(F.lit(1).alias("one"))
+    found = dict.fromkeys(close, 0)
+    found |= {row.column: row["count"] for row in values.groupBy("column").count().collect()}
+    return {c: n for c, n in found.items() if n <= limit}
 
 
 def split_kinds(df: DataFrame) -> tuple[list[str], list[str]]:

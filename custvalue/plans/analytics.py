@@ -13,22 +13,14 @@ from custvalue.operators.filters import in_range
 from custvalue.sources.csv import write_csv
 from custvalue.sources.json import header_rows_long
 
-# The id column, the value column of dimension requests, the first day asked
-# for and the first days of the periods after it.
+# The id column, and the value column of dimension requests.
 TRANSACTION_ID = "ga:transactionId"
 TOTAL_VALUE = "ga:totalValue"
-PERIOD_STARTS = (
-    "2014-07-25", "2014-11-01", "2015-02-01", "2015-05-01", "2015-08-01", "2015-11-01",
-    "2016-02-01", "2016-05-01", "2016-08-01", "2016-11-01", "2017-02-01", "2017-05-01",
-    "2017-08-01",
-)
-LAST_DAY_AFTER = "2017-09-01"
-
-
-def periods(
-    starts: Sequence[str] = PERIOD_STARTS, end: str = LAST_DAY_AFTER
-) -> list[tuple[str, str]]:
-    """Half-open (start, end) days, each period ending where the next one starts."""
+
+
+def periods(starts: Sequence[str], end: str) -> list[tuple[str, str]]:
+    """Half-open (start, end) days, each period ending where the next one starts, the last one at
+    ``end``, the day after all."""
     return list(zip(starts, [*starts[1:], end]))
 
 

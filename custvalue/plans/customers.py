@@ -33,7 +33,8 @@ def join_sources(
     """One row per e-mail of ``revenue`` with every source's columns.
 
     A source is (table, key column, order). Each is cut down to one row per key, first known
-    values by its order (None: it has one row per key already), before it is joined, so no join can multiply rows; that is the same
+    values by its order (None only for a table already grouped by its key; purchases go by
+    e-mail), before it is joined, so no join can multiply rows; that is the same
     as joining everything and then taking first known values per e-mail, without the
     multiplied rows in between. Joins are grouped by key: id, then e-mail (the grouping by
     e-mail already put the rows where these joins need them), then domain. The left side is
@@ -42,7 +43,7 @@ def join_sources(
     adaptive execution can split as nothing after it needs the rows by domain. Blank domains
     match nothing.
     """
-    purchases = first_known_per_key(purchases, "edd:customer_id", ["edd:date", "edd:email"])
+    purchases = first_known_per_key(purchases, "edd:customer_id", ["edd:email"])
     customers = left_join(revenue, purchases, "revenue:id", "edd:customer_id")
     customers = first_known_per_key(customers, EMAIL, ["revenue:id"])
     for table, column, order in by_email:

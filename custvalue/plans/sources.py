@@ -31,9 +31,13 @@ def clean_revenue(revenue: DataFrame) -> DataFrame:
 
 
 def clean_contacts(contacts: DataFrame, segments: Sequence[str] | None = None) -> DataFrame:
-    """One row per e-mail, earliest known values, with a column per segment."""
-    order = ["First Seen (MDT)"]
-    first = normalized(first_known_per_key(contacts, "Email", order), MESSAGING)
+    """One row per e-mail, earliest known values, with a column per segment.
+
+    Rows seen first at the same time go by a hash of the row, so that reruns agree.
+    """
+    tied = contacts.withColumn("__tie", F.xxhash64(*map(named, contacts.columns)))
+    reduced = first_known_per_key(tied, "Email", ["First Seen (MDT)", "__tie"]).drop("__tie")
+    first = normalized(reduced, MESSAGING)
     listed = first.withColumn("intercom:segment", comma_list(named("intercom:segment")))
     segments = item_values(listed, "intercom:segment") if segments is None else segments
     return indicators(listed, "intercom:segment", segments)
