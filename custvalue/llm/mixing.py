@@ -29,7 +29,7 @@ from custvalue.llm.shared import WORD, named, saved
 
 ROUNDS = 2  # a source gives each document at most so many times
 MAX_SOURCES = 100_000  # one row each comes to the driver and is broadcast
-_SLICE_ROWS = 4_000
+_SLICE_ROWS = 1_000
 _SLICES_PER_BLOCK = 1024
 
 
@@ -62,11 +62,13 @@ def share_out(
 def source_targets(
     sized: DataFrame, weights: Sequence[float], budget_share: float, rounds: int = ROUNDS
 ) -> DataFrame:
-    """(source, source_no, source_size, target) from rows with ``source`` and ``size``: sources
+    """(source, source_no, source_rows, source_size, target) from rows with ``source`` and ``size``: sources
     in order of code points, null last, take the weights in turn and share ``budget_share`` of
     all words."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1)
-    rows = rows.collect()
+    rows = sized.groupBy("source").agg(
+        F.sum("size").alias("size"), F.count("*").alias("rows")
+    )
+    rows = rows.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources to weigh")
     rows.sort(key=lambda r: (r["source"] is None, str(r["source"] or "").encode("utf-8")))
@@ -75,21 +77,31 @@ def source_targets(
     targets = share_out(sizes, turn, budget_share * sum(sizes), rounds)
     kind = sized.select("source").schema[0].dataType.simpleString()
     return sized.sparkSession.createDataFrame(
-        [(r["source"], i, s, t) for i, (r, s, t) in enumerate(zip(rows, sizes, targets))],
-        f"source {kind}, source_no int, source_size long, target double",
+        [
+            (r["source"], i, r["rows"], s, t)
+            for i, (r, s, t) in enumerate(zip(rows, sizes, targets))
+        ],
+        f"source {kind}, source_no int, source_rows long, source_size long, target double",
     )
 
 
 def total_before(
-    rows: DataFrame, by: str, place: Column, order: Sequence[str], value: str, name: str
+    rows: DataFrame,
+    by: str,
+    n_rows: Column,
+    place: Column,
+    order: Sequence[str],
+    value: str,
+    name: str,
 ) -> DataFrame:
     """The rows with ``name``: the sum of ``value`` over all rows of ``by`` that come earlier.
 
-    ``place``, from 0 to below 1, grows with the order and cuts it into slices of bounded size,
-    and runs of slices into blocks; each level adds what lies before it. The input is read twice.
+    ``place``, from 0 to below 1, grows with the order and cuts it into slices, as many as the
+    rows of ``by`` (``n_rows``) ask for, and runs of slices into blocks; each level adds what lies
+    before it. The input is read twice.
     """
-    slices = max(1, -(-rows.count() // _SLICE_ROWS))
-    at = F.least(F.floor(place * slices), F.lit(slices - 1)).cast("long")
+    slices = F.greatest(F.ceil(n_rows / _SLICE_ROWS), F.lit(1))
+    at = F.least(F.floor(place * slices), slices - 1).cast("long")
     rows = rows.withColumn("__slice", at)
     sums = rows.groupBy(by, "__slice").agg(F.sum(value).alias("__sum"))
     sums = sums.withColumn("__block", F.floor(F.col("__slice") / _SLICES_PER_BLOCK))
@@ -150,7 +162,8 @@ def schedule(
     weighed = weighed.select(*[c for c in weighed.columns if c not in ("__source", "source")])
     weighed = weighed.withColumn("__shuffled", shuffled)
     begun = total_before(
-        weighed, "source_no", F.col("__shuffled"), ["__shuffled", "key", "key2", "row"], "size", "__start"
+        weighed, "source_no", F.col("source_rows"), F.col("__shuffled"),
+        ["__shuffled", "key", "key2", "row"], "size", "__start",
     )
     # Copy r of a document comes r rounds of its source later.
     rounds_of = begun.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
@@ -169,7 +182,9 @@ def schedule(
     place = F.when(F.col("words") > 0, F.col("virtual_finish")).otherwise(
         F.pmod("key", F.lit(1 << 20)) / float(1 << 20)
     )
-    placed = total_before(offered, "__all", place, order, "words", "position")
+    placed = total_before(
+        offered, "__all", F.lit(offered.count()), place, order, "words", "position"
+    )
     left = F.greatest(F.lit(round(budget)) - F.col("position"), F.lit(0))
     return placed.withColumn("words", F.least("words", left).cast("long")).drop("__all")
 
