@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custvalue.llm.shared import saved
+from custvalue.llm.shared import Scratch, saved
 
 _MOST_ROUNDS = 100
 
@@ -18,8 +18,9 @@ def components(links: DataFrame) -> DataFrame:
     any shape is a star after a number of rounds that grows with the logarithm of its length.
     Each round is stored; sums over a hot centre are taken before the shuffle.
     """
+    scratch = Scratch()
     both = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    edges = saved(
+    edges = scratch.saved(
         both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     for _ in range(_MOST_ROUNDS):
@@ -35,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
             .select("a", F.col("__least").alias("b"))
             .where("a <> b")
         )
-        stars = saved(large.distinct())
+        stars = scratch.saved(large.distinct())
         # Then all smaller neighbours of a node go to the smallest of them.
         lowest = stars.groupBy("a").agg(F.min("b").alias("__low"))
         lowest = lowest.withColumnRenamed("a", "__a")
@@ -46,7 +47,7 @@ def components(links: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        edges = saved(small)
+        edges = scratch.saved(small)
         # Done when every node has one target and no target points on.
         heads = edges.select(F.col("b").alias("__head")).distinct()
         several = edges.groupBy("a").count().where("count > 1").limit(1).count()
@@ -57,4 +58,6 @@ def components(links: DataFrame) -> DataFrame:
         raise RuntimeError(f"components did not settle in {_MOST_ROUNDS} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     centres = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return stars.union(centres)
+    found = saved(stars.union(centres))
+    scratch.clear()
+    return found

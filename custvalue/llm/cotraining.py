@@ -30,7 +30,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from custvalue.llm import rules
 from custvalue.llm import subwords as S
-from custvalue.llm.shared import named, small_batches, text_parts
+from custvalue.llm.shared import give_back, named, small_batches, text_parts
 from custvalue.llm.wordhash import per_text
 
 SAMPLE = 3000
@@ -88,9 +88,10 @@ def _fitted(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1e-4, steps
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weights = momentum = np.zeros(x.shape[1])
     w = w / w.sum()
-    rate = 4.0 / max(float((w[:, None] * x * x).sum()), 1e-9)
+    rate = 4.0 / max(float(w @ np.einsum("ij,ij->i", x, x)), 1e-9)
     for step in range(1, steps + 1):
-        slope = x.T @ (w * (_logistic(x @ momentum) - y)) + l2 * momentum
+        miss = (w * (_logistic(x @ momentum.astype(x.dtype)) - y)).astype(x.dtype)
+        slope = x.T @ miss + l2 * momentum
         new = momentum - rate * slope
         momentum = new + (step - 1) / (step + 2) * (new - weights)
         weights = new
@@ -254,6 +255,8 @@ def fit(
     p = model.of(z_text[out], z_meta[out])[2]
     # Cautious: of the kept-out good documents at most one in 500 lies below the limit.
     limit = min(0.5, float(np.quantile(p[y > 0], 0.002)))
+    del content, meta, views, rows
+    give_back()
     return QualityModel(weights[0], weights[1], s_text, s_meta, combined, limit)
 
 

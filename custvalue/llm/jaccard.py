@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from custvalue.llm import wordhash as W
 from custvalue.llm.components import components
-from custvalue.llm.shared import give_back, named, saved, small_batches, text_parts
+from custvalue.llm.shared import Scratch, give_back, named, saved, small_batches, text_parts
 from custvalue.llm.substrings import _planes, _unplaned
 
 SHINGLE = 5
@@ -422,13 +422,13 @@ def _not_ruled_out(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     )
 
 
-def _families(apart: DataFrame) -> DataFrame:
+def _families(apart: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, family): members tied together by crowded entries (bucket, x)."""
     ends = apart.groupBy("bucket").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     ends = ends.where("low <> high").withColumnRenamed("bucket", "__bucket")
     met = apart.join(ends, F.struct("bucket") == F.struct("__bucket"))
-    ties = saved(met.where("x <> low").select(F.col("x").alias("a"), F.col("low").alias("b")))
-    return saved(components(ties)).withColumnRenamed("component", "family")
+    ties = scratch.saved(met.where("x <> low").select(F.col("x").alias("a"), F.col("low").alias("b")))
+    return components(ties).withColumnRenamed("component", "family")
 
 
 def _cell_links(threshold: int):
@@ -509,7 +509,7 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets_of(texts: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, shingles) of the documents with these ids, and of a few others."""
     wanted = _filter_bits(ids)
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted))
@@ -531,7 +531,7 @@ def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
                 )
 
     place = F.pmod(F.xxhash64("id"), F.lit(size)).alias("place")
-    return saved(
+    return scratch.saved(
         texts.select(place, "text").mapInArrow(read, "node long, shingles binary")
     )
 
@@ -580,39 +580,41 @@ def similar_groups(
     """
     texts = docs.select(named(id_column).alias("id"), named(text_column).alias("text"))
     texts = small_batches(texts)
-    scheme = Scheme(threshold)
+    scheme, scratch = Scheme(threshold), Scratch()
     size = texts.agg(
         F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")
     ).first()
     parts = max(1, -(-(size["bytes"] or 0) // PART_BYTES))
     crowded = crowded_entries(texts, size["n"], scheme, members)
     kind = texts.schema["id"].dataType.simpleString()
-    index = saved(
+    index = scratch.saved(
         texts.mapInArrow(_indexed(scheme, crowded, parts), f"doc_id {kind}, {_INDEX}")
     )
     rows = index.where("n IS NOT NULL").select("doc_id", "n", "node")
     kinds = index.where("n IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("id")
     )
-    kinds = saved(kinds)
-    met = saved(
+    kinds = scratch.saved(kinds)
+    met = scratch.saved(
         index.where("part IS NOT NULL")
         .select("part", "entries", "nodes", "sizes", "place")
         .groupBy("part")
         .applyInArrow(_met(threshold, paired), "a long, b long, bucket long")
     )
     pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
-    pairs = saved(_not_ruled_out(pairs, kinds, threshold))
+    pairs = scratch.saved(_not_ruled_out(pairs, kinds, threshold))
     apart = index.where("entry IS NOT NULL").select("entry", "node")
     apart = apart.union(met.where("bucket IS NOT NULL").select("bucket", "a"))
-    families = _families(saved(apart.toDF("bucket", "x").distinct()))
+    families = _families(scratch.saved(apart.toDF("bucket", "x").distinct()), scratch)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("__node"))
     asked = asked.union(families.select("node")).distinct()
-    sets = _sets_of(texts, kinds.join(asked, F.struct("node") == F.struct("__node")).select("id"))
+    sets = _sets_of(texts, kinds.join(asked, F.struct("node") == F.struct("__node")).select("id"), scratch)
     links = _verified(pairs, sets, threshold)
     links = links.union(_family_links(families, sets, threshold, block))
-    found = saved(components(links))
-    return _named_components(rows, found)
+    found = components(links)
+    named_ = _named_components(rows, found)
+    scratch.clear()  # the result reads one stored table of its own
+    return named_
 
 
 def _named_components(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -133,7 +133,35 @@ def op8_best_fit_packing(spark, sf):
     return packing.packed(packing.pieces(table(spark, sf, "documents"), vocabulary()))
 
 
-@query()
+_OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS shingle
+  FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(p) WHERE len(w) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT x, y FROM common JOIN sizes i ON x = i.doc_id JOIN sizes j ON y = j.doc_id
+  WHERE 100 * c >= 80 * (i.n + j.n - c)
+),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION SELECT reach.doc_id, y FROM reach JOIN links ON other = x
+)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reach r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id
+"""
+
+
+@query(_OP10_SQL)
 def op10_jaccard_join(spark, sf):
     return jaccard.similar_groups(table(spark, sf, "documents"))
 

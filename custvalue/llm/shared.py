@@ -51,6 +51,25 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables that only lead to others, and go when those are stored in turn."""
+
+    def __init__(self) -> None:
+        self._tables: list[tuple[SparkSession, str]] = []
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        path = shared_folder(df.sparkSession)
+        df.write.parquet(path)
+        self._tables.append((df.sparkSession, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for spark, path in self._tables:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        self._tables = []
+
+
 _BATCH_BYTES = 8 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
