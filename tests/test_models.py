@@ -229,6 +229,17 @@ def test_cross_validation_scores_each_fold_alone(rows):
     assert abs(table.mean_f1 - np.mean(scores)) < 5e-3
 
 
+def test_the_best_settings_are_fitted_again(rows):
+    df, x, y = labelled(rows)
+    data = with_folds(df, "label", "key", folds=2).cache()
+    recipes = [logistic(1e-6), logistic(17.0)]
+    ranking = S.search(data, recipes)
+    assert {r.rows for r in ranking.collect()} == {len(y)}
+    recipe, model = S.refitted(data, ranking, recipes)
+    assert str(recipe) == str(recipes[1])
+    assert np.allclose([*model.coefficients, model.intercept], newton(x, y, 17.0), atol=1e-3)
+
+
 def test_selection_and_impact_find_the_telling_features(rows):
     df, x, y = labelled(rows, n=400)
     names = ["first", "second", "third", "noise"]

@@ -167,6 +167,21 @@ def test_histogram_edges(rows):
     assert [(r.bin, r.n) for r in P.histogram(same, "v", 10).collect()] == [(1, 2)]
 
 
+def test_a_glance_rules_out_but_decides_nothing_else(spark, monkeypatch):
+    monkeypatch.setattr(P, "_GLANCE_ROWS", 10)
+    df = spark.range(0, 500, 1, 1).select(
+        F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("late"),
+        (F.col("id") % 3).alias("three"),
+        F.when(F.col("id") % 2 == 0, F.col("id") % 4).alias("with_null"),
+        F.col("id").alias("many"),
+        F.lit(None).cast("int").alias("none"),
+    )
+    found = P.distinct_up_to(df, df.columns, 3)
+    assert found == {"three": 3, "with_null": 3, "none": 1}
+    assert P.distinct_up_to(df, ["late"], 101) == {"late": 101}
+    assert P.distinct_up_to(df.limit(0), ["three"], 3) == {"three": 0}
+
+
 # --- exact percentiles -------------------------------------------------------------------
 
 
@@ -191,6 +206,18 @@ def test_percentiles_agree_with_numpy(rows, buckets):
             assert row.n == 1000 and np.allclose(row.percentiles, expected)
 
 
+def test_buckets_grow_with_the_rows(rows, monkeypatch):
+    from custvalue.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "_ROWS_PER_BUCKET", 20)
+    rng = np.random.default_rng(8)
+    values = np.where(rng.random(2000) < 0.9, rng.random(2000) / 1e6, rng.lognormal(3, 3, 2000))
+    df = rows([(float(v),) for v in values], "v double").repartition(4)
+    probabilities = [0.0, 0.1, 0.5, 0.89, 0.91, 1.0]
+    got = exact_percentiles(df, "v", probabilities).first().percentiles
+    assert np.allclose(got, np.percentile(values, [p * 100 for p in probabilities]))
+
+
 def test_percentiles_of_little(rows):
     df = rows([(3.0,)], "v double")
     assert exact_percentiles(df, "v", [0.1, 0.5]).first().percentiles == [3.0, 3.0]
