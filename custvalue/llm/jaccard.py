@@ -50,11 +50,11 @@ from custvalue.llm.substrings import _planes, _unplaned
 
 SHINGLE = 5
 THRESHOLD = 80  # percent
-PART_BYTES = 8 << 20  # text bytes whose index entries make one group
+PART_BYTES = 4 << 20  # text bytes whose index entries make one group
 SAMPLE_DOCS = 20_000  # and at least one in 8: documents looked at for crowded segments
 CROWDED = 32  # sets that make a segment crowded, as estimated from the sample
 PAIRED = 64  # members, at most, of an entry whose members are paired
-BLOCK = 1000  # members of a family's block
+BLOCK = 700  # members of a family's block
 MOST_CROWDED = 500_000  # broadcast at most so many; the rest are treated like others
 FILTER_BITS = 26  # at most 2**26 bits of filter are broadcast; more ids only make it coarser
 

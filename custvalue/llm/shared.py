@@ -104,7 +104,7 @@ def give_back() -> None:
     _trim(0)
 
 
-def text_parts(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple]:
+def text_parts(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple]:
     """A string column in runs of rows of about ``most`` bytes: (first row, last row + 1,
     bytes, offsets). A null is empty. A longer text is a run of its own, never cut."""
     if isinstance(column, pa.ChunkedArray):
