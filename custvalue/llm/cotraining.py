@@ -2,12 +2,14 @@
 
 One classifier sees only the text's content (hashed subwords and the rule ledger's measures), the
 other only the metadata (source, language, length in characters). Both start from the labelled
-sample; over rounds each labels the documents of an unlabelled pool that it is surest of, and
-these teach the *other* one. On a part of the labelled sample that was kept out, each view is
-calibrated and the two are combined to one probability. All documents are then scored, whole.
+sample; over rounds each scores all documents without a label and labels those that it is surest
+of, and these teach the *other* one. On a part of the labelled sample that was kept out, each view
+is calibrated and the two are combined to one probability. All documents are then scored, whole.
 
-The fit sees at most ``SAMPLE`` labelled and as many unlabelled documents, chosen by a hash of
-their ids. Everything else covers all rows.
+The labelled sample has about ``SAMPLE`` documents, chosen by a hash of their ids. The pool of
+pseudo-labels is every document that no label names; its features are stored once and scored in
+each round. Bounded is only how many pseudo-labels teach (``teach``). Documents of equal features
+teach once, so a large group of copies does not use them up.
 
 Defined results: a null text counts as empty, a null metadata value as a value of its own. Scores
 are per row, so ties and repeated rows agree; a document with several labels counts as bad if any
@@ -24,13 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StructField, StructType
 
 from custvalue.llm import rules
 from custvalue.llm import subwords as S
-from custvalue.llm.shared import give_back, named, small_batches, text_parts
+from custvalue.llm.shared import Scratch, give_back, named, small_batches, text_parts
 from custvalue.llm.wordhash import per_text
 
 SAMPLE = 3000
@@ -136,55 +138,152 @@ class QualityModel:
 _SHARE, _RATIO = 8.0, 4.0
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low in range(0, len(batch), 256):
-            part = batch.slice(low, 256)
-            texts = part.column("text")
-            share = S.shares([t.as_py() for t in texts], BITS).astype(np.float32)
-            ratio = content_ratios(texts).astype(np.float32)
-            meta = metadata_buckets([part.column(c).to_pylist() for c in METADATA])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("h"),
-                    part.column("bad"),
-                    pa.array([np.concatenate(r).tobytes() for r in zip(share, ratio)], pa.binary()),
-                    pa.array([r.astype("<i4").tobytes() for r in meta], pa.binary()),
-                ],
-                names=["h", "bad", "content", "meta"],
-            )
+def _with_features(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``content`` and ``meta`` in place of the text and the metadata."""
+    carried = [c for c in rows.columns if c != "text" and c not in METADATA]
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 256):
+                part = batch.slice(low, 256)
+                texts = part.column("text")
+                share = S.shares([t.as_py() for t in texts], BITS).astype(np.float32)
+                ratio = content_ratios(texts).astype(np.float32)
+                meta = metadata_buckets([part.column(c).to_pylist() for c in METADATA])
+                content = [np.concatenate(r).tobytes() for r in zip(share, ratio)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[part.column(c) for c in carried],
+                        pa.array(content, pa.binary()),
+                        pa.array([r.astype("<i4").tobytes() for r in meta], pa.binary()),
+                    ],
+                    names=[*carried, "content", "meta"],
+                )
+
+    fields = [rows.schema[c] for c in carried]
+    fields += [StructField(c, BinaryType()) for c in ("content", "meta")]
+    return small_batches(rows).mapInArrow(features, StructType(fields))
+
+
+def _matrices(content: list[bytes], meta: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Content features as the models weigh them, and the buckets of the metadata."""
+    x = np.frombuffer(b"".join(content), "<f4").reshape(len(content), -1).copy()
+    x[:, : 1 << BITS] *= _SHARE
+    x[:, 1 << BITS :] *= _RATIO
+    return x, np.frombuffer(b"".join(meta), "<i4").reshape(len(meta), -1)
+
+
+def _views(content: list[bytes], meta: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    if not content:
+        width = (1 << BITS) + _RATIOS
+        return np.zeros((0, width), np.float32), np.zeros((0, 1 << _META), np.float32)
+    x, buckets = _matrices(content, meta)
+    held = np.zeros((len(meta), 1 << _META), np.float32)
+    held[np.arange(len(meta))[:, None], buckets] = 1
+    return x, held
 
 
 def _place(column: str, salt: int):
     return F.pmod(F.xxhash64(named(column), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, columns: dict[str, str], bad: str, size: int):
-    """Features of labelled and unlabelled sample documents, in order of a hash."""
-    id_column = columns["id"]
+def _rows(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return docs.select(
+        named(columns["id"]).alias("__doc"),
+        named(columns["text"]).alias("text"),
+        *[named(columns[c]).alias(c) for c in METADATA],
+    )
+
+
+def _known(labels: DataFrame, id_column: str, bad: str) -> DataFrame:
     known = labels.select(named(id_column).alias("__id"), named(bad).cast("int").alias("bad"))
-    known = known.where("__id IS NOT NULL AND bad IS NOT NULL")
+    return known.where("__id IS NOT NULL AND bad IS NOT NULL")
+
+
+def _sample(rows: DataFrame, known: DataFrame, size: int) -> list[tuple]:
+    """(hash, bad, content, meta) of labelled sample documents, in order of the hash."""
     total = known.count()
     taken = known.where(_place("__id", 21) < min(1.0, size / max(total, 1)))
     taken = taken.groupBy("__id").agg(F.max("bad").alias("bad")).limit(2 * size)
-    rows = docs.select(
-        named(id_column).alias("__doc"),
-        named(columns["text"]).alias("text"),
-        *[named(columns[c]).alias(c) for c in METADATA],
-    )
-    hashed = F.xxhash64("__doc", F.lit(22)).alias("h")
-    mine = ["text", *METADATA]
     # At most twice the sample's ids, so they may go to every task.
-    with_label = rows.join(F.broadcast(taken), F.col("__doc") == F.col("__id"))
-    with_label = with_label.select(hashed, "bad", *mine)
-    n_docs = rows.select("__doc").count()
-    others = rows.where(_place("__doc", 23) < min(1.0, size / max(n_docs, 1)))
-    others = others.select(hashed, F.lit(None).cast("int").alias("bad"), *mine)
-    # The shares make each sample about its size; the limits hold even where ids repeat.
-    kinds = "h long, bad int, content binary, meta binary"
-    parts = [part.mapInArrow(_features, kinds).limit(2 * size) for part in (with_label, others)]
-    found = parts[0].unionByName(parts[1])
-    return sorted((tuple(r) for r in found.toLocalIterator()), key=lambda r: (r[0], r[1] is None))
+    mine = rows.join(F.broadcast(taken), F.col("__doc") == F.col("__id"))
+    hashed = F.xxhash64("__doc", F.lit(22)).alias("h")
+    # The share makes the sample about its size; the limit holds even where ids repeat.
+    found = _with_features(mine.select(hashed, "bad", "text", *METADATA)).limit(2 * size)
+    return sorted(tuple(r) for r in found.toLocalIterator())
+
+
+def _pool(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__doc, key, content, meta) of every document, stored; equal features have equal keys."""
+    found = _with_features(rows)
+    key = F.xxhash64("content", "meta").alias("key")
+    return scratch.saved(found.select("__doc", key, "content", "meta"))
+
+
+def _unlabelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    return rows.join(known, F.col("__doc") == F.col("__id"), "left_anti")
+
+
+def _surest(
+    pool: DataFrame,
+    known: DataFrame,
+    views: list,
+    told: list[np.ndarray],
+    most: dict,
+    confidence: float,
+) -> list[tuple[int, int, int]]:
+    """(view, label, key) of the documents without a label that each view is surest of, of all
+    the pool but those already ``told``; ``most`` of each label."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.asarray(batch.column("key"))
+            x, buckets = _matrices(*(batch.column(c).to_pylist() for c in ("content", "meta")))
+            for v, (weights, scale) in enumerate(views):
+                z = x @ weights[:-1] if v == 0 else weights[buckets].sum(axis=1)
+                # Rounded: equal rows agree, wherever in a batch they stand.
+                z = np.round((z + weights[-1]) * scale[0] + scale[1], 6)
+                new = ~np.isin(keys, told[v])
+                for label in most:
+                    sure = z if label else -z
+                    mine = np.flatnonzero(new & (_logistic(sure) >= confidence))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("__doc").take(pa.array(mine)),
+                            pa.array(np.full(len(mine), 2 * v + label, np.int32)),
+                            pa.array(keys[mine]),
+                            pa.array(sure[mine]),
+                        ],
+                        names=["__doc", "which", "key", "sure"],
+                    )
+
+    kind = pool.schema["__doc"].dataType.simpleString()
+    found = pool.mapInArrow(look, f"__doc {kind}, which int, key long, sure double")
+    # Ids and scores go into the join, not features: where there are many labels, it is a shuffle.
+    found = _unlabelled(found, known).groupBy("which", "key").agg(F.max("sure").alias("sure"))
+    order = Window.partitionBy("which").orderBy(F.desc("sure"), "key")
+    top = found.withColumn("place", F.row_number().over(order))
+    top = top.where(F.col("place") <= max(most.values())).select("which", "place", "key").collect()
+    return sorted((r.which // 2, r.which % 2, r.key) for r in top if r.place <= most[r.which % 2])
+
+
+def _looked_up(pool: DataFrame, keys: list[int]) -> list[tuple]:
+    """(key, content, meta) of the documents of these keys, one of each."""
+    wanted = np.array(sorted(keys), np.int64)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = wanted
+        for batch in batches:
+            here, first = np.unique(np.asarray(batch.column("key")), return_index=True)
+            mine = np.isin(here, left)
+            left = np.setdiff1d(left, here[mine])
+            yield batch.take(pa.array(first[mine]))
+
+    pool = pool.select("key", "content", "meta")
+    found = pool.mapInArrow(look, pool.schema).dropDuplicates(["key"])
+    return sorted(tuple(r) for r in found.toLocalIterator())
 
 
 def fit(
@@ -197,22 +296,22 @@ def fit(
     rounds: int = 4,
     confidence: float = 0.97,
     seed: int = 7,
+    teach: float = 0.25,
 ) -> QualityModel:
-    """Learn from ``labels`` (id and ``bad_column``: 1 for a document to reject, else 0)."""
+    """Learn from ``labels`` (id and ``bad_column``: 1 for a document to reject, else 0).
+
+    In each of the rounds a view gives the other one as many new pseudo-labels as ``teach`` times
+    the labelled documents that teach, at most, in the proportion of the labels.
+    """
     columns = {"id": id_column, "text": text_column} | {c: c for c in METADATA}
-    rows = _sample(docs, labels, columns, bad_column, sample)
+    docs, known = _rows(docs, columns), _known(labels, id_column, bad_column)
+    rows = _sample(docs, known, sample)
     buckets = (1 << BITS) + _RATIOS
-    content = np.zeros((len(rows), buckets), np.float32)
-    meta = np.zeros((len(rows), 1 << _META), np.float32)
-    for i, (_, _, c, m) in enumerate(rows):
-        content[i] = np.frombuffer(c, "<f4")
-        meta[i, np.frombuffer(m, "<i4")] = 1
-    content[:, : 1 << BITS] *= _SHARE
-    content[:, 1 << BITS :] *= _RATIO
-    good = np.array([-1 if bad is None else 1 - bad for _, bad, _, _ in rows], int)
-    labelled = np.flatnonzero(good >= 0)
-    if len(np.unique(good[labelled])) < 2 or min(np.bincount(good[labelled])) < 5:
-        share = float(good[labelled].mean()) if len(labelled) else 1.0
+    views = _views([r[2] for r in rows], [r[3] for r in rows])
+    good = np.array([1 - bad for _, bad, _, _ in rows], int)
+    labelled = np.arange(len(rows))
+    if len(np.unique(good)) < 2 or min(np.bincount(good)) < 5:
+        share = float(good.mean()) if len(good) else 1.0
         z = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         nothing = np.zeros(1 << _META), np.array([0.0, z])
         return QualityModel(
@@ -223,30 +322,37 @@ def fit(
     core = np.setdiff1d(labelled, out)
     if len(np.unique(good[out])) < 2 or len(np.unique(good[core])) < 2:
         out = core = labelled
-    pool = np.flatnonzero(good < 0)
-    views = (content, meta)
-    taught = [dict(zip(core.tolist(), good[core].tolist())) for _ in views]
+    share = {label: max(float((good[core] == label).mean()), 0.02) for label in (0, 1)}
+    most = {label: max(1, int(len(core) * share[label] * teach)) for label in share}
+    scratch = Scratch()
+    pool = _pool(docs, scratch)
+    taught: list[dict[int, int]] = [{}, {}]
+    features: dict[int, tuple] = {}
     weights = [np.zeros(0), np.zeros(0)]
     for turn in range(rounds + 1):
         scales = []
+        more = _views(*([features[k][i] for k in sorted(features)] for i in (0, 1)))
+        at = {k: i for i, k in enumerate(sorted(features))}
         for v, x in enumerate(views):
-            mine = np.array(sorted(taught[v]))
-            label = np.array([taught[v][i] for i in mine.tolist()], float)
-            weight = np.where(good[mine] >= 0, 1.0, 0.5)
-            weights[v] = _fitted(x[mine], label, weight)
+            mine = sorted(taught[v])
+            label = np.append(good[core], [taught[v][k] for k in mine]).astype(float)
+            weight = np.append(np.ones(len(core)), np.full(len(mine), 0.5))
+            from_pool = more[v][np.array([at[k] for k in mine], int)]
+            weights[v] = _fitted(np.concatenate([x[core], from_pool]), label, weight)
             z = x @ weights[v][:-1] + weights[v][-1]
             scales.append((z, _scaled(z[out, None], good[out].astype(float))))
         if turn == rounds:
             break
-        for v, (z, scale) in enumerate(scales):
-            p = _logistic(z[pool] * scale[0] + scale[1])
-            # The surest of each kind, in the proportion of the labels, teach the other view.
-            for label, sure in ((1, p), (0, 1 - p)):
-                share = max((good[core] == label).mean(), 0.02)
-                most = max(1, int(len(core) * share / 4))
-                best = np.argsort(-sure, kind="stable")[:most]
-                for i in pool[best[sure[best] >= confidence]].tolist():
-                    taught[1 - v].setdefault(i, label)
+        # The surest of each kind in all of the pool teach the other view.
+        told = [np.array(sorted(taught[1 - v]), np.int64) for v in (0, 1)]
+        seen = [(weights[v], scales[v][1]) for v in (0, 1)]
+        sure = _surest(pool, known, seen, told, most, confidence)
+        for v, label, key in sure:
+            taught[1 - v].setdefault(key, label)
+        new = {key for _, _, key in sure} - features.keys()
+        if new:
+            features |= {key: (c, m) for key, c, m in _looked_up(pool, list(new))}
+    scratch.clear()
     (z_text, s_text), (z_meta, s_meta) = scales
     y = good[out].astype(float)
     both = np.stack([z_text[out] * s_text[0] + s_text[1], z_meta[out] * s_meta[0] + s_meta[1]], 1)
@@ -255,7 +361,7 @@ def fit(
     p = model.of(z_text[out], z_meta[out])[2]
     # Cautious: of the kept-out good documents at most one in 500 lies below the limit.
     limit = min(0.5, float(np.quantile(p[y > 0], 0.002)))
-    del content, meta, views, rows
+    del views, more, features, rows
     give_back()
     return QualityModel(weights[0], weights[1], s_text, s_meta, combined, limit)
 

@@ -57,3 +57,39 @@ def test_hard_rows(hard_documents, tables, model):
     for few in (labels.limit(0), labels.where("bad = 0"), labels.where("bad = 1")):
         assert all(r.accepted for r in C.scored(hard_documents, C.fit(docs, few)).collect())
     assert C.fit(hard_documents.limit(0), labels).limit == 0.0
+
+
+def test_pool_is_every_unlabelled_document(spark, tables):
+    docs, labels = tables
+    some = labels.where("doc_id % 2 = 0")
+    rows = C._rows(docs, {"id": "doc_id", "text": "text"} | {c: c for c in C.METADATA})
+    scratch = C.Scratch()
+    pool = C._unlabelled(C._pool(rows, scratch), C._known(some, "doc_id", "bad"))
+    assert pool.count() == docs.join(some, "doc_id", "left_anti").count()
+    scratch.clear()
+
+
+def test_rare_kinds_beyond_the_sample_teach(spark, tables, monkeypatch):
+    """Of 12,000 unlabelled rows six are of a kind that no sample of the table would hold."""
+    docs, labels = tables
+    seen = []
+    kept = C._looked_up
+
+    def spy(pool, keys):
+        found = kept(pool, keys)
+        seen.extend(found)
+        return found
+
+    monkeypatch.setattr(C, "_looked_up", spy)
+    ids = (F.col("id") + 10_000_000).alias("doc_id")
+    junk = F.when(F.col("id") % 2000 == 7, F.lit("!!!! $$$$ BUY BUY BUY !!!! ")).otherwise("a b")
+    many = spark.range(12_000).select(
+        ids, F.repeat(junk, 40).alias("text"), F.lit("en").alias("lang"), F.lit("rare").alias("source"),
+        F.lit(40).cast("long").alias("n_chars"),
+    )
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    known = docs.join(labels, "doc_id", "left_semi").select(*columns)
+    C.fit(known.unionByName(many), labels, rounds=2, confidence=0.5, sample=300)
+    rare = [c for _, c, _ in seen if np.frombuffer(c, "<f4")[1 << C.BITS :][6] > 0.3]
+    # Copies teach once, and no labelled document comes in again.
+    assert len(rare) == 1 and len(seen) == 2
