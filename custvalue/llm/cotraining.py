@@ -6,15 +6,19 @@ sample; over rounds each scores all documents without a label and labels those t
 of, and these teach the *other* one. On a part of the labelled sample that was kept out, each view
 is calibrated and the two are combined to one probability. All documents are then scored, whole.
 
-The labelled sample has about ``SAMPLE`` documents, chosen by a hash of their ids. The pool of
+The labelled sample has about ``SAMPLE`` documents, half of them good and half bad as far as there
+are so many, chosen by a hash of their ids; the calibration weighs each class as in all labels.
+The limit of acceptance is the probability at which, over all kept-out labelled documents, the
+share of bad ones rejected less ``LOSS`` times the share of good ones rejected is greatest: losing
+1 % of the good documents counts as much as keeping 5 % of the bad ones. The pool of
 pseudo-labels is every document that no label names; its features are stored once and scored in
 each round. Bounded is only how many pseudo-labels teach (``teach``). Documents of equal features
 teach once, so a large group of copies does not use them up.
 
 Defined results: a null text counts as empty, a null metadata value as a value of its own. Scores
 are per row, so ties and repeated rows agree; a document with several labels counts as bad if any
-is. Without labels of both kinds nothing is known: every score is the share of good labels (1 if
-there are none) and every document is accepted. An empty table gives an empty table. Input
+is. With fewer than five labelled documents of a kind nothing is known: every score is the share
+of good labels (1 if there are none) and every document is accepted. An empty table gives an empty table. Input
 columns are kept; the result's own columns replace any of the same name.
 """
 
@@ -36,6 +40,7 @@ from custvalue.llm.shared import Scratch, give_back, named, small_batches, text_
 from custvalue.llm.wordhash import per_text
 
 SAMPLE = 3000
+LOSS = 5.0
 BITS = 10
 _META = 8  # bits of the hashed metadata values
 METADATA = ("source", "lang", "n_chars")
@@ -100,11 +105,32 @@ def _fitted(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1e-4, steps
     return weights
 
 
-def _scaled(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Platt's scaling: a logistic of the raw scores (columns of z), fitted on kept-out rows."""
+def _scaled(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Platt's scaling: a logistic of the raw scores (columns of z), fitted on kept-out rows.
+
+    It is fitted with equal classes, and the bias then moved to the shares that ``w`` gives them.
+    """
     spread = np.maximum(z.std(axis=0), 1e-6)
-    weights = _fitted(z / spread, y, np.ones(len(y)), l2=1e-3, steps=400)
-    return np.append(weights[:-1] / spread, weights[-1])
+    held = np.array([w[y == 0].sum(), w[y == 1].sum()])
+    equal = w / held[y.astype(int)]
+    weights = _fitted(z / spread, y, equal, l2=1e-3, steps=400)
+    return np.append(weights[:-1] / spread, weights[-1] + np.log(held[1] / held[0]))
+
+
+def best_limit(p: np.ndarray, good: np.ndarray, loss: float = LOSS) -> float:
+    """The limit below which the share of bad rows less ``loss`` times that of good ones is
+    greatest; of equal ones the one nearest to an even chance."""
+    values = np.unique(p)
+    limits = np.concatenate([[0.0], (values[1:] + values[:-1]) / 2, [(values[-1] + 1) / 2]])
+    bad, fine = np.sort(p[good == 0]), np.sort(p[good == 1])
+    gain = np.searchsorted(bad, limits) / len(bad) - loss * np.searchsorted(fine, limits) / len(fine)
+    top = limits[gain >= gain.max() - 1e-12]
+    # Any limit between two neighbouring scores does the same; an even chance, if among them.
+    low, high = np.append(0.0, values), np.append(values, 1.0)
+    even = int(np.searchsorted(values, 0.5))
+    if gain[even] >= gain.max() - 1e-12 and low[even] < 0.5 <= high[even]:
+        return 0.5
+    return float(top[np.argmin(np.abs(top - 0.5))])
 
 
 @dataclass(frozen=True)
@@ -200,17 +226,25 @@ def _known(labels: DataFrame, id_column: str, bad: str) -> DataFrame:
     return known.where("__id IS NOT NULL AND bad IS NOT NULL")
 
 
-def _sample(rows: DataFrame, known: DataFrame, size: int) -> list[tuple]:
-    """(hash, bad, content, meta) of labelled sample documents, in order of the hash."""
-    total = known.count()
-    taken = known.where(_place("__id", 21) < min(1.0, size / max(total, 1)))
-    taken = taken.groupBy("__id").agg(F.max("bad").alias("bad")).limit(2 * size)
+def _sample(rows: DataFrame, known: DataFrame, size: int) -> tuple[list[tuple], dict[int, int]]:
+    """(hash, bad, content, meta) of labelled sample documents, in order of the hash, and how many
+    labelled documents of each class there are in all."""
+    here = rows.select("__doc").where("__doc IS NOT NULL").distinct()
+    known = known.groupBy("__id").agg((F.max("bad") > 0).cast("int").alias("bad"))
+    known = known.join(here, F.col("__doc") == F.col("__id"), "left_semi")
+    total = {r.bad: r["count"] for r in known.groupBy("bad").count().collect()}
+    share = F.lit(0.0)
+    for bad, n in total.items():
+        # Half of the sample, and what the other class leaves of its half.
+        most = max(size / 2, size - total.get(1 - bad, 0))
+        share = F.when(F.col("bad") == bad, F.lit(min(1.0, most / n))).otherwise(share)
+    taken = known.where(_place("__id", 21) < share).limit(2 * size)
     # At most twice the sample's ids, so they may go to every task.
     mine = rows.join(F.broadcast(taken), F.col("__doc") == F.col("__id"))
     hashed = F.xxhash64("__doc", F.lit(22)).alias("h")
-    # The share makes the sample about its size; the limit holds even where ids repeat.
+    # The shares make the sample about its size; the limit holds even where ids repeat.
     found = _with_features(mine.select(hashed, "bad", "text", *METADATA)).limit(2 * size)
-    return sorted(tuple(r) for r in found.toLocalIterator())
+    return sorted(tuple(r) for r in found.toLocalIterator()), total
 
 
 def _pool(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -305,23 +339,24 @@ def fit(
     """
     columns = {"id": id_column, "text": text_column} | {c: c for c in METADATA}
     docs, known = _rows(docs, columns), _known(labels, id_column, bad_column)
-    rows = _sample(docs, known, sample)
+    rows, total = _sample(docs, known, sample)
     buckets = (1 << BITS) + _RATIOS
     views = _views([r[2] for r in rows], [r[3] for r in rows])
     good = np.array([1 - bad for _, bad, _, _ in rows], int)
     labelled = np.arange(len(rows))
     if len(np.unique(good)) < 2 or min(np.bincount(good)) < 5:
-        share = float(good.mean()) if len(good) else 1.0
+        share = total.get(0, 0) / sum(total.values()) if total else 1.0
         z = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         nothing = np.zeros(1 << _META), np.array([0.0, z])
         return QualityModel(
             np.zeros(buckets + 1), np.append(nothing[0], 0.0), nothing[1], nothing[1],
             np.array([0.0, 0.0, z]), 0.0,
         )
-    out = labelled[::3]
+    out = np.sort(np.concatenate([np.flatnonzero(good == label)[::3] for label in (0, 1)]))
     core = np.setdiff1d(labelled, out)
-    if len(np.unique(good[out])) < 2 or len(np.unique(good[core])) < 2:
-        out = core = labelled
+    y = good[out].astype(float)
+    # Kept-out rows stand for all labelled documents of their class.
+    stands = np.array([total[1 - label] / (good[out] == label).sum() for label in (0, 1)])[good[out]]
     share = {label: max(float((good[core] == label).mean()), 0.02) for label in (0, 1)}
     most = {label: max(1, int(len(core) * share[label] * teach)) for label in share}
     scratch = Scratch()
@@ -340,7 +375,7 @@ def fit(
             from_pool = more[v][np.array([at[k] for k in mine], int)]
             weights[v] = _fitted(np.concatenate([x[core], from_pool]), label, weight)
             z = x @ weights[v][:-1] + weights[v][-1]
-            scales.append((z, _scaled(z[out, None], good[out].astype(float))))
+            scales.append((z, _scaled(z[out, None], y, stands)))
         if turn == rounds:
             break
         # The surest of each kind in all of the pool teach the other view.
@@ -354,13 +389,11 @@ def fit(
             features |= {key: (c, m) for key, c, m in _looked_up(pool, list(new))}
     scratch.clear()
     (z_text, s_text), (z_meta, s_meta) = scales
-    y = good[out].astype(float)
     both = np.stack([z_text[out] * s_text[0] + s_text[1], z_meta[out] * s_meta[0] + s_meta[1]], 1)
-    combined = _scaled(both, y)
+    combined = _scaled(both, y, stands)
     model = QualityModel(weights[0], weights[1], s_text, s_meta, combined, 0.5)
     p = model.of(z_text[out], z_meta[out])[2]
-    # Cautious: of the kept-out good documents at most one in 500 lies below the limit.
-    limit = min(0.5, float(np.quantile(p[y > 0], 0.002)))
+    limit = best_limit(p, good[out])
     del views, more, features, rows
     give_back()
     return QualityModel(weights[0], weights[1], s_text, s_meta, combined, limit)

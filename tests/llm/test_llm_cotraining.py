@@ -93,3 +93,38 @@ def test_rare_kinds_beyond_the_sample_teach(spark, tables, monkeypatch):
     rare = [c for _, c, _ in seen if np.frombuffer(c, "<f4")[1 << C.BITS :][6] > 0.3]
     # Copies teach once, and no labelled document comes in again.
     assert len(rare) == 1 and len(seen) == 2
+
+
+def test_limit_weighs_recall_against_loss_and_bears_wrong_labels():
+    rng = np.random.default_rng(4)
+    p = np.concatenate([rng.uniform(0.6, 1, 850), rng.uniform(0, 0.3, 150)])
+    good = np.repeat([1, 0], [850, 150])
+    assert C.best_limit(p, good) == 0.5
+    # Wrong labels: 1 % of the good rows score as junk does.
+    p[:9] = 0.001
+    limit = C.best_limit(p, good)
+    assert 0.3 < limit <= 0.6 and (p[good == 0] < limit).mean() >= 0.95
+    # Rejecting a fifth of the good rows is not worth half of the bad ones.
+    p = np.concatenate([np.full(80, 0.9), np.full(20, 0.4), np.full(50, 0.4), np.full(50, 0.1)])
+    assert 0.1 < C.best_limit(p, np.repeat([1, 0], [100, 100])) < 0.4
+
+
+def test_recall_of_bad_documents(tables, model):
+    docs, labels = tables
+    rows = C.scored(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    bad = [r for r in rows if r.bad == 1]
+    good = [r for r in rows if r.bad == 0]
+    recall = sum(not r.accepted for r in bad) / len(bad)
+    lost = sum(not r.accepted for r in good) / len(good)
+    print(f"recall {recall:.4f} of {len(bad)}, lost {lost:.4f} of {len(good)}, {model.limit}")
+    assert recall - C.LOSS * lost >= 0.7
+
+
+def test_rare_class_is_sampled_whole(spark, tables):
+    docs, labels = tables
+    rows = C._rows(docs, {"id": "doc_id", "text": "text"} | {c: c for c in C.METADATA})
+    bad = labels.where("bad = 1").limit(12)
+    some = labels.where("bad = 0").unionByName(bad).localCheckpoint()
+    sample, total = C._sample(rows, C._known(some, "doc_id", "bad"), 60)
+    assert total == {0: some.where("bad = 0").count(), 1: 12}
+    assert sum(r[1] for r in sample) >= 12 and len(sample) < 120
