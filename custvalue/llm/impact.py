@@ -12,8 +12,11 @@ per query, and the best k of all cells are the answer.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no
 part, nor do rows without an id. Vectors meet only those of their own length. Ties go to the
-smaller id. Rows that repeat id and vector count once; a row never meets its own id. An empty
-table gives an empty result. Other columns are not read. Scores beyond 64 bits raise.
+smaller id. Rows that repeat id and vector (in whole numbers) are one row, made one before the
+blocks are cut, so it does not matter where they lie; it is asked if any of them is. An id with
+several vectors has several rows, and as a query the k best pairs of them all. A row never meets
+its own id. An empty table gives an empty result. Other columns are not read. Scores beyond 64
+bits raise.
 """
 
 from __future__ import annotations
@@ -34,27 +37,23 @@ _SEGMENTS = (0.35, 0.6, 0.8, 1.0)  # shares of the postings added by and with ea
 _FEW = 0.02  # possible members, as a share of all pairs, that are scored exactly at once
 
 
-def _blocks(scale: float):
+def _blocks():
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(2)
             length = np.asarray(column.value_lengths().fill_null(0))
-            flat = column.flatten().cast(pa.float64())
-            holes = np.asarray(flat.is_null())
-            values = np.floor(np.asarray(flat.fill_null(0)) * scale)
+            values = np.asarray(column.flatten())
             edges = np.concatenate([[0], np.cumsum(length)])
-            bad = np.concatenate([[0], np.cumsum(holes | ~np.isfinite(values))])
-            good = (np.diff(bad[edges]) == 0) & (length > 0)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             asked = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             rows: dict[str, list] = {k: [] for k in ("kind", "width", "cell", "ids", "values")}
-            for width in np.unique(length[good]).tolist():
+            for width in np.unique(length).tolist():
                 for kind in (0, 1):
-                    mine = np.flatnonzero(good & (length == width) & (asked | (kind == 0)))
+                    mine = np.flatnonzero((length == width) & (asked | (kind == 0)))
                     for low in range(0, len(mine), BLOCK):
                         part = mine[low : low + BLOCK]
                         matrix = values[edges[part][:, None] + np.arange(width)]
-                        if np.abs(matrix).max() >= 2.0**31:
+                        if np.abs(matrix.astype(np.float64)).max() >= 2.0**31:
                             raise ValueError("components beyond 31 bits")
                         rows["kind"].append(kind)
                         rows["width"].append(width)
@@ -118,11 +117,9 @@ class Index:
             lower[own] = -np.inf
             limit = floor
             if lower.shape[1] > k:
-                # k rows that reach this at least: no vector below it can be a member. Rows that
-                # repeat an id count once, so a block that has such rows proves nothing here.
-                if self.distinct:
-                    kth = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
-                    limit = np.maximum(floor, kth)
+                # k rows that reach this at least: no vector below it can be a member.
+                kth = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
+                limit = np.maximum(floor, kth)
             possible = (added + slack >= limit[:, None]) & ~own
             if possible.sum() <= _FEW * possible.size:
                 break
@@ -135,18 +132,11 @@ class Index:
             ).sum(axis=1)
         return row, col, score
 
-    @property
-    def distinct(self) -> bool:
-        return len(np.unique(self.ids)) == len(self.ids)
-
 
 def _top(k, query, ids, score):
-    """The k best of each query, ties to the smaller id, equal rows once."""
+    """The k best of each query, ties to the smaller id."""
     order = np.lexsort((ids, -score, query))
     query, ids, score = query[order], ids[order], score[order]
-    new = np.ones(len(query), bool)
-    new[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
-    query, ids, score = query[new], ids[new], score[new]
     first = np.searchsorted(query, query)
     keep = np.arange(len(query)) - first < k
     return query[keep], ids[keep], score[keep]
@@ -210,12 +200,19 @@ def top_k(
         named(id_column).cast("long").alias("id"),
         F.coalesce(asked, F.lit(False)).alias("asked"),
         named(vector_column).cast("array<double>").alias("vector"),
-    ).where("id IS NOT NULL AND vector IS NOT NULL")
+    ).where("id IS NOT NULL AND size(vector) > 0")
+    rows = rows.where(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
     size = rows.agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).first()
     down = max(1, -(-size["q"] // QUERIES_PER_CELL))
     across = max(1, -(-size["n"] // VECTORS_PER_CELL))
+    # Beyond 63 bits floor() ends at the largest number, which is refused later.
+    whole = F.transform("vector", lambda x: F.floor(x * F.lit(scale)))
+    rows = rows.select("id", "asked", whole.alias("vector"))
+    rows = rows.groupBy("id", "vector").agg(F.max("asked").alias("asked"))
+    # In order, so that a repeated task cuts the same blocks.
+    rows = rows.select("id", "asked", "vector").sortWithinPartitions("id", "vector")
     blocks = rows.mapInArrow(
-        _blocks(scale), "kind int, width int, cell long, ids binary, values binary"
+        _blocks(), "kind int, width int, cell long, ids binary, values binary"
     )
     place = F.xxhash64("cell", "width", "kind")
 

@@ -73,3 +73,22 @@ def test_large_numbers_are_exact_or_refused(spark):
     )
     with pytest.raises(Exception, match="beyond"):
         run(spark, [(0, [1e30]), (1, [1e30])], 5, 3)
+
+
+def test_repeated_queries_and_candidates_over_several_cells(spark, monkeypatch):
+    monkeypatch.setattr(I, "BLOCK", 16)
+    monkeypatch.setattr(I, "QUERIES_PER_CELL", 10)
+    monkeypatch.setattr(I, "VECTORS_PER_CELL", 40)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 0.2, 8).astype(np.float32).tolist()) for i in range(200)]
+    # Every third row twice more, a query and a candidate forty times.
+    many = rows + rows[::3] * 2 + [rows[20]] * 40 + [rows[21]] * 40
+    found = run(spark, many, 5, 20)
+    assert found == brute(rows, 5, 20)
+    assert len(found) == 40 * 20
+    assert len({(q, c) for q, _, c, _ in found}) == len(found)
+
+
+def test_an_id_with_several_vectors_keeps_each(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.5, 0.0])]
+    assert run(spark, rows, 5, 20) == [(0, 1, 1, 4096), (0, 2, 1, 4096), (0, 3, 2, 2048)]
