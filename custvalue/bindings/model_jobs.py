@@ -382,6 +382,35 @@ def classifier_grid(spark, sf):
     return _checked(model_search.search(data, _some_recipes()))
 
 
+def _whole_grid(kind: str) -> None:
+    """Registers ``<kind>_search``, every setting of the grid over five folds, and
+    ``<kind>_refit``, the best one fitted on all rows with the weight of each feature."""
+
+    def found(spark, sf):
+        rows, names = _vectors(spark, sf)
+        data = with_folds(rows, "label", "key")
+        return data, names, model_search.search(data, model_search.grid(kind))
+
+    def searched(spark, sf):
+        return found(spark, sf)[2]
+
+    def refit(spark, sf):
+        data, names, ranking = found(spark, sf)
+        recipe, model = model_search.refitted(data, ranking, model_search.grid(kind))
+        weights = model_search.feature_weights(model, len(names))
+        rows = [(recipe.kind, str(recipe), n, w) for n, w in zip(names, weights)]
+        kinds = "classifier string, settings string, feature string, weight double"
+        return spark.createDataFrame(rows, kinds)
+
+    searched.__name__, refit.__name__ = f"{kind}_search", f"{kind}_refit"
+    query()(searched)
+    query()(refit)
+
+
+for _kind in _OTHER_KINDS:
+    _whole_grid(_kind)
+
+
 @query(
     f"WITH {S.LICENSES_SQL}, bought AS (SELECT c_nationkey FROM customer "
     f"JOIN licenses USING (c_custkey)), {_allotment_sql('bought', 'c_nationkey')}, "

@@ -170,6 +170,24 @@ def weights_of(model) -> list[float]:
     return [float(w) for w in model.coefficients]
 
 
+def feature_weights(model, width: int) -> list[float]:
+    """Weights of a linear model's features; of trees, how much each feature serves their splits
+    (for several trees the mean)."""
+    if hasattr(model, "coefficients"):
+        return weights_of(model)
+    if hasattr(model, "featureImportances"):
+        return [float(w) for w in model.featureImportances.toArray()]
+    sums = [0.0] * width
+    for member in model.members:
+        indices, tree = range(width), member
+        if hasattr(member, "stages"):
+            slicer, tree = member.stages
+            indices = slicer.getIndices()
+        for i, w in zip(indices, tree.featureImportances.toArray()):
+            sums[i] += float(w) / len(model.members)
+    return sums
+
+
 def select_features(train: DataFrame, features: Sequence[str], c: float = SELECTION_C) -> list[str]:
     """Features that keep a weight under an absolute-value penalty."""
     train = train.cache()

@@ -397,3 +397,37 @@ def test_from_customer_table_to_model(rows):
     assert model.coefficients.first().feature == "industry_retail"
     assert model.metrics.first().accuracy > 0.7
     assert model.predictions.count() == prepared.test.count()
+
+
+def test_whole_grids_and_refits_are_registered():
+    import __spark_entry__ as entry
+
+    kinds = entry.model_jobs._OTHER_KINDS
+    assert len(kinds) == 6
+    for kind in kinds:
+        assert {f"{kind}_search", f"{kind}_refit"} <= set(entry.queries())
+
+
+def test_feature_weights_of_every_kind(rows):
+    df, x, y = labelled(rows, n=200)
+    for kind in ("linear_svm", "random_forest", "bagging", "ada_boost"):
+        recipe = S.grid(kind)[0]
+        weights = S.feature_weights(recipe.fit(df, 200), 4)
+        assert len(weights) == 4 and any(weights)
+
+
+def test_a_search_takes_five_folds_and_the_best_is_refitted(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    some = S.grid("random_forest")[:2]
+    folds, kept = [], S.search
+    monkeypatch.setattr(S, "grid", lambda kind: some)
+    monkeypatch.setattr(
+        S, "search", lambda data, recipes: folds.append(S.fold_sizes(data)) or kept(data, recipes)
+    )
+    folder = "/root/testdata/sf0.001"
+    ranking = entry.queries()["random_forest_search"](spark, folder).collect()
+    assert {r.settings for r in ranking} == set(map(str, some)) and len(folds[0]) == 5
+    refit = entry.queries()["random_forest_refit"](spark, folder).collect()
+    assert {r.settings for r in refit} == {ranking[0].settings}
+    assert len({r.feature for r in refit}) == len(refit) > 10
