@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from custvalue.bindings.registry import query, table
 from custvalue.llm import (
+    collocations,
     cotraining,
     hosts,
     impact,
@@ -335,6 +336,48 @@ def op7_quality_classifier(spark, sf):
     return scored.select("doc_id", "p_text", "p_metadata", "score", "accepted")
 
 
+_OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+  )
+),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS phrase, count(*) AS f
+  FROM pieces, unnest(range(1, len(w) + 1)) AS u(p), unnest(range(1, 6)) AS t(k)
+  WHERE p + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, j, n, x.f AS l, y.f AS r,
+    ((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j, string_split(phrase, ' ') AS w FROM f WHERE k > 1) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(w, 1, j), ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(w, j + 1, c.k), ' ')
+  JOIN total ON total.lang = c.lang
+),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+),
+alone AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM f t WHERE t.lang = s.lang AND t.k > s.k AND 100 * t.f >= 100 * s.a
+      AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM alone
+) WHERE rank <= 2000
+"""
+
+
+@query(_OP11_SQL)
+def op11_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 _OP13_SQL = r"""
 WITH t AS (
   SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
