@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custvalue.llm.shared import Scratch, named, saved, small_batches, text_parts
+from custvalue.llm.shared import Scratch, give_back, named, saved, small_batches, text_parts
 from custvalue.llm.wordhash import LOWER
 
 LEAST = 100
@@ -35,6 +35,7 @@ MOST_WORDS = 5
 FIRST = 2000
 BROADCAST_ROWS = 1 << 18
 _RANKED_TOGETHER = 50_000
+_BLOCK_BYTES = 1 << 20  # of text; a longer text is a block of its own
 
 # Bytes between words, and bytes that end a piece.
 _BLANK = np.isin(np.arange(256), [32, 9])
@@ -96,7 +97,7 @@ def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
         kind = langs.indices.to_numpy(zero_copy_only=False)
-        for low, high, data, offsets in text_parts(batch.column(1)):
+        for low, high, data, offsets in text_parts(batch.column(1), _BLOCK_BYTES):
             owner, place, words = _placed(data, offsets)
             lang = kind[low:high][owner]
             for one in np.unique(lang).tolist():
@@ -183,6 +184,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict(
                     {"x": near.first[some], "y": near.second[some], "n": near.n[some]}
                 )
+        give_back()
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +213,7 @@ def _longer(relation: DataFrame, frequent: DataFrame, few: bool) -> DataFrame:
                 for block, step, item in zip(*(c.to_pylist() for c in batch.columns)):
                     near = _Neighbours(step, item)
                     yield _rows(near.kept(block, lookup(near.first, near.second)))
+                give_back()
 
         return small_batches(relation).mapInArrow(extend, _RELATION)
 
@@ -265,6 +268,7 @@ def _frequent_words(blocks: DataFrame, words: DataFrame, few: bool) -> DataFrame
                     number = np.where(at >= 0, ids[at], -1)
                     block, step, item = (batch.column(c)[i].as_py() for c in (0, 3, 4))
                     yield _rows(kept(block, step, item, number))
+                give_back()
 
         read = blocks.select("block", "lang", "words", "step", "item")
         return small_batches(read).mapInArrow(find, _RELATION)

@@ -102,7 +102,9 @@ def test_hard_rows(spark, hard_documents):
     clash = hard_documents.withColumnsRenamed({"n_words": "words", "n_chars": "item"})
     clash = clash.withColumn("block", F.lit("x"))
     docs = [(r.lang, r.text) for r in hard_documents.collect()]
-    assert result(C.collocations(clash, least=2)) == brute(docs, 2)
+    assert result(C.collocations(clash, least=3)) == brute(docs, 3)
+    short = [d for d in docs if len(d[1] or "") < 1000]
+    assert result(C.collocations(clash.where("item IS NULL OR item < 1000"), least=2)) == brute(short, 2)
     assert C.collocations(clash.limit(0)).collect() == []
     assert C.collocations(clash.where("text IS NULL")).collect() == []
 
