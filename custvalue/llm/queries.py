@@ -12,6 +12,7 @@ from custvalue.llm import (
     impact,
     jaccard,
     langid,
+    licenses,
     mixing,
     packing,
     rules,
@@ -378,6 +379,11 @@ def op11_collocations(spark, sf):
     return collocations.collocations(table(spark, sf, "documents"))
 
 
+@query()
+def op12_license_scan(spark, sf):
+    return licenses.scanned(table(spark, sf, "documents"))
+
+
 _OP13_SQL = r"""
 WITH t AS (
   SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
