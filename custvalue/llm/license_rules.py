@@ -142,7 +142,7 @@ commons-clause | name | commons clause | commons clause
 polyform | name | polyform | polyform (?:noncommercial|small business|shield|strict|perimeter) licen[cs]e
 openrail | name | openrail | (?:bigscience |creativeml )?openrail(?: m)?(?: licen[cs]e)?
 openrail | name | open rail | (?:bigscience |creativeml )?open rail(?: m)?(?: licen[cs]e)?
-llama | name | llama | llama [0-9 ]{0,4}community licen[cs]e
+llama | name | llama | llama(?: [0-9]+){0,2} community licen[cs]e
 gemma | name | gemma terms | gemma terms of use
 proprietary | named | proprietary | (?:confidential and proprietary|proprietary and confidential)
 proprietary | mention | proprietary licen | proprietary licen[cs]e
