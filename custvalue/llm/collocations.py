@@ -35,6 +35,7 @@ MOST_WORDS = 5
 FIRST = 2000
 BROADCAST_ROWS = 1 << 18
 _RANKED_TOGETHER = 50_000
+_COUNTED_TOGETHER = 8_000_000  # occurrences a task counts before it gives counts away
 _BLOCK_BYTES = 1 << 20  # of text; a longer text is a block of its own
 
 # Bytes between words, and bytes that end a piece.
@@ -359,7 +360,11 @@ def phrases(
         )
     )
     totals = saved(blocks.groupBy("lang").agg(F.sum("n").alias("n")))
-    each = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    # Rare groups shrink only where many occurrences of them meet, so a task counts many blocks.
+    tasks = -(-(totals.agg(F.sum("n")).first()[0] or 0) // _COUNTED_TOGETHER) or 1
+    each = blocks.coalesce(tasks).select(
+        "lang", F.explode(F.arrays_zip("words", "counts")).alias("w")
+    )
     words = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
     words = words.where(F.col("f") >= least)
     words = saved(words.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"))
@@ -371,7 +376,7 @@ def phrases(
     levels = []
     for size in range(2, most_words + 1):
         relation = scratch.saved(relation)
-        pairs = small_batches(relation.select("step", "item")).mapInArrow(
+        pairs = small_batches(relation.select("step", "item").coalesce(tasks)).mapInArrow(
             _pair_counts, "x long, y long, n long"
         )
         frequent = pairs.groupBy("x", "y").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
