@@ -58,20 +58,17 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes = np.empty(0, np.uint64)
+        self.known: dict[bytes, int] = {}
         self.begin = np.empty(0, np.int64)
         self.length = np.empty(0, np.int64)
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        if len(self.hashes) + len(hashes) > _CACHED_WORDS:
-            self._clear()
+    def _learn(self, words: list[bytes]) -> None:
         sizes, flat = [], []
-        for low in range(0, len(texts), _ENCODED_WORDS):
-            some = self.encoder.encode_batch_fast(
-                texts[low : low + _ENCODED_WORDS], add_special_tokens=False
-            )
+        for low in range(0, len(words), _ENCODED_WORDS):
+            texts = [w.decode("utf-8", "replace") for w in words[low : low + _ENCODED_WORDS]]
+            some = self.encoder.encode_batch_fast(texts, add_special_tokens=False)
             ids = [e.ids for e in some]
             sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             flat.append(np.array(list(chain.from_iterable(ids)), np.uint32))
@@ -81,48 +78,56 @@ class WordIds:
             grown[: self.used] = self.flat[: self.used]
             self.flat = grown
         self.flat[self.used : self.used + len(more)] = more
-        begin = np.concatenate([self.begin, self.used + np.cumsum(length) - length])
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
         self.used += len(more)
-        every = np.concatenate([self.hashes, hashes])
-        order = np.argsort(every, kind="stable")
-        self.hashes, self.begin = every[order], begin[order]
-        self.length = np.concatenate([self.length, length])[order]
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
 
-    def _place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.searchsorted(self.hashes, hashes)
-        safe = np.minimum(place, max(len(self.hashes) - 1, 0))
-        there = self.hashes[safe] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        return safe, there
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The place of each of several different words in the cache, which must have room for
+        all of them at once."""
+        new = [word for word in words if word not in self.known]
+        if new and len(self.known) + len(new) > _CACHED_WORDS:
+            self._clear()
+            new = words
+        if new:
+            self._learn(new)
+        return np.fromiter((self.known[word] for word in words), np.int64, len(words))
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of several texts in one array, and where each text's begin."""
-        # Upper case may only be folded early where no special token can be spelled.
-        folded = data if b"<|" in data.tobytes() else W.LOWER[data]
+        folded = _folded(data)
         w = W.words(folded, offsets, classes=_CLASSES)
-        values, at, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
-        place, there = self._place(values)
-        new = np.flatnonzero(~there)
-        if len(new) > _CACHED_WORDS // 2:  # one batch of a very long text: word by word anyway
-            self._clear()
-        if len(new):
-            spans = zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist())
-            texts = [folded[a:b].tobytes().decode("utf-8", "replace") for a, b in spans]
-            self._learn(values[new], texts)
-            place, there = self._place(values)
-            if not there.all():  # the cache began anew: learn the rest of this batch too
-                rest = np.flatnonzero(~there)
-                spans = zip(w.starts[at[rest]].tolist(), w.ends[at[rest]].tolist())
-                texts = [folded[a:b].tobytes().decode("utf-8", "replace") for a, b in spans]
-                kept = (self.hashes, self.begin, self.length)
-                self._learn(values[rest], texts)
-                assert len(kept[0]) <= len(self.hashes)
-                place, _ = self._place(values)
-        place = place[inverse]
-        length = self.length[place]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(self.begin[place] - (ends - length), length) + np.arange(total)
-        return self.flat[source], np.concatenate([[0], ends])[w.first]
+        edges = np.concatenate([[0], np.cumsum(w.ends - w.starts)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(w.starts),
+            [None, pa.py_buffer(edges), pa.py_buffer(folded[~W.SPACE[folded]])],
+        )
+        # In slices, each of which the cache can hold whole.
+        step = max(1, _CACHED_WORDS // 2)
+        found, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for low in range(0, len(words), step):
+            coded = words.slice(low, step).dictionary_encode()
+            place = self._numbers(coded.dictionary.to_pylist())
+            place = place[coded.indices.to_numpy(zero_copy_only=False)]
+            length = self.length[place]
+            ends = np.cumsum(length)
+            source = np.repeat(self.begin[place] - (ends - length), length) + np.arange(ends[-1])
+            found.append(self.flat[source])
+            sizes.append(length)
+        begins = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return np.concatenate(found), begins[w.first]
+
+
+def _folded(data: np.ndarray) -> np.ndarray:
+    """Upper case folded early, so that more words are known: only where no special token can be
+    spelled, and not before a byte that may begin a mark which the vocabulary composes with the
+    letter."""
+    if b"<|" in data.tobytes():
+        return data
+    plain = np.ones(len(data), bool)
+    plain[:-1] = data[1:] < 128
+    return np.where(plain, W.LOWER[data], data)
 
 
 _encoders: dict[str, WordIds] = {}

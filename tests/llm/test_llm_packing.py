@@ -98,3 +98,40 @@ def test_packed_rows(spark, hard_documents, monkeypatch):
     assert [r.length for r in rows if r.doc_id == 2] == [1]
     assert len({r.sequence_id for r in rows}) == brute_bins([r.length for r in rows], 4096)
     assert P.packed(P.pieces(hard_documents.limit(0), PATH)).collect() == []
+
+
+def encoded(worker, texts):
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    ids, begins = worker.ids(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    return [ids[a:b].tolist() for a, b in zip(begins, begins[1:])]
+
+
+def wanted(texts):
+    tokenizer = Tokenizer.from_file(PATH)
+    return [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("known", [10, 60, 90])
+def test_a_text_with_more_words_than_the_cache_holds(monkeypatch, known):
+    monkeypatch.setattr(P, "_CACHED_WORDS", 100)
+    worker = P.WordIds(PATH)
+    old = " ".join(f"old{i}" for i in range(known))
+    new = " ".join(f"old{i} new{i}" for i in range(160))
+    texts = [old, new + " old3", "", new + " end"]
+    for text in (texts[:1], texts):
+        assert encoded(worker, text) == wanted(text)
+
+
+def test_words_of_equal_hash_keep_their_own_ids():
+    # Thue-Morse orders of two letters meet in any sum of bytes times powers modulo 2**64.
+    order = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = ["".join("ab"[bit ^ flip] for bit in order) for flip in (0, 1)]
+    worker = P.WordIds(PATH)
+    assert encoded(worker, texts) == wanted(texts)
+    assert encoded(worker, texts)[0] != encoded(worker, texts)[1]
+
+
+def test_letters_before_marks_are_composed_as_the_vocabulary_does():
+    texts = ["İ̸", "İ", "Å B", "Aİ̸x", "ÉCOLE É"]
+    assert encoded(P.WordIds(PATH), texts) == wanted(texts)
