@@ -10,6 +10,7 @@ from custvalue.bindings.registry import query, table
 from custvalue.functions.nulls import named
 from custvalue.models import search as model_search
 from custvalue.models.logistic_many import Fit, fit_many, model_rows
+from custvalue.models.margin_many import GAP
 from custvalue.models.metrics import weighted_metrics as weighted_scores
 from custvalue.models.revenue import compare_revenue_models
 from custvalue.operators.aggregates import one_hot
@@ -364,6 +365,9 @@ _OTHER_KINDS = (
 )
 
 
+_MARGIN_KINDS = ("linear_svm", "hinge_linear")
+
+
 def _some_recipes() -> list:
     """The first setting of each other classifier's grid."""
     return [model_search.grid(kind)[0] for kind in _OTHER_KINDS]
@@ -408,7 +412,42 @@ def _whole_grid(kind: str) -> None:
 
 
 for _kind in _OTHER_KINDS:
-    _whole_grid(_kind)
+    if _kind not in _MARGIN_KINDS:
+        _whole_grid(_kind)
+
+
+def _margin_grid(kind: str) -> None:
+    """Registers ``<kind>_search`` and ``<kind>_refit`` as above, from one joint fit, and
+    ``<kind>_grid``: no fit of the whole grid is further from the best weights there are than the
+    bound."""
+
+    def found(spark, sf):
+        rows, names = _vectors(spark, sf)
+        return names, *model_search.search_margins(with_folds(rows, "label", "key"), kind)
+
+    def searched(spark, sf):
+        return found(spark, sf)[1]
+
+    def refit(spark, sf):
+        names, ranking, models = found(spark, sf)
+        best = ranking.where("place = 1").first().settings
+        rows = [(kind, best, n, w) for n, w in zip(names, models[best].coefficients)]
+        kinds = "classifier string, settings string, feature string, weight double"
+        return spark.createDataFrame(rows, kinds)
+
+    def checked(spark, sf):
+        near = F.col("gap").between(-1e-9, GAP) & F.col("mean_f1").between(0.0, 1.0)
+        return searched(spark, sf).select("classifier", "settings", "rows", near.alias("scored"))
+
+    searched.__name__, refit.__name__ = f"{kind}_search", f"{kind}_refit"
+    checked.__name__ = f"{kind}_grid"
+    query()(searched)
+    query()(refit)
+    query(_grid_sql(kind, [str(r) for r in model_search.grid(kind)]))(checked)
+
+
+for _kind in _MARGIN_KINDS:
+    _margin_grid(_kind)
 
 
 @query(

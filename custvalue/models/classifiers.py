@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    LinearSVC,
     LogisticRegression,
     RandomForestClassifier,
 )
@@ -24,6 +23,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custvalue.models.logistic_many import model_rows
+from custvalue.models.margin_many import MarginFit, fit_margins
 from custvalue.session import cut_lineage
 
 # Spark grows trees to this depth at most.
@@ -64,18 +65,44 @@ def logistic(c: float, l1: bool = False) -> Recipe:
     return Recipe("logistic", {"C": c, "penalty": "l1" if l1 else "l2"}, fit)
 
 
-def linear_svm(c: float) -> Recipe:
-    def fit(train: DataFrame, rows: int):
-        return LinearSVC(regParam=1.0 / (c * rows), standardization=False, maxIter=100).fit(train)
+@dataclass
+class MarginModel:
+    """A fitted linear classifier with hinge loss: a positive margin predicts label 1."""
+
+    coefficients: Sequence[float]
+    intercept: float
+    gap: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = vector_to_array("features")
+        weights = F.array(*[F.lit(float(w)) for w in self.coefficients])
+        terms = F.zip_with(x, weights, lambda a, b: a * b)
+        margin = F.aggregate(terms, F.lit(float(self.intercept)), lambda a, b: a + b)
+        return df.withColumn("prediction", F.when(margin > 0, 1.0).otherwise(0.0))
+
 
-    return Recipe("linear_svm", {"C": c}, fit)
+def _margin_model(c: float) -> Callable[[DataFrame], MarginModel]:
+    def fit(train: DataFrame) -> MarginModel:
+        rows = model_rows(train.drop("fold")).cache()
+        try:
+            weights, gaps = fit_margins(rows, [MarginFit(c)])
+        finally:
+            rows.unpersist()
+        return MarginModel(weights[0, :-1].tolist(), float(weights[0, -1]), float(gaps[0]))
+
+    return fit
+
+
+def linear_svm(c: float) -> Recipe:
+    """Hinge loss of weight ``c`` per row beside half the squared weights."""
+    return Recipe("linear_svm", {"C": c}, lambda train, rows: _margin_model(c)(train))
 
 
 def hinge_linear(alpha: float) -> Recipe:
     """Hinge loss with a squared penalty of weight ``alpha`` per row."""
 
-    def fit(train: DataFrame, rows: int):
-        return LinearSVC(regParam=alpha, standardization=False, maxIter=100).fit(train)
+    def fit(train: DataFrame, rows: int) -> MarginModel:
+        return _margin_model(1.0 / (alpha * rows))(train)
 
     return Recipe("hinge_linear", {"alpha": alpha}, fit)
 

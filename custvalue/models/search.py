@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.models.classifiers import (
+    MarginModel,
     Recipe,
     ada_boost,
     bagging,
@@ -20,7 +21,8 @@ from custvalue.models.classifiers import (
     logistic,
     random_forest,
 )
-from custvalue.models.logistic_many import cross_validated
+from custvalue.models.logistic_many import Fit, cross_validated, fold_scores, model_rows
+from custvalue.models.margin_many import MarginFit, fit_margins
 from custvalue.models.metrics import weighted_metrics
 from custvalue.operators.neighbors import nearest
 
@@ -127,6 +129,49 @@ def search_logistic(data: DataFrame, strengths: Sequence[float] = LOGISTIC_GRID)
     return _ranked(data.sparkSession, ["logistic"] * len(names), names, scores, total)
 
 
+def search_margins(
+    data: DataFrame, kind: str, recipes: Sequence[Recipe] | None = None
+) -> tuple[DataFrame, dict[str, MarginModel]]:
+    """Mean weighted F1 per setting of ``linear_svm`` or ``hinge_linear`` with the largest duality
+    gap of the setting's fits (``gap``, share of the loss), and each setting's model of all rows.
+
+    All settings are fitted together, on all folds and on all rows.
+    """
+    recipes = grid(kind) if recipes is None else recipes
+    rows = model_rows(data).cache()
+    try:
+        sizes = fold_sizes(rows)
+        total, folds = sum(sizes.values()), sorted(sizes)
+
+        def fit(recipe: Recipe, fold: int | None) -> MarginFit:
+            if kind == "linear_svm":
+                return MarginFit(recipe.settings["C"], fold)
+            learned = total - (0 if fold is None else sizes[fold])
+            return MarginFit(1.0 / (recipe.settings["alpha"] * learned), fold)
+
+        fits = [fit(recipe, fold) for recipe in recipes for fold in folds]
+        weights, gaps = fit_margins(rows, fits + [fit(recipe, None) for recipe in recipes])
+        scores = fold_scores(
+            rows, [Fit((), f.c, f.left_out) for f in fits], weights[: len(fits)]
+        )
+    finally:
+        rows.unpersist()
+    n, spark = len(folds), data.sparkSession
+    names = list(map(str, recipes))
+    means = [sum(scores[i * n : (i + 1) * n]) / n for i in range(len(names))]
+    models = {
+        name: MarginModel(w[:-1].tolist(), float(w[-1]), float(g))
+        for name, w, g in zip(names, weights[len(fits) :], gaps[len(fits) :])
+    }
+    worst = [
+        (name, float(max(gaps[i * n : (i + 1) * n].max(), models[name].gap)))
+        for i, name in enumerate(names)
+    ]
+    ranking = _ranked(spark, [kind] * len(names), names, means, total)
+    bounds = spark.createDataFrame(worst, "settings string, gap double")
+    return ranking.join(bounds, "settings").select(*ranking.columns, "gap"), models
+
+
 def search_neighbors(data: DataFrame, counts: Sequence[int] = NEIGHBOR_GRID) -> DataFrame:
     """Mean weighted F1 of the nearest-neighbour vote per neighbour count.
 
