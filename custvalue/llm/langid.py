@@ -9,8 +9,8 @@ reach the asked precision becomes the rejection limit. ``predict`` reads every w
 Defined results: a null text, an empty text and one without a letter get ``und``, score 0, and
 are not accepted. Equal texts get equal results; of tied languages the first by name wins.
 Documents without a language teach nothing. With one language known all texts with letters get
-it; with none (or an empty table to learn from) ``fit`` raises. An empty table gives an empty
-result. Other columns, whatever their names, are no input of a prediction.
+it; with none (or an empty table to learn from) every text gets ``und``, score 0. An empty table
+gives an empty result. Other columns, whatever their names, are no input of a prediction.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def _sample(labelled: DataFrame, id_column: str, text: str, lang: str, size: int
     ).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if not counts:
-        raise ValueError("no labelled document to learn languages from")
+        return []
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; raise MAX_LANGUAGES to allow it")
     each = max(size // len(counts), 20)
@@ -108,6 +108,8 @@ def fit(
     """Learn from at most about ``sample`` documents, chosen by a hash of their ids."""
     rows = _sample(labelled, id_column, text_column, lang_column, sample, bits)
     names = tuple(sorted({row[0] for row in rows}))
+    if not names:
+        return LanguageModel((), np.zeros((1 << bits, 1), np.float32), np.zeros(1), 1.0, 1.0)
     random = np.random.default_rng(seed)
     order = random.permutation(len(rows))
     known = [
@@ -170,7 +172,7 @@ def predict(
                 part = batch.slice(low, 512)
                 p, count = known.probabilities([t.as_py() for t in part.column(1)])
                 best, score = p.argmax(axis=1), np.round(p.max(axis=1), 6)
-                some = count > 0
+                some = (count > 0) & bool(known.languages)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),

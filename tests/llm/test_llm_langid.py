@@ -41,8 +41,13 @@ def test_hard_rows(hard_documents, model):
         assert (found[doc].lang_pred, found[doc].score, found[doc].accepted) == ("und", 0.0, False)
     assert found[1].lang_pred == found[8].lang_pred != "und"
     assert L.predict(hard_documents.limit(0), model).collect() == []
-    with pytest.raises(ValueError):
-        L.fit(hard_documents.limit(0))
+
+
+def test_without_a_language_to_learn_every_text_is_unknown(hard_documents):
+    for nothing in (hard_documents.limit(0), hard_documents.where("lang IS NULL")):
+        found = L.predict(hard_documents, L.fit(nothing)).collect()
+        assert len(found) == hard_documents.count()
+        assert {(r.lang_pred, r.score, r.accepted) for r in found} == {("und", 0.0, False)}
 
 
 def test_one_language_is_enough(spark, hard_documents):
