@@ -29,6 +29,7 @@ _LENGTHS = np.concatenate([[0.0], 0.5 ** np.arange(12)])
 _STEPS_PER_WIDTH = 40
 _SETTLED = 1e-7
 _NEARLY = 1e-3
+_SMALL = 1e-4
 # Rows away from the kink count a little, so that a step is defined where none lies in it.
 _ELSEWHERE = 0.02
 _CELLS_AT_ONCE = 4_000_000
@@ -102,7 +103,7 @@ def _losses(rows: DataFrame, left_out, weights, steps, width) -> np.ndarray:
     return _sums(rows, (len(weights), len(_LENGTHS)), left_out, add)
 
 
-def _gaps(rows: DataFrame, left_out, c, weights, width) -> np.ndarray:
+def _gaps(rows: DataFrame, left_out, c, weights, width, least) -> np.ndarray:
     """Duality gap per fit as a share of its loss, with the rounded hinge's dual values."""
     fits, size = weights.shape
 
@@ -118,7 +119,7 @@ def _gaps(rows: DataFrame, left_out, c, weights, width) -> np.ndarray:
     reach = sums[:, 1] - c / 2 * (sums[:, 2:-1] ** 2).sum(axis=1)
     # A dual point needs as much push from either label; what is missing counts as gap.
     unequal = np.abs(weights[:, -1] * sums[:, -1])
-    return (loss - reach + unequal) / np.maximum(loss, 1e-300)
+    return (loss - reach + unequal) / np.maximum(loss, least)
 
 
 def fit_margins(
@@ -136,21 +137,25 @@ def fit_margins(
     c = np.array([f.c for f in fits])
     left_out = np.array([-2 if f.left_out is None else f.left_out for f in fits])
     weights, gaps = np.zeros((len(fits), size)), np.full(len(fits), np.inf)
+    # Losses far below that of no weights at all (half a row each, rounded off) count as that.
+    least = _SMALL * _losses(rows, left_out, weights, weights, 1.0)[:, 0]
     for width in _WIDTHS[:_LEADING]:
-        weights = _settled(rows, left_out, c, weights, width, _NEARLY)
+        weights = _settled(rows, left_out, c, weights, width, _NEARLY, least)
     for width in _WIDTHS[_LEADING:]:
         wide = np.flatnonzero(gaps > gap)
         if not len(wide):
             break
-        weights[wide] = _settled(rows, left_out[wide], c[wide], weights[wide], width, _SETTLED)
-        gaps[wide] = _gaps(rows, left_out[wide], c[wide], weights[wide], width)
+        weights[wide] = _settled(
+            rows, left_out[wide], c[wide], weights[wide], width, _SETTLED, least[wide]
+        )
+        gaps[wide] = _gaps(rows, left_out[wide], c[wide], weights[wide], width, least[wide])
     if (gaps > gap).any():
         raise RuntimeError(f"hinge fits did not come closer than {gaps.max():.3g} of their loss")
     return weights, gaps
 
 
-def _settled(rows, left_out, c, weights, width, least) -> np.ndarray:
-    """Newton steps of all fits until none gains ``least`` of its loss."""
+def _settled(rows, left_out, c, weights, width, share, least) -> np.ndarray:
+    """Newton steps of all fits until none gains ``share`` of its loss."""
     weights, going = weights.copy(), np.arange(len(c))
     free = np.ones(weights.shape[1])
     free[-1] = 0.0
@@ -167,7 +172,7 @@ def _settled(rows, left_out, c, weights, width, least) -> np.ndarray:
         best = losses.argmin(axis=1)
         weights[going] = at + _LENGTHS[best][:, None] * steps
         gain = losses[:, 0] - losses[np.arange(len(going)), best]
-        going = going[gain > least * np.maximum(losses[:, 0], 1e-300)]
+        going = going[gain > share * np.maximum(losses[:, 0], least[going])]
         if not len(going):
             break
     return weights
