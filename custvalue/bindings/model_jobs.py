@@ -388,7 +388,8 @@ def classifier_grid(spark, sf):
 
 def _whole_grid(kind: str) -> None:
     """Registers ``<kind>_search``, every setting of the grid over five folds, and
-    ``<kind>_refit``, the best one fitted on all rows with the weight of each feature."""
+    ``<kind>_refit``, the best one fitted on all rows with the weight of each feature.
+    ``<kind>_grid`` is the first, checked: every setting is scored over all rows."""
 
     def found(spark, sf):
         rows, names = _vectors(spark, sf)
@@ -406,9 +407,14 @@ def _whole_grid(kind: str) -> None:
         kinds = "classifier string, settings string, feature string, weight double"
         return spark.createDataFrame(rows, kinds)
 
+    def checked(spark, sf):
+        return _checked(searched(spark, sf))
+
     searched.__name__, refit.__name__ = f"{kind}_search", f"{kind}_refit"
+    checked.__name__ = f"{kind}_grid"
     query()(searched)
     query()(refit)
+    query(_grid_sql(kind, [str(r) for r in model_search.grid(kind)]))(checked)
 
 
 for _kind in _OTHER_KINDS:

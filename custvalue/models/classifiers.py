@@ -6,29 +6,27 @@ the formulas ``C`` comes from, hence ``1 / (C * rows)``.
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.models.logistic_many import model_rows
 from custvalue.models.margin_many import MarginFit, fit_margins
+from custvalue.models.trees_many import (
+    ASKED,
+    Forest,
+    Rule,
+    importances,
+    tree_rows,
+    votes,
+)
 from custvalue.session import cut_lineage
 
-# Spark grows trees to this depth at most.
-MAX_DEPTH = 30
 _ROUNDS_PER_CUT = 5
 _LEAST_PROBABILITY = 2.220446049250313e-16
 
@@ -40,12 +38,13 @@ class Recipe:
     kind: str
     settings: dict[str, Any] = field(hash=False)
     fit: Callable[[DataFrame, int], Any] = field(hash=False, repr=False)
-    effective: dict[str, Any] | None = field(default=None, hash=False, repr=False)
+    # Trees that can be grown together with those of other recipes.
+    forest: Forest | None = field(default=None, hash=False, repr=False)
 
     @property
     def identity(self) -> tuple[str, str]:
         """Recipes of the same identity give the same model."""
-        return self.kind, str(sorted((self.effective or self.settings).items()))
+        return self.kind, str(sorted(self.settings.items()))
 
     def __str__(self) -> str:
         return ", ".join(f"{k}={v}" for k, v in self.settings.items())
@@ -107,54 +106,55 @@ def hinge_linear(alpha: float) -> Recipe:
     return Recipe("hinge_linear", {"alpha": alpha}, fit)
 
 
-def _split_limits(share: float, depth: int) -> dict[str, Any]:
-    """Limits under which no node with less than ``share`` of the rows is split.
+class GrownTrees:
+    """Trees that grow when they are asked: rows to judge meet the training rows in the tasks that
+    grow the trees, so no full-grown tree leaves them.
 
-    Spark limits child nodes, not the node that splits: children of at least half the share
-    imply it. A share of 1 lets only the root split.
+    Rows need a ``key`` without repeats or nulls, in training and in what is judged.
     """
-    if share >= 1.0:
-        return {"maxDepth": 1}
-    # Each split takes at least share / 2 off the rows of a node, so no tree is deeper.
-    deepest = math.floor(2 / share)
-    return {"maxDepth": min(depth, MAX_DEPTH, deepest), "minWeightFractionPerNode": share / 2}
 
+    def __init__(self, train: DataFrame, forest: Forest, rows: int):
+        self.train, self.forest, self.rows = tree_rows(train.drop("fold")), forest, rows
 
-def decision_tree(criterion: str, depth: int, split_share: float, feature_share: float) -> Recipe:
-    """A single tree that looks at a share of the features at each split."""
+    def transform(self, df: DataFrame) -> DataFrame:
+        asked = tree_rows(df).withColumn("fold", F.lit(ASKED))
+        trees = self.forest.trees(ASKED, self.rows)
+        found = votes(self.train.unionByName(asked), trees).groupBy("key").agg(
+            F.sum(F.round(F.col("p")[0], 12)).alias("__sum")
+        )
+        above = F.round(2 * F.col("__sum") - len(trees), 9) > 0
+        guessed = found.select("key", above.cast("double").alias("prediction"))
+        return df.join(guessed, "key", "left").select(*df.columns, "prediction")
+
+    def importances(self) -> list[float]:
+        return importances(self.train, self.forest.trees(None, self.rows)).tolist()
 
-    def fit(train: DataFrame, rows: int):
-        return RandomForestClassifier(
-            numTrees=1,
-            bootstrap=False,
-            impurity=criterion,
-            featureSubsetStrategy=str(float(feature_share)),
-            seed=42,
-            **_split_limits(split_share, depth),
-        ).fit(train)
 
+def _forest(kind: str, settings: dict[str, Any], forest: Forest) -> Recipe:
+    def fit(train: DataFrame, rows: int) -> GrownTrees:
+        return GrownTrees(train, forest, rows)
+
+    return Recipe(kind, settings, fit, forest)
+
+
+def decision_tree(criterion: str, depth: int, split_share: float, feature_share: float) -> Recipe:
+    """A single tree that looks at a share of the features at each split and splits no node with
+    less than a share of the rows."""
     settings = {
         "criterion": criterion,
         "max_depth": depth,
         "min_samples_split": split_share,
         "max_features": feature_share,
     }
-    limits = _split_limits(split_share, depth)
-    same = {"criterion": criterion, "max_features": feature_share, **limits}
-    return Recipe("decision_tree", settings, fit, same)
+    rule = Rule(criterion, split_share, node_share=feature_share)
+    return _forest("decision_tree", settings, Forest(rule, 1, depth))
 
 
 def random_forest(split_share: float, depth: int, trees: int = 10) -> Recipe:
-    def fit(train: DataFrame, rows: int):
-        return RandomForestClassifier(
-            numTrees=trees,
-            featureSubsetStrategy="sqrt",
-            seed=42,
-            **_split_limits(split_share, depth),
-        ).fit(train)
-
+    """Trees on row samples, each split looking at as many features as the root of their number."""
     settings = {"min_samples_split": split_share, "max_depth": depth}
-    return Recipe("random_forest", settings, fit, _split_limits(split_share, depth))
+    rule = Rule("gini", split_share, node_share=None, sample=1.0)
+    return _forest("random_forest", settings, Forest(rule, trees, depth))
 
 
 class VotingModel:
@@ -180,43 +180,11 @@ class VotingModel:
         return df.withColumn("prediction", F.when(total > 0, 1.0).otherwise(0.0)).drop(*scores)
 
 
-def _draws(share: float, tree: int, seed: int = 42):
-    """How often a row is drawn into a sample with replacement of ``share * rows`` rows.
-
-    A Poisson count from a hash of the row key, so a repeated task draws the same sample.
-    """
-    u = F.pmod(F.xxhash64("key", F.lit(tree), F.lit(seed)), F.lit(2**53)) / F.lit(2.0**53)
-    draws, below, term = F.lit(0.0), 0.0, math.exp(-share)
-    for times in range(1, 16):
-        below += term
-        draws = draws + F.when(u >= below, 1.0).otherwise(0.0)
-        term *= share / times
-    return draws
-
-
 def bagging(trees: int, sample_share: float, feature_share: float) -> Recipe:
-    """Full-grown trees on row samples and feature subsets; their probabilities are averaged.
-
-    Rows need a unique ``key``.
-    """
-
-    def fit(train: DataFrame, rows: int) -> VotingModel:
-        width = train.schema["features"].metadata.get("ml_attr", {}).get("num_attrs")
-        width = width or train.select("features").first().features.size
-        chosen = random.Random(42)
-        members = []
-        for tree in range(trees):
-            some = sorted(chosen.sample(range(width), max(1, int(feature_share * width))))
-            slicer = VectorSlicer(inputCol="features", outputCol="some", indices=some)
-            learner = DecisionTreeClassifier(
-                featuresCol="some", weightCol="draws", maxDepth=MAX_DEPTH, seed=42
-            )
-            sample = train.withColumn("draws", _draws(sample_share, tree)).where("draws > 0")
-            members.append(Pipeline(stages=[slicer, learner]).fit(sample))
-        return VotingModel(members, lambda probability: probability[1] - probability[0])
-
+    """Full-grown trees on row samples and feature subsets; their probabilities are averaged."""
     settings = {"n_estimators": trees, "max_samples": sample_share, "max_features": feature_share}
-    return Recipe("bagging", settings, fit)
+    rule = Rule(tree_share=feature_share, sample=sample_share)
+    return _forest("bagging", settings, Forest(rule, trees))
 
 
 def _log_odds(probability):

@@ -24,6 +24,7 @@ from custvalue.models.classifiers import (
 from custvalue.models.logistic_many import Fit, cross_validated, fold_scores, model_rows
 from custvalue.models.margin_many import MarginFit, fit_margins
 from custvalue.models.metrics import weighted_metrics
+from custvalue.models.trees_many import forest_guesses, tree_rows
 from custvalue.operators.neighbors import nearest
 
 FOLDS = 5
@@ -75,7 +76,8 @@ def _ranked(
     spark, kinds: Sequence[str], settings: Sequence[str], scores: Sequence[float], rows: int
 ):
     """Settings by falling score, with the rows that were scored for each over all folds."""
-    order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
+    # Sums of parts come in any order: the last digits decide no place.
+    order = sorted(range(len(scores)), key=lambda i: (-round(scores[i], 12), i))
     found = [(place, kinds[i], settings[i], scores[i], rows) for place, i in enumerate(order, 1)]
     return spark.createDataFrame(
         found, "place int, classifier string, settings string, mean_f1 double, rows bigint"
@@ -85,14 +87,19 @@ def _ranked(
 def search(data: DataFrame, recipes: Sequence[Recipe], parallelism: int = 3) -> DataFrame:
     """Mean weighted F1 per recipe over the ``fold`` column; place 1 is best.
 
-    Fits run side by side, and settings that come to the same model are fitted once.
-    ``data`` is cached: every fit reads all of it.
+    Trees of all settings and folds grow together (their rows need a unique ``key``). Other fits
+    run side by side, and settings that come to the same model are fitted once. ``data`` is
+    cached: every fit reads all of it.
     """
-    distinct = {recipe.identity: recipe for recipe in recipes}
+    forests = {r.identity: r.forest for r in recipes if r.forest}
+    distinct = {r.identity: r for r in recipes if not r.forest}
     data = data.cache()
     try:
         sizes = fold_sizes(data)
         total = sum(sizes.values())
+        sums = dict.fromkeys(distinct, 0.0)
+        if forests:
+            sums.update(_forest_scores(data, forests, sizes))
 
         def score(item):
             identity, fold = item
@@ -100,11 +107,10 @@ def search(data: DataFrame, recipes: Sequence[Recipe], parallelism: int = 3) ->
             return f1_of(distinct[identity].fit(train, total - sizes[fold]).transform(test))
 
         work = [(identity, fold) for identity in distinct for fold in sorted(sizes)]
-        with ThreadPool(min(parallelism, len(work))) as pool:
+        with ThreadPool(max(1, min(parallelism, len(work)))) as pool:
             scores = pool.map(inheritable_thread_target(data.sparkSession)(score), work)
     finally:
         data.unpersist()
-    sums = dict.fromkeys(distinct, 0.0)
     for (identity, _), f1 in zip(work, scores):
         sums[identity] += f1
     means = [sums[recipe.identity] / len(sizes) for recipe in recipes]
@@ -113,6 +119,14 @@ def search(data: DataFrame, recipes: Sequence[Recipe], parallelism: int = 3) ->
     )
 
 
+def _forest_scores(data: DataFrame, forests: dict, sizes: dict[int, int]) -> dict:
+    """Per identity the weighted F1 of its forest, added up over the folds."""
+    guesses = forest_guesses(tree_rows(data), list(forests.values()), sizes)
+    scores = weighted_metrics(guesses, by=["forest", "fold"])
+    found = {r.forest: r.f1 for r in scores.groupBy("forest").agg(F.sum("f1").alias("f1")).collect()}
+    return {identity: found[i] for i, identity in enumerate(forests)}
+
+
 def refitted(data: DataFrame, ranking: DataFrame, recipes: Sequence[Recipe]):
     """The recipe at place 1 fitted on all rows, with its model."""
     best = ranking.where("place = 1").first()
@@ -220,15 +234,11 @@ def feature_weights(model, width: int) -> list[float]:
     (for several trees the mean)."""
     if hasattr(model, "coefficients"):
         return weights_of(model)
-    if hasattr(model, "featureImportances"):
-        return [float(w) for w in model.featureImportances.toArray()]
+    if hasattr(model, "importances"):
+        return model.importances()
     sums = [0.0] * width
     for member in model.members:
-        indices, tree = range(width), member
-        if hasattr(member, "stages"):
-            slicer, tree = member.stages
-            indices = slicer.getIndices()
-        for i, w in zip(indices, tree.featureImportances.toArray()):
+        for i, w in enumerate(member.featureImportances.toArray()):
             sums[i] += float(w) / len(model.members)
     return sums
 
