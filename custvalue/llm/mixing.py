@@ -1,15 +1,19 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every document of a source, in a shuffled order, gets a virtual finish time: the source's words up
-to and with it, divided by the source's target. A source that is asked for more than it has goes
-round again, as a further copy of each of its documents. Sorted by virtual finish over all
-sources, the mix interleaves them in proportion to their targets and is truncated at the total
-budget. A document that is in service when its source's share ends, at virtual time 1, finishes
-there with the words it has given by then, so sources meet their targets to the word.
+to and with it, divided by the source's weight. A source that is asked for more than it has goes
+round again, as a further copy of each of its documents; one that has given all its rounds stops,
+and the others share on by weight. Starts and finishes of all copies are sorted together, and
+running totals over them give the words that all sources have given at any time: between two
+events a line. The mix ends at the time when these are the budget. Which copies are in follows
+from that time alone; a document in service then gives the words it has given by then, so no
+source is off its target by more than rounding, however long its documents are.
 
-The shuffle is a hash of the row, so reruns agree. Running totals are taken over slices of the
-order and within each slice, so no source, however large, meets in one task. Words spread evenly
-over hash space and over virtual time, so slices of equal width are about equally full.
+The shuffle is a hash of the row, so reruns agree. The end is found in slices of time, the one that
+holds it cut into slices again, so only sums of slices are compared. Running totals are taken over
+slices of the order and within each slice, so no source, however large, meets in one task. Words
+spread evenly over hash space and over virtual time, so slices of equal width are about equally
+full.
 
 Defined results: a null text has size 0 and is in the mix when its time has come (it takes no
 words). Rows that repeat an id and text are documents of their own; their order among each other
@@ -31,6 +35,7 @@ ROUNDS = 2  # a source gives each document at most so many times
 MAX_SOURCES = 100_000  # one row each comes to the driver and is broadcast
 _SLICE_ROWS = 1_000
 _SLICES_PER_BLOCK = 1024
+_TIME_SLICES = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -62,7 +67,7 @@ def share_out(
 def source_targets(
     sized: DataFrame, weights: Sequence[float], budget_share: float, rounds: int = ROUNDS
 ) -> DataFrame:
-    """(source, source_no, source_rows, source_size, target) from rows with ``source`` and ``size``: sources
+    """(source, source_no, source_rows, source_size, weight, target) from rows with ``source`` and ``size``: sources
     in order of code points, null last, take the weights in turn and share ``budget_share`` of
     all words."""
     rows = sized.groupBy("source").agg(
@@ -78,10 +83,11 @@ def source_targets(
     kind = sized.select("source").schema[0].dataType.simpleString()
     return sized.sparkSession.createDataFrame(
         [
-            (r["source"], i, r["rows"], s, t)
-            for i, (r, s, t) in enumerate(zip(rows, sizes, targets))
+            (r["source"], i, r["rows"], s, float(w), t)
+            for i, (r, s, w, t) in enumerate(zip(rows, sizes, turn, targets))
         ],
-        f"source {kind}, source_no int, source_rows long, source_size long, target double",
+        f"source {kind}, source_no int, source_rows long, source_size long, weight double, "
+        "target double",
     )
 
 
@@ -127,6 +133,56 @@ def total_before(
     )
 
 
+def end_of_mix(copies: DataFrame, budget: float) -> float | None:
+    """The virtual time when the copies (``begin``, ``size``, ``weight``) have given ``budget``
+    words together; None if they never do.
+
+    A copy in service at time ``t`` has given ``weight * t - begin`` words and a finished one its
+    size, so what all have given is ``t`` times the weights in service less their begins: both are
+    running totals over starts and finishes in order of time.
+    """
+    given = copies.where("size > 0 AND weight > 0")
+    end = F.col("begin") + F.col("size")
+    starts = F.struct(
+        (F.col("begin") / F.col("weight")).alias("time"), F.col("weight").alias("rate"),
+        F.col("begin").alias("words"),
+    )
+    finishes = F.struct(
+        (end / F.col("weight")).alias("time"), (-F.col("weight")).alias("rate"),
+        (-end).alias("words"),
+    )
+    events = given.select(F.explode(F.array(starts, finishes)).alias("e")).select("e.*")
+    first = events.agg(F.min("time").alias("low"), F.max("time").alias("high")).first()
+    low, high = first["low"], first["high"]
+    if low is None:
+        return None
+    rate, words = 0.0, 0
+    while True:
+        width = max(high - low, 5e-324)
+        at = F.least(F.floor((F.col("time") - low) / width * _TIME_SLICES), F.lit(_TIME_SLICES - 1))
+        slices = (
+            events.where(F.col("time").between(low, high))
+            .groupBy(at.alias("slice"))
+            .agg(
+                F.min("time").alias("low"), F.max("time").alias("high"),
+                F.sum("rate").alias("rate"), F.sum("words").alias("words"),
+            )
+            .orderBy("slice")
+            .collect()
+        )
+        for s in slices:
+            if rate > 0 and s["low"] * rate - words >= budget:
+                return (budget + words) / rate
+            if s["high"] * (rate + s["rate"]) - (words + s["words"]) >= budget:
+                break
+            rate, words = rate + s["rate"], words + s["words"]
+        else:
+            return None
+        if s["low"] == s["high"]:
+            return s["low"]
+        low, high = s["low"], s["high"]
+
+
 def _sized(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
     every = [named(c) for c in docs.columns]
     return docs.select(
@@ -154,7 +210,7 @@ def schedule(
     """
     sized = saved(_sized(docs, id_column, text_column, source_column))
     targets = source_targets(sized, weights, budget_share, rounds)
-    budget = float(targets.agg(F.sum("target")).first()[0] or 0)
+    budget = budget_share * int(targets.agg(F.sum("source_size")).first()[0] or 0)
     weighed = sized.withColumnRenamed("source", "__source").join(
         F.broadcast(targets), F.col("__source").eqNullSafe(F.col("source"))
     )
@@ -168,15 +224,29 @@ def schedule(
     # Copy r of a document comes r rounds of its source later.
     rounds_of = begun.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     begin = F.col("__start") + F.col("copy") * F.col("source_size")
-    given = F.greatest(F.least(F.col("size"), F.round(F.col("target") - begin)), F.lit(0))
-    finish = F.when(F.col("target") > 0, (begin + F.col("size")) / F.col("target")).otherwise(1)
-    offered = rounds_of.select(
+    copies = saved(
+        rounds_of.select(
+            "row", "id", "key", "key2", "copy", "size", "source_size", "weight", "target",
+            begin.alias("begin"),
+        )
+    )
+    end = end_of_mix(copies, budget)
+    finish = F.when(
+        F.col("weight") > 0, (F.col("begin") + F.col("size")) / F.col("weight")
+    )
+    if end is None:
+        # All of it is in: time runs to the last finish.
+        end = float(copies.agg(F.max(finish)).first()[0] or 0)
+    by_end = F.round(F.col("weight") * F.lit(end) - F.col("begin"))
+    given = F.greatest(F.least(F.col("size"), by_end), F.lit(0)).cast("long")
+    offered = copies.select(
         "row", "id", "key", "key2", "copy", "size", "source_size", "target",
-        F.least(finish, F.lit(1.0)).alias("virtual_finish"),
-        given.cast("long").alias("words"),
+        F.least(F.coalesce(finish / F.lit(end or 1.0), F.lit(1.0)), F.lit(1.0)).alias(
+            "virtual_finish"
+        ),
+        given.alias("words"),
         F.lit(0).alias("__all"),
     ).where("words > 0 OR copy = 0")
-    offered = saved(offered)
     order = ["virtual_finish", "key", "key2", "row", "copy"]
     # Those that finish at the very end are as many as there are sources, or are not in at all.
     place = F.when(F.col("words") > 0, F.col("virtual_finish")).otherwise(
@@ -185,8 +255,7 @@ def schedule(
     placed = total_before(
         offered, "__all", F.lit(offered.count()), place, order, "words", "position"
     )
-    left = F.greatest(F.lit(round(budget)) - F.col("position"), F.lit(0))
-    return placed.withColumn("words", F.least("words", left).cast("long")).drop("__all")
+    return placed.drop("__all")
 
 
 def mix(

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,51 @@ def test_too_many_sources_are_refused(spark, monkeypatch):
     monkeypatch.setattr(M, "MAX_SOURCES", 2)
     with pytest.raises(ValueError, match="more than 2 sources"):
         M.schedule(corpus(spark))
+
+
+def given_by(copies, t):
+    return sum(min(max(w * t - b, 0), s) for b, s, w in copies if w > 0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_end_is_when_the_budget_is_given(spark, monkeypatch, seed):
+    monkeypatch.setattr(M, "_TIME_SLICES", 3)
+    random = np.random.default_rng(seed)
+    copies = []
+    for weight in (3.0, 1.0, 2.0, 0.0, 0.7):
+        begin = 0
+        for size in random.integers(0, 200, 15) ** 2 // 100:
+            copies.append((begin, int(size), weight))
+            begin += int(size)
+    df = spark.createDataFrame(copies, "begin long, size long, weight double").repartition(3)
+    total = given_by(copies, 1e9)
+    for share in (0.01, 0.4, 0.9, 0.999):
+        end = M.end_of_mix(df, share * total)
+        assert abs(given_by(copies, end) - share * total) < 1e-6 * total
+    assert M.end_of_mix(df, total + 1) is None
+    assert M.end_of_mix(df.limit(0), 5) is None
+
+
+def test_times_and_not_targets_decide_what_is_taken(spark, monkeypatch):
+    docs = corpus(spark)
+
+    def taken():
+        return {(r.id, r.copy): r.words for r in M.schedule(docs).where("words > 0").collect()}
+
+    before = taken()
+    monkeypatch.setattr(M, "share_out", lambda sizes, *_: [0.0] * len(sizes))
+    assert taken() == before
+    # At any other time each source has given its weight times that, up to two rounds.
+    monkeypatch.setattr(M, "end_of_mix", lambda copies, budget: 1500.0)
+    sizes = {r.source: r.size for r in docs.groupBy("source").agg(
+        F.sum(M.n_words(F.col("text"))).alias("size")
+    ).collect()}
+    plan = M.schedule(docs).join(docs.withColumnRenamed("doc_id", "id"), "id")
+    found = {r.source: r.n for r in plan.groupBy("source").agg(F.sum("words").alias("n")).collect()}
+    weights = {"b": 3, "c": 1, "hot": 2, None: 3}
+    assert found == {s: min(weights[s] * 1500, 2 * sizes[s]) for s in sizes}
+
+
+def test_a_budget_beyond_all_rounds_takes_everything_twice(spark):
+    plan = M.schedule(corpus(spark), budget_share=9.0)
+    assert plan.where("words <> size").count() == 0 and plan.where("size > 0 AND copy = 1").count()
