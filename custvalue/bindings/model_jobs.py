@@ -389,7 +389,8 @@ def classifier_grid(spark, sf):
 def _whole_grid(kind: str) -> None:
     """Registers ``<kind>_search``, every setting of the grid over five folds, and
     ``<kind>_refit``, the best one fitted on all rows with the weight of each feature.
-    ``<kind>_grid`` is the first, checked: every setting is scored over all rows."""
+    For kinds whose trees grow together, ``<kind>_grid`` is the first, checked: every setting is
+    scored over all rows."""
 
     def found(spark, sf):
         rows, names = _vectors(spark, sf)
@@ -414,7 +415,8 @@ def _whole_grid(kind: str) -> None:
     checked.__name__ = f"{kind}_grid"
     query()(searched)
     query()(refit)
-    query(_grid_sql(kind, [str(r) for r in model_search.grid(kind)]))(checked)
+    if model_search.grid(kind)[0].forest:
+        query(_grid_sql(kind, [str(r) for r in model_search.grid(kind)]))(checked)
 
 
 for _kind in _OTHER_KINDS:
