@@ -1,20 +1,25 @@
 """Words of many texts at once as 64-bit hashes, and hashes of runs of words.
 
-Everything is arithmetic modulo 2**64 on NumPy arrays: no Python object per word. A word is a
-run of bytes other than space and the control characters 9 to 13, so no UTF-8 character is cut.
+A word is a run of bytes other than space and the control characters 9 to 13, so no UTF-8
+character is cut. Words of up to 16 bytes are read as one or two whole numbers and mixed, on NumPy
+arrays: words of equal length up to 8 bytes never share a hash. Longer words, few in most texts,
+get a cryptographic digest. Sums of bytes times powers would not do: modulo 2**64 they are equal
+for words that anyone can write down.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
-_random = np.random.Generator(np.random.PCG64(20240607))
-_BYTES = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _RUN_BASE = 0xD1342543DE82EF95 | 1
-_MASK = 2**64 - 1
+
+# The first n bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -24,16 +29,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _PART = 1 << 20
-_powers = np.empty(0, np.uint64)
-_inverses = np.empty(0, np.uint64)
-
-
-def _need_powers(length: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < length:
-        size = max(length, _PART + (_PART >> 2))
-        _powers = np.cumprod(np.full(size, _BASE, np.uint64))
-        _inverses = np.cumprod(np.full(size, pow(_BASE, -1, 2**64), np.uint64))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -68,6 +63,27 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
+def _numbers(part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word ``part[begin:end]``."""
+    padded = np.concatenate([part, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(part) + 9, "<u8", padded, strides=(1,))  # from every byte on
+    size = end - begin
+    value = eight[begin]
+    value &= _FIRST[np.minimum(size, 8)]
+    value += size.astype(np.uint64) * _LENGTH
+    value = mixed(value)
+    more = np.flatnonzero((size > 8) & (size <= 16))
+    rest = eight[begin[more] + 8] & _FIRST[size[more] - 8]
+    value[more] = mixed(value[more] * _SECOND + mixed(rest))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(part))
+        spans = zip(begin[long].tolist(), end[long].tolist())
+        digests = b"".join(blake2b(view[a:b], digest_size=8).digest() for a, b in spans)
+        value[long] = np.frombuffer(digests, "<u8")
+    return value
+
+
 def _cut(data: np.ndarray, low: int, breaks: np.ndarray, separators: np.ndarray) -> int:
     """Where a part that starts at ``low`` may end: at a separator or the start of a text."""
     high = low + _PART
@@ -96,7 +112,6 @@ def words(
     starts, ends, hashes, low = [], [], [], 0
     breaks = offsets[:-1]
     borders = np.append(breaks, len(data))
-    table = np.where(separators, np.uint64(0), _BYTES)
     while low < len(data):
         high = _cut(data, low, borders, separators)
         part = data[low:high]
@@ -112,17 +127,10 @@ def words(
         closing = inside
         closing[:-1] &= ~joined
         begin = np.flatnonzero(opening)
-        end = np.flatnonzero(closing)
-        _need_powers(len(part))
-        sums = table[part]
-        sums *= _powers[: len(part)]
-        np.cumsum(sums, out=sums)
-        value = sums[end]
-        value[begin > 0] -= sums[begin[begin > 0] - 1]
-        value *= _inverses[begin]
+        end = np.flatnonzero(closing) + 1
         starts.append(begin + low)
-        ends.append(end + low + 1)
-        hashes.append(mixed(value))
+        ends.append(end + low)
+        hashes.append(_numbers(part, begin, end))
         low = high
     if not starts:
         nothing = np.empty(0, np.int64)

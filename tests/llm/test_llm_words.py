@@ -61,3 +61,42 @@ def test_batches_are_made_small_but_never_larger(spark):
         small_batches(spark.range(1))
         assert spark.conf.get(key).rstrip("b") == expected.rstrip("b")
     spark.conf.set(key, before)
+
+
+def _even_odd(length, swap):
+    """a and b by the parity of the set bits of each place."""
+    return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(length))
+
+
+def test_words_that_meet_in_sums_of_powers_stay_apart(spark, word_list):
+    from custvalue.llm import jaccard, rules, substrings
+
+    one, two = _even_odd(1024, 0), _even_odd(1024, 1)
+    raw = f"{one}\n{two}".encode()
+    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, 1024, len(raw)])
+    assert rules.measure(data, np.array([0, len(raw)]))["n_dup_lines"].tolist() == [0]
+    flat, edges = jaccard.shingle_sets(data, offsets)
+    assert edges.tolist() == [0, 1, 2] and flat[0] != flat[1]
+    tail = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{two} {tail}")],
+                               "doc_id long, text string")
+    lost = {r.doc_id: r.n_removed for r in substrings.without_repeats(df).collect()}
+    assert lost == {1: 0, 2: 0, 3: 20}
+
+
+def test_words_of_near_content_and_any_length_differ():
+    base = "".join(chr(97 + i % 26) for i in range(40))
+    words = {base[:n] for n in range(1, 41)} | {base[:n] + "\0" for n in range(1, 40)}
+    words |= {base[:n - 1] + c for n in (1, 8, 9, 16, 17, 30) for c in "XYZ\0"}
+    words |= {c + base[1:n] for n in (8, 9, 15, 16, 17, 30) for c in "XYZ"}
+    words = sorted(words)
+    raw = " ".join(words).encode()
+    w = W.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert len(w.hashes) == len(words) == len(set(w.hashes.tolist()))
+
+
+def test_nodes_of_equal_first_hash_are_told_apart():
+    from custvalue.llm import substrings
+
+    locus, second = np.array([5, 5, 5, 7], np.uint64), np.array([1, 1, 2, 2], "<u2")
+    assert substrings._changes(np.arange(4), locus, second).tolist() == [True, False, True, True]
