@@ -191,12 +191,54 @@ _KAPPA = """
   )
 """
 
+def _posterior(tag, rows):
+    """Steps of the lower bounds (table ``steps``) from the outcomes of some rows, as SQL."""
+    kappa = {k: _KAPPA.format(children=f"{k}{tag}", parent=v)
+             for k, v in (("h", "domain"), ("d", "suffix"), ("s", "everything"))}
+    return f"""
+r{tag} AS (SELECT * FROM outcomes WHERE {rows}),
+h{tag} AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
+  FROM r{tag} GROUP BY ALL),
+d{tag} AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h{tag} GROUP BY ALL),
+s{tag} AS (SELECT suffix, 0 AS everything, sum(n) AS n, sum(bad) AS bad FROM d{tag} GROUP BY suffix),
+t{tag} AS (SELECT coalesce(sum(bad) / sum(n), 0) AS m FROM s{tag}),
+kh{tag} AS ({kappa["h"]}),
+kd{tag} AS ({kappa["d"]}),
+ks{tag} AS ({kappa["s"]}),
+sm{tag} AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM s{tag}, ks{tag}, t{tag}),
+dm{tag} AS (SELECT d.domain, (bad + k * m) / (n + k) AS m
+  FROM d{tag} d JOIN sm{tag} USING (suffix), kd{tag}),
+post{tag} AS (
+  SELECT host AS key, bad + k * m AS a, n - bad + k * (1 - m) AS b
+  FROM h{tag} JOIN dm{tag} USING (domain), kh{tag}
+  UNION ALL SELECT '/' || domain, k * m, k * (1 - m) FROM dm{tag}, kh{tag}
+  UNION ALL SELECT '//' || suffix, k * m, k * (1 - m) FROM sm{tag}, kd{tag}
+),
+parts{tag} AS (
+  SELECT key, a, greatest(a, 1.0) AS x, greatest(b, 1.0) AS y,
+    1 / (2 * greatest(a, 1.0) - 1) AS i, 1 / (2 * greatest(b, 1.0) - 1) AS j,
+    (1.645::DOUBLE * 1.645 - 3) / 6 AS lean FROM post{tag}
+),
+quantiles{tag} AS (
+  SELECT key, least(a, 1.0) * x / (x + y * exp(2 * (1.645::DOUBLE * sqrt(2 / (i + j) + lean)
+    / (2 / (i + j)) - (j - i) * (lean + 5::DOUBLE / 6 - 2 / (3 * (2 / (i + j))))))) AS bound
+  FROM parts{tag}
+),
+steps{tag} AS (
+  SELECT host, floor(1000 * coalesce(b1.bound, b2.bound, b3.bound, t{tag}.m))::INTEGER AS step
+  FROM (SELECT DISTINCT host, domain, suffix FROM p) CROSS JOIN t{tag}
+  LEFT JOIN quantiles{tag} b1 ON b1.key = host
+  LEFT JOIN quantiles{tag} b2 ON b2.key = '/' || domain
+  LEFT JOIN quantiles{tag} b3 ON b3.key = '//' || suffix
+)"""
+
+
 _OP3_SQL = rf"""
 WITH u AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0
     THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
 ),
-p AS (
+q AS (
   SELECT page_id,
     coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -204,36 +246,10 @@ p AS (
     try_cast(nullif(regexp_extract(rest, '^[^/?#]*/[^/?#]*/([0-9]+)', 1), '') AS BIGINT) AS about
   FROM u
 ),
-known AS (SELECT doc_id, max(1 - quality) AS bad FROM labels
-  WHERE quality IS NOT NULL GROUP BY doc_id),
-r AS (
-  SELECT host, split_part(host, '.', -1) AS suffix, bad,
+p AS (
+  SELECT *, split_part(host, '.', -1) AS suffix,
     CASE WHEN contains(host, '.')
-      THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain
-  FROM p JOIN known ON about = doc_id WHERE host <> ''
-),
-h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
-  FROM r GROUP BY ALL),
-d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
-s AS (SELECT suffix, 0 AS everything, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
-t AS (SELECT coalesce(sum(bad) / sum(n), 0) AS m FROM s),
-kh AS ({_KAPPA.format(children="h", parent="domain")}),
-kd AS ({_KAPPA.format(children="d", parent="suffix")}),
-ks AS ({_KAPPA.format(children="s", parent="everything")}),
-sm AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM s, ks, t),
-dm AS (SELECT d.domain, (bad + k * m) / (n + k) AS m FROM d JOIN sm USING (suffix), kd),
-post AS (
-  SELECT host AS key, bad + k * m AS a, n - bad + k * (1 - m) AS b
-  FROM h JOIN dm USING (domain), kh
-  UNION ALL SELECT '/' || domain, k * m, k * (1 - m) FROM dm, kh
-  UNION ALL SELECT '//' || suffix, k * m, k * (1 - m) FROM sm, kd
-),
-bounds AS (
-  SELECT key, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound
-  FROM post
-),
-j AS (
-  SELECT page_id, p.host, p.path, coalesce(b1.bound, b2.bound, b3.bound, t.m) AS bound,
+      THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain,
     CASE
       WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%'
         THEN 'example.net/en/'
@@ -242,17 +258,27 @@ j AS (
       WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
       WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/'
     END AS rule
-  FROM p CROSS JOIN t
-  LEFT JOIN bounds b1 ON b1.key = p.host
-  LEFT JOIN bounds b2 ON b2.key = '/' || CASE WHEN contains(p.host, '.')
-    THEN split_part(p.host, '.', -2) || '.' || split_part(p.host, '.', -1) ELSE p.host END
-  LEFT JOIN bounds b3 ON b3.key = '//' || split_part(p.host, '.', -1)
-)
-SELECT page_id, host, path, rule, CASE
+  FROM q
+),
+known AS (SELECT doc_id, max(1 - quality) AS bad FROM labels
+  WHERE quality IS NOT NULL GROUP BY doc_id),
+outcomes AS (SELECT p.*, bad FROM p JOIN known ON about = doc_id WHERE host <> ''),
+{_posterior("0", "coalesce(page_id % 2, 0) = 0")},
+gains AS (
+  SELECT step, sum(5 * bad - (1 - bad)) AS gain FROM (
+    SELECT p.*, bad FROM p JOIN known ON about = doc_id
+    WHERE rule IS NULL AND coalesce(page_id % 2, 0) <> 0
+  ) JOIN steps0 USING (host) GROUP BY step
+),
+sums AS (SELECT step, sum(gain) OVER (ORDER BY step DESC) AS gain FROM gains),
+lim AS (SELECT coalesce(max(step), 2000) AS least_step FROM sums
+  WHERE gain > 0 AND gain = (SELECT max(gain) FROM sums)),
+{_posterior("", "true")}
+SELECT page_id, p.host, path, rule, CASE
   WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
   WHEN rule IS NOT NULL THEN 'allow'
-  WHEN bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict
-FROM j
+  WHEN step >= least_step THEN 'block' ELSE 'allow' END AS verdict
+FROM p JOIN steps USING (host) CROSS JOIN lim
 """
 
 

@@ -75,3 +75,59 @@ def test_labels_may_only_be_numbers(spark):
     assert H.judged(df, RULES).first().bad_bound == pytest.approx(
         H.judged(df.withColumn("bad", F.col("bad").cast("int")), RULES).first().bad_bound
     )
+
+
+def test_limit_follows_outcomes_not_seen(spark):
+    rows, page = [], 0
+    for host, n, bad in (("bad.a.com", 200, 160), ("mid.a.com", 200, 50), ("good.a.com", 400, 4)):
+        for k in range(n):
+            # Both halves of the pages see the same rate.
+            rows.append((page, f"http://{host}/{k}", int(k // 2 < bad // 2), ""))
+            page += 1
+    df = pages(spark, rows)
+
+    def blocked(**options):
+        return {r.host for r in H.judged(df, RULES, **options).collect() if r.verdict == "block"}
+
+    # Of 50 bad and 150 good pages a bad one must be worth more than three good ones.
+    assert blocked(worth=5) == {"bad.a.com", "mid.a.com"}
+    assert blocked(worth=2) == {"bad.a.com"}
+    assert blocked(limit=0.99) == set()
+    # Without outcomes that differ, blocking by host gains nothing.
+    same = df.withColumn("bad", F.when(F.col("page_id") % 20 < 2, 1).otherwise(0))
+    assert {r.verdict for r in H.judged(same, RULES).collect()} == {"allow"}
+    # Pages that a rule decides have no say.
+    ruled = H.judged(df, [H.Rule("bad.a.com/", "allow"), H.Rule("mid.a.com/", "allow")])
+    assert {r.verdict for r in ruled.collect()} == {"allow"}
+
+
+def test_bounds_are_quantiles(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    cases = [(1.0, 6.0), (3.0, 3.0), (40.0, 260.0), (140.0, 860.0), (0.4, 3.0), (2.0, 0.2), (0.0, 5.0)]
+    df = spark.createDataFrame(cases, "a double, b double")
+    got = [r[0] for r in df.select(H.lower_quantile(F.col("a"), F.col("b"), 1.645)).collect()]
+    for (a, b), value in list(zip(cases, got))[:4]:
+        assert abs(np.mean(draw.beta(a, b, 200_000) < value) - 0.05) < 0.012
+    assert 0 < got[4] < 0.4 * H_ONE_OF_THREE and 0 < got[5] < 1 and got[6] == 0
+
+
+H_ONE_OF_THREE = 0.025  # a little above the 5 % quantile of one to three
+
+
+def test_suffixes_of_several_labels(spark):
+    df = spark.createDataFrame([("x.shop.co.uk",), ("co.uk",), ("a.b.com",), ("com",), ("",)], "h string")
+    listed = ("co.uk", "uk")
+    got = df.select(H.suffix_of(F.col("h"), listed), H.domain_of(F.col("h"), listed)).collect()
+    assert [tuple(r) for r in got] == [
+        ("co.uk", "shop.co.uk"), ("co.uk", "co.uk"), ("com", "b.com"), ("com", "com"), ("", ""),
+    ]
+
+
+def test_the_bound_decides_pages_of_the_tables(spark):
+    from custvalue.llm.queries import op3_url_filter
+
+    rows = op3_url_filter(spark, "/root/testdata/sf0.1").where("rule IS NULL")
+    found = {r.verdict: r["count"] for r in rows.groupBy("verdict").count().collect()}
+    assert found.get("block", 0) > 0 and found.get("allow", 0) > 0
