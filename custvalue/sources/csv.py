@@ -144,10 +144,13 @@ def read_csv_layouts(
     )
 
 
-def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def write_csv(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), keep_others: bool = False
+) -> None:
     """CSV folder with header; nested cells go out as JSON text.
 
-    ``partition_by`` gives one export per value, such as one per date range.
+    ``partition_by`` gives one export per value, such as one per date range. With ``keep_others``
+    only the exports of values that occur in ``df`` are replaced.
     """
     nested = (T.ArrayType, T.MapType, T.StructType)
     cells = [
@@ -157,4 +160,6 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     writer = df.select(*cells).write.mode("overwrite").option("escape", '"')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if keep_others:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.csv(path, header=True)

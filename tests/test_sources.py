@@ -99,6 +99,44 @@ def test_one_export_per_period(spark, rows, tmp_path):
     ]
 
 
+def test_a_period_is_exported_again_by_itself(spark, rows, tmp_path):
+    schema, out = "range_end string, id string", str(tmp_path / "out")
+
+    def held():
+        back = spark.read.schema("id string, range_end string").csv(out, header=True)
+        return sorted((r.range_end, r.id) for r in back.collect())
+
+    assert analytics.finished_periods(spark, out) == {}
+    analytics.export_by_period(rows([("2014-07-25", "1"), ("2014-11-01", "2")], schema), out)
+    assert analytics.finished_periods(spark, out) == {"2014-07-25": 1, "2014-11-01": 1}
+    more = rows([("2014-11-01", "3"), ("2014-11-01", "4"), ("2014-07-25", "9")], schema)
+    for _ in range(2):
+        analytics.export_by_period(more, out, ranges=["2014-11-01"])
+        assert held() == [("2014-07-25", "1"), ("2014-11-01", "3"), ("2014-11-01", "4")]
+    assert analytics.finished_periods(spark, out) == {"2014-07-25": 1, "2014-11-01": 2}
+    # A listed period that has no rows any more loses its export, and only that one.
+    analytics.export_by_period(more, out, ranges=["2014-07-24", "2014-11-01"])
+    analytics.export_by_period(more.where("id = '9'"), out, ranges=["2014-11-01"])
+    assert held() == [("2014-07-25", "1")]
+    assert analytics.finished_periods(spark, out) == {
+        "2014-07-24": 0, "2014-07-25": 1, "2014-11-01": 0,
+    }
+
+
+def test_a_stopped_export_is_not_finished(spark, rows, tmp_path):
+    schema, out = "range_end string, id string", str(tmp_path / "out")
+    analytics.export_by_period(rows([("2014-07-25", "1"), ("2014-11-01", "2")], schema), out)
+    new = rows([("2014-11-01", "5"), ("2014-11-01", "6")], schema)
+    stops = new.withColumn("id", F.when(F.col("id") == "6", F.raise_error(F.lit("stop"))).otherwise("5"))
+    with pytest.raises(Exception, match="stop"):
+        analytics.export_by_period(stops, out)
+    assert analytics.finished_periods(spark, out) == {"2014-07-25": 1}
+    back = spark.read.schema("id string, range_end string").csv(out, header=True)
+    assert sorted(r.id for r in back.collect()) == ["1", "2"]
+    analytics.export_by_period(new, out)
+    assert analytics.finished_periods(spark, out) == {"2014-07-25": 1, "2014-11-01": 2}
+
+
 def test_snapshots(spark, rows, tmp_path):
     df = rows([(1, None, ["a"]), (2, "x", [])], "id int, s string, l array<string>")
     back = S.write_snapshot(df, str(tmp_path / "t"))
