@@ -85,3 +85,14 @@ def test_search_scores_as_fits_one_by_one(data, kind):
         assert found[str(recipe)].gap <= margin_many.GAP
         hits = model.transform(data).where(F.col("prediction") == F.col("label")).count()
         assert abs(hits / data.count() - found[str(recipe)].mean_f1) < 0.05
+
+
+def test_fits_with_few_rows_in_the_kink_come_close(spark):
+    """Nearly separable rows: at small widths hardly a row lies in the kink."""
+    from custvalue.bindings.model_jobs import _vectors
+    from custvalue.operators.splits import with_folds
+
+    vectors, _ = _vectors(spark, "/root/testdata/sf0.001")
+    rows = model_rows(with_folds(vectors, "label", "key")).cache()
+    _, gaps = fit_margins(rows, [MarginFit(5.0, 2), MarginFit(5.0, 1), MarginFit(5.0)])
+    assert (gaps <= margin_many.GAP).all()
