@@ -431,3 +431,25 @@ def test_a_search_takes_five_folds_and_the_best_is_refitted(spark, monkeypatch):
     refit = entry.queries()["random_forest_refit"](spark, folder).collect()
     assert {r.settings for r in refit} == {ranking[0].settings}
     assert len({r.feature for r in refit}) == len(refit) > 10
+
+
+def test_boosting_of_all_rates_and_folds_shares_passes(rows, monkeypatch):
+    """One pass per round for the whole grid, with the scores of fits one by one."""
+    from custvalue.models import boost_many
+    from custvalue.models.classifiers import ada_boost as recipe
+
+    df, x, y = labelled(rows, n=120)
+    data = df.withColumn("fold", (F.col("key") % 3).cast("int")).cache()
+    passes, kept = [], boost_many._weights_by_slice
+    monkeypatch.setattr(
+        boost_many, "_weights_by_slice", lambda *a: passes.append(1) or kept(*a)
+    )
+    some = [recipe(2, 0.5), recipe(4, 0.5), recipe(4, 0.1)]
+    found = {r.settings: r.mean_f1 for r in S.search(data, some).collect()}
+    assert len(passes) == 4
+    one = [
+        S.f1_of(some[0].fit(data.where(f"fold <> {i}"), 80).transform(data.where(f"fold = {i}")))
+        for i in range(3)
+    ]
+    # Borders lie half way between values seen, with or without the fold left out.
+    assert found[str(some[0])] == pytest.approx(sum(one) / 3, abs=0.02)
