@@ -348,3 +348,29 @@ def test_over_sampling_balances_between_neighbours(rows):
 def on_segment(p, a, b):
     way = np.dot(p - a, b - a) / max(np.dot(b - a, b - a), 1e-300)
     return -1e-9 <= way <= 1 + 1e-9 and np.allclose(a + way * (b - a), p, atol=1e-9)
+
+
+def test_nearest_visits_few_cells_and_loses_nothing(rows, monkeypatch):
+    """Clusters, copies and ties over many cells and slices: brute force, with few visits."""
+    from custvalue.operators import neighbors as N
+
+    monkeypatch.setattr(N, "_LEAST_PER_CELL", 40)
+    monkeypatch.setattr(N, "_QUERIES_PER_CELL", 60)
+    random = np.random.default_rng(5)
+    x = np.round(random.normal(size=(1200, 3)) + 9 * random.integers(0, 4, (1200, 1)), 1)
+    x[:250] = x[0]
+    df = rows([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, fold int, v array<double>")
+    cells = N._cells(df.select(F.col("id").alias("key"), F.lit(None).cast("long").alias("apart"), F.col("v").alias("vector")))
+    assert cells.count > 20 and cells.parts.max() > 1
+    got = {}
+    for r in nearest(df, df, 4, "id", "v", "fold").collect():
+        got.setdefault(r.query, {})[r.place] = r.neighbor
+    keys, visits = np.arange(1200), 0
+    for i in keys:
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[keys % 3 == i % 3] = np.inf
+        want = np.lexsort((keys, d))[:4]
+        assert [got[i][p] for p in range(1, 5)] == want.tolist()
+        limit = np.array([d[want[-1]]])
+        visits += sum(1 for _ in cells.others(keys[i : i + 1], x[i : i + 1], limit))
+    assert visits < 0.5 * cells.count * len(x)
