@@ -172,3 +172,16 @@ def test_the_joint_search_scores_as_single_fits_do(spark):
                 f1 += 2 * hits / max(1, (label == k).sum() + (made == k).sum()) * (label == k).mean()
             scores.append(f1)
         assert abs(got[str(recipe)] - np.mean(scores)) < 1e-9
+
+
+def test_leaves_of_tops_need_no_rows_to_meet(spark):
+    """Below the least rows for a split nothing grows: no row is packed, and all get votes."""
+    x, y, fold = made_up()
+    rows = tree_rows(frame(spark, x, y, fold))
+    trees = [Tree(Rule("gini", 0.5, sample=1.0), i, 2, 225, (1, 9)) for i in range(2)]
+    prepared, trees, places, tops, _, _ = trees_many._prepared(rows, trees, 100)
+    assert trees_many._at_nodes(prepared, trees, places, tops, asked=True).count() == 0
+    got = votes(rows, trees, 100).collect()
+    assert len(got) == 150 and sorted(r[:3] for r in got) == sorted(
+        r[:3] for r in votes(rows, trees).collect()
+    )
