@@ -185,3 +185,16 @@ def test_leaves_of_tops_need_no_rows_to_meet(spark):
     assert len(got) == 150 and sorted(r[:3] for r in got) == sorted(
         r[:3] for r in votes(rows, trees).collect()
     )
+
+
+def test_counts_of_forests_are_those_of_their_guesses(spark):
+    x, y, fold = made_up()
+    rows, sizes = tree_rows(frame(spark, x, y, fold)), {f: 75 for f in range(4)}
+    rule = Rule("gini", 0.1)
+    forests = [Forest(rule, 1, 2), Forest(Rule("gini", 0.2, sample=1.0), 3, 4), Forest(rule, 1, 9)]
+    counts = trees_many.forest_counts(rows, forests, sizes, 100)
+    by_row = forest_guesses(rows, forests, sizes, 100).groupBy(
+        "forest", "fold", "label", "prediction"
+    ).count()
+    total = counts.groupBy("forest", "fold", "label", "prediction").sum("n")
+    assert sorted(total.collect()) == sorted(by_row.collect())
