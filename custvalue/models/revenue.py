@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from custvalue.operators.features import FILL_L1_SHARE, FILL_PENALTY, elastic_net
 from custvalue.operators.neighbors import nearest
+from custvalue.session import held
 
 
 def neighbor_means(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
@@ -27,7 +28,7 @@ def neighbor_means(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
 def compare_revenue_models(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """Errors on the test rows per regressor: (model, rmse, mae, r2, rows).
 
-    Rows have ``key``, ``label`` and ``features``.
+    Rows have ``key``, ``label`` and ``features``. Predictions are made once for all scores.
     """
     spread = train.agg(F.stddev_samp("label")).first()[0] or 1.0
     fitted = {
@@ -39,11 +40,14 @@ def compare_revenue_models(train: DataFrame, test: DataFrame, k: int = 5) -> Dat
     predictions["neighbors"] = neighbor_means(train, test, k)
     rows = []
     for name, predicted in predictions.items():
-        predicted = predicted.select(F.col("label").cast("double"), "prediction")
-        scores = [
-            RegressionEvaluator(metricName=m).evaluate(predicted) for m in ("rmse", "mae", "r2")
-        ]
-        rows.append((name, *scores, predicted.where("prediction IS NOT NULL").count()))
+        predicted = held(predicted.select(F.col("label").cast("double"), "prediction"))
+        try:
+            scores = [
+                RegressionEvaluator(metricName=m).evaluate(predicted) for m in ("rmse", "mae", "r2")
+            ]
+            rows.append((name, *scores, predicted.where("prediction IS NOT NULL").count()))
+        finally:
+            predicted.unpersist()
     return train.sparkSession.createDataFrame(
         rows, "model string, rmse double, mae double, r2 double, rows bigint"
     )

@@ -453,3 +453,15 @@ def test_boosting_of_all_rates_and_folds_shares_passes(rows, monkeypatch):
     ]
     # Borders lie half way between values seen, with or without the fold left out.
     assert found[str(some[0])] == pytest.approx(sum(one) / 3, abs=0.02)
+
+
+def test_revenue_models_predict_once_for_all_scores(rows, monkeypatch):
+    """Scores read held predictions: the neighbours are not searched again for each."""
+    from custvalue.models import revenue
+
+    df, x, _ = labelled(rows, n=60)
+    df = df.withColumn("label", F.col("key") * 1.0)
+    kept, seen = revenue.held, []
+    monkeypatch.setattr(revenue, "held", lambda d: seen.append(d.columns) or kept(d))
+    found = revenue.compare_revenue_models(df.where("key >= 15"), df.where("key < 15")).collect()
+    assert {r.rows for r in found} == {15} and seen == [["label", "prediction"]] * 4
