@@ -36,6 +36,8 @@ FIRST = 2000
 BROADCAST_ROWS = 1 << 18
 _RANKED_TOGETHER = 50_000
 _COUNTED_TOGETHER = 8_000_000  # occurrences a task counts before it gives counts away
+_HELD_PAIRS = 1 << 21  # pairs of neighbours that a task holds before it adds up equal ones
+_ADDED_TOGETHER = 1 << 21  # counts, at most about, that one group adds up
 _BLOCK_BYTES = 1 << 20  # of text; a longer text is a block of its own
 
 # Bytes between words, and bytes that end a piece.
@@ -47,16 +49,19 @@ _RELATION = "block long, step binary, item binary"
 
 
 def _packed(block: int, place: np.ndarray, item: np.ndarray) -> dict:
-    """A block of a relation. Places are stored as steps, which are small."""
+    """A block of a relation. Places are stored as steps, which are small, items in as few bytes
+    as the largest takes."""
     return {
         "block": block,
         "step": np.diff(place, prepend=0).astype("<i4").tobytes(),
-        "item": item.astype("<i8").tobytes(),
+        "item": item.astype(np.min_scalar_type(item.max(initial=0)).newbyteorder("<")).tobytes(),
     }
 
 
 def _unpacked(step: bytes, item: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(np.frombuffer(step, "<i4"), dtype=np.int64), np.frombuffer(item, "<i8")
+    place = np.cumsum(np.frombuffer(step, "<i4"), dtype=np.int64)
+    kind = f"<u{len(item) // max(len(place), 1) or 1}"
+    return place, np.frombuffer(item, kind).astype(np.int64)
 
 
 def _placed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -176,16 +181,119 @@ def _at(ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, ordered[at] == values
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for step, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            near = _Neighbours(step, item)
-            for low in range(0, len(near.n), 1 << 16):
-                some = slice(low, low + (1 << 16))
-                yield pa.RecordBatch.from_pydict(
-                    {"x": near.first[some], "y": near.second[some], "n": near.n[some]}
-                )
+class _PairCodes:
+    """Pairs of ``items`` numbers as one number each, in order of the part they are dealt to. Sums
+    deal them: the many pairs of a frequent item are spread over all parts."""
+
+    def __init__(self, items: int, parts: int):
+        self.items, self.parts, self.width = items, parts, -(-items // parts)
+        if parts * items * self.width >= 1 << 63:
+            raise ValueError(f"pairs of {items} phrases do not fit 64 bits")
+
+    def of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return ((x + y) % self.parts * self.items + x) * self.width + y // self.parts
+
+    def split(self, pair: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray]]:
+        """Each part of ordered pairs, and their numbers in it."""
+        part, inside = np.divmod(pair, self.items * self.width)
+        edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+        for low, high in zip(edges, edges[1:]):
+            yield int(part[low]), slice(low, high), inside[low:high]
+
+    def pairs(self, part: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.divmod(inside, self.width)
+        return x, y * self.parts + (part - x) % self.parts
+
+
+def _added(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs in order with the sums of their counts."""
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    return pair[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+def _bytewise(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all next ones, as many as the largest value takes."""
+    width = max(1, -(-int(values.max()).bit_length() // 8))
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_bytewise(data: bytes, size: int) -> np.ndarray:
+    whole = np.zeros((size, 8), np.uint8)
+    there = np.frombuffer(data, np.uint8).reshape(-1, size)
+    whole[:, : len(there)] = there.T
+    return whole.view("<i8").ravel()
+
+
+def _pair_counts(codes: _PairCodes):
+    def packed(pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        rows = [
+            (part, len(inside), _bytewise(np.diff(inside, prepend=0)), _bytewise(n[some]))
+            for part, some, inside in codes.split(pair)
+        ]
+        names = ("part", "size", "step", "n")
+        return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, counts, held = [], [], 0
+        for batch in batches:
+            for step, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                near = _Neighbours(step, item)
+                pairs.append(codes.of(near.first, near.second))
+                counts.append(near.n)
+                held += len(near.n)
+                if held < _HELD_PAIRS:
+                    continue
+                pair, n = _added(np.concatenate(pairs), np.concatenate(counts))
+                pairs, counts, held = [pair], [n], len(n)
+                if held > _HELD_PAIRS // 2:
+                    yield packed(pair, n)
+                    pairs, counts, held = [], [], 0
+            give_back()
+        if held:
+            yield packed(*_added(np.concatenate(pairs), np.concatenate(counts)))
+
+    return count
+
+
+def _frequent_pairs(
+    relation: DataFrame, items: int, occurrences: int, tasks: int, least: int
+) -> DataFrame:
+    """The pairs of neighbours that occur at least ``least`` times: x, y, f.
+
+    Tasks add up what they count, and send one row per part: ordered pairs as steps, and counts.
+    """
+    codes = _PairCodes(max(items, 1), -(-occurrences // _ADDED_TOGETHER) or 1)
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        part, sizes = key[0].as_py(), rows.column("size").to_pylist()
+        steps, counts = rows.column("step").to_pylist(), rows.column("n").to_pylist()
+        inside, n = _added(
+            np.concatenate([np.cumsum(_from_bytewise(*one)) for one in zip(steps, sizes)]),
+            np.concatenate([_from_bytewise(*one) for one in zip(counts, sizes)]),
+        )
+        often = n >= least
+        x, y = codes.pairs(part, inside[often])
         give_back()
+        return pa.table({"x": x, "y": y, "f": n[often]})
+
+    counted = small_batches(relation.select("step", "item").coalesce(tasks)).mapInArrow(
+        _pair_counts(codes), "part long, size long, step binary, n binary"
+    )
+    return counted.groupBy("part").applyInArrow(add, "x long, y long, f long")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows``, stored, with an ``id`` from 0 without gaps."""
+    rows = saved(rows.select(F.monotonically_increasing_id().alias("id"), "*"))
+    part = F.shiftright("id", 33)
+    before, starts = 0, []
+    for row in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts += [F.lit(row["part"]), F.lit(before - (row["part"] << 33))]
+        before += row["count"]
+    shift = F.create_map(*starts)[part] if starts else F.lit(0)
+    return rows.withColumn("id", F.col("id") + shift)
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +465,8 @@ def phrases(
             _word_blocks,
             "block long, lang string, words array<string>, counts array<long>, n long, "
             "step binary, item binary",
-        )
+        ),
+        "zstd",
     )
     totals = saved(blocks.groupBy("lang").agg(F.sum("n").alias("n")))
     # Rare groups shrink only where many occurrences of them meet, so a task counts many blocks.
@@ -367,24 +476,19 @@ def phrases(
     )
     words = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
     words = words.where(F.col("f") >= least)
-    words = saved(words.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"))
+    words = _numbered(words)
     none = F.array().cast("array<long>")
     level = words.select(
         "id", "lang", F.array("word").alias("words"), "f", none.alias("heads"), none.alias("tails")
     )
-    relation = _frequent_words(blocks, words, words.count() <= broadcast_rows)
+    number, occurrences = _size(words)
+    relation = _frequent_words(blocks, words, number <= broadcast_rows)
     levels = []
     for size in range(2, most_words + 1):
-        relation = scratch.saved(relation)
-        pairs = small_batches(relation.select("step", "item").coalesce(tasks)).mapInArrow(
-            _pair_counts, "x long, y long, n long"
-        )
-        frequent = pairs.groupBy("x", "y").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        frequent = saved(
-            frequent.select(F.monotonically_increasing_id().alias("id"), "x", "y", "f")
-        )
+        relation = scratch.saved(relation, "zstd")
+        frequent = _numbered(_frequent_pairs(relation, number, occurrences, tasks, least))
         levels.append(_held_by(level, frequent))
-        number = frequent.count()
+        number, occurrences = _size(frequent)
         level = saved(_with_parts(frequent, level))
         if not number:
             break
@@ -395,6 +499,11 @@ def phrases(
     return levels, totals
 
 
+def _size(groups: DataFrame) -> tuple[int, int]:
+    """How many groups there are, and how many occurrences of them."""
+    return tuple(groups.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first())
+
+
 def _held_by(level: DataFrame, longer: DataFrame) -> DataFrame:
     """``level`` with the largest count of a phrase that holds it. One word longer is enough: a
     phrase in between occurs at least as often as the longer one."""

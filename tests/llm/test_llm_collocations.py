@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,41 @@ def test_a_long_piece_without_marks(spark):
     docs = [("en", "tick tock " * 60_000), ("en", None), ("en", "")]
     df = spark.createDataFrame(docs, "lang string, text string")
     assert result(C.collocations(df)) == brute(docs, 100)
+
+
+@pytest.mark.parametrize("held", [1 << 21, 500])
+@pytest.mark.parametrize("parts", [1, 7, 5000])
+def test_counts_leave_a_task_in_few_bytes(monkeypatch, held, parts):
+    monkeypatch.setattr(C, "_HELD_PAIRS", held)
+    random.seed(1)
+    want, batches = Counter(), []
+    for _ in range(5):
+        items = [int(random.paretovariate(0.4)) % 1000 for _ in range(4000)]
+        want.update(zip(items, items[1:]))
+        block = C._packed(0, np.arange(4000), np.array(items))
+        assert len(block["item"]) == 2 * 4000
+        assert C._unpacked(block["step"], block["item"])[1].tolist() == items
+        columns = [pa.array([block[name]], pa.binary()) for name in ("step", "item")]
+        batches.append(pa.RecordBatch.from_arrays(columns, ["step", "item"]))
+    codes, found, size = C._PairCodes(1000, parts), Counter(), 0
+    for batch in C._pair_counts(codes)(iter(batches)):
+        for row in batch.to_pylist():
+            step, n = (C._from_bytewise(row[name], row["size"]) for name in ("step", "n"))
+            x, y = codes.pairs(row["part"], np.cumsum(step))
+            found.update(dict(zip(zip(x.tolist(), y.tolist()), n.tolist())))
+            size += len(row["step"]) + len(row["n"])
+    assert found == want
+    assert size <= 8 * (len(want) if held > 500 else 20_000)
+
+
+def test_pairs_dealt_to_many_groups(spark, monkeypatch):
+    docs = made_up(7)
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(4)
+    monkeypatch.setattr(C, "_ADDED_TOGETHER", 50)
+    monkeypatch.setattr(C, "_COUNTED_TOGETHER", 1000)
+    assert result(C.collocations(df, least=6)) == brute(docs, 6)
+
+
+def test_numbers_have_no_gaps(spark):
+    rows = C._numbered(spark.range(1000).repartition(7).select(F.col("id").alias("f")))
+    assert sorted(r.id for r in rows.collect()) == list(range(1000))
