@@ -32,7 +32,7 @@ from custvalue.llm.shared import named, saved, small_batches, text_parts
 
 CAPACITY = 4096
 END_ID = 1
-_CACHED_WORDS = 1_000_000  # a worker's memory of words; it starts anew beyond that
+_CACHED_WORDS = 1 << 19  # a worker's memory of words; beyond that it keeps those seen again
 _ENCODED_WORDS = 8_000  # words the encoder is given at once
 _SALT_ROWS = 20_000
 
@@ -61,9 +61,26 @@ class WordIds:
         self.known: dict[bytes, int] = {}
         self.begin = np.empty(0, np.int64)
         self.length = np.empty(0, np.int64)
+        self.again = np.empty(0, bool)
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
 
+    def _keep_repeated(self) -> None:
+        """Forget the words that were looked up in one slice of text only, or all of them where
+        those that are left would still fill half the cache."""
+        kept = np.flatnonzero(self.again)
+        if len(kept) > _CACHED_WORDS // 2:
+            return self._clear()
+        words = list(self.known)
+        length = self.length[kept]
+        ends = np.cumsum(length)
+        source = np.repeat(self.begin[kept] - (ends - length), length) + np.arange(length.sum())
+        flat = self.flat[source]
+        self._clear()
+        self.known = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.begin, self.length, self.flat, self.used = ends - length, length, flat, len(flat)
+        self.again = np.zeros(len(kept), bool)
+
     def _learn(self, words: list[bytes]) -> None:
         sizes, flat = [], []
         for low in range(0, len(words), _ENCODED_WORDS):
@@ -80,6 +97,7 @@ class WordIds:
         self.flat[self.used : self.used + len(more)] = more
         self.begin = np.concatenate([self.begin, self.used + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
         self.used += len(more)
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
 
@@ -88,11 +106,17 @@ class WordIds:
         all of them at once."""
         new = [word for word in words if word not in self.known]
         if new and len(self.known) + len(new) > _CACHED_WORDS:
-            self._clear()
-            new = words
+            self._keep_repeated()
+            new = [word for word in words if word not in self.known]
+            if len(self.known) + len(new) > _CACHED_WORDS:
+                self._clear()
+                new = words
+        before = len(self.known)
         if new:
             self._learn(new)
-        return np.fromiter((self.known[word] for word in words), np.int64, len(words))
+        place = np.fromiter((self.known[word] for word in words), np.int64, len(words))
+        self.again[place[place < before]] = True
+        return place
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of several texts in one array, and where each text's begin."""

@@ -88,6 +88,22 @@ def test_words_are_learned_anew_when_the_memory_is_full(monkeypatch):
     assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_a_full_memory_keeps_the_words_seen_again(monkeypatch):
+    monkeypatch.setattr(P, "_CACHED_WORDS", 100)
+    worker = P.WordIds(PATH)
+    often = [f"often{letter}" for letter in "abcdefghij"]
+    for round_ in range(12):
+        text = " ".join([*often, *(f"once{round_}x{i}" for i in range(15))])
+        assert encoded(worker, [text]) == wanted([text])
+        assert len(worker.known) <= 100 and len(worker.again) == len(worker.known)
+        if round_:
+            assert all(word.encode() in worker.known for word in often)
+            learned, worker._learn = [], lambda words, f=worker._learn: (learned.extend(words), f(words))[1]
+            assert encoded(worker, [" ".join(often)]) == wanted([" ".join(often)])
+            assert not learned
+            del worker._learn
+
+
 def test_packed_rows(spark, hard_documents, monkeypatch):
     monkeypatch.setattr(P, "_SALT_ROWS", 3)
     rows = P.packed(P.pieces(hard_documents, PATH)).collect()
