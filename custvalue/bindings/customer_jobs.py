@@ -12,6 +12,7 @@ from custvalue.operators.filters import renewal_ids
 from custvalue.operators.quantiles import exact_percentiles
 from custvalue.plans import customers as customer_plan
 from custvalue.plans import sources, support, transactions
+from custvalue.session import held
 
 # --- adjusted revenue, the flagship ------------------------------------------------------
 
@@ -260,15 +261,24 @@ def customer_table(spark, sf):
     events = table(spark, sf, "events")
     address = table(spark, sf, "customer").select("c_custkey", S.email().alias("Email"))
     by_user = events.join(address, events.user_id == address.c_custkey)
-    contacts = by_user.groupBy("Email").agg(
-        F.min("ts").alias("First Seen (MDT)"),
-        F.array_join(F.collect_set("event_type"), ",").alias("Segment"),
-    )
-    subscribers = by_user.where("event_type <> 'error'").groupBy("Email").agg(
-        F.array_join(F.collect_set(F.concat(F.lit("mail_"), "event_type")), ",").alias(
-            "Campaign Names"
-        ),
-        F.max("ts").alias("last"),
+    mailed = F.col("event_type") != "error"
+    # Two sources, each of which is read for its lists and for the result: grouped once.
+    seen = held(
+        by_user.groupBy("Email").agg(
+            F.min("ts").alias("first"),
+            F.collect_set("event_type").alias("kinds"),
+            F.collect_set(F.when(mailed, F.concat(F.lit("mail_"), "event_type"))).alias("mails"),
+            F.max(F.when(mailed, F.col("ts"))).alias("last"),
+            F.count_if(mailed).alias("n_mails"),
+        )
+    )
+    contacts = seen.select(
+        "Email",
+        F.col("first").alias("First Seen (MDT)"),
+        F.array_join("kinds", ",").alias("Segment"),
+    )
+    subscribers = seen.where("n_mails > 0").select(
+        "Email", F.array_join("mails", ",").alias("Campaign Names"), "last"
     )
     people = table(spark, sf, "customer").select(
         S.email().alias("Email"), F.col("c_nationkey").alias("Original Source")

@@ -140,3 +140,22 @@ def test_null_keys_meet_nothing_in_a_join_for_hot_keys(rows):
 
 def test_identifier_sample_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(spark, "identifier_profile")
+
+
+def test_borders_of_all_classes_are_counted_together(spark, monkeypatch):
+    from custvalue.operators.splits import with_folds
+
+    df = spark.range(3000).select(F.col("id").alias("key"), (F.col("id") % 6).alias("label"))
+    counted, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: (counted.append(self.columns), collect(self))[1])
+    parts = with_folds(df, "label", "key")
+    assert len([c for c in counted if "n" in c and "b" in c]) == 1
+    assert {r["count"] for r in parts.groupBy("label", "fold").count().collect()} == {100}
+
+
+def test_events_are_grouped_once_for_both_sources_by_email(spark):
+    from custvalue.bindings.customer_jobs import customer_table
+
+    table = customer_table(spark, "/root/testdata/sf0.001")
+    plan = table._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("InMemoryRelation [Email#") == 2
