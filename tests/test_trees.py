@@ -1,5 +1,7 @@
 """Trees grown together, against trees grown by trying every border of every feature."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -198,3 +200,37 @@ def test_counts_of_forests_are_those_of_their_guesses(spark):
     ).count()
     total = counts.groupBy("forest", "fold", "label", "prediction").sum("n")
     assert sorted(total.collect()) == sorted(by_row.collect())
+
+
+def test_the_driver_gets_no_histograms(spark, monkeypatch):
+    """What a pass brings to the driver does not grow with features, slices or tasks."""
+    x, y, fold = made_up()
+    rows = tree_rows(frame(spark, x, y, fold))
+    trees = [Tree(Rule(tree_share=0.7, sample=1.0), i, 2, 225) for i in range(3)]
+    collect, sizes = type(rows).collect, []
+
+    def measured(df):
+        found = collect(df)
+        sizes.extend(len(pickle.dumps(row)) for row in found)
+        return found
+
+    monkeypatch.setattr(type(rows), "collect", measured)
+    tops = trees_many._prepared(rows, trees, 40)[3]
+    assert all(len(top.state) > 3 for top in tops)
+    assert max(sizes) < 2_000
+
+
+def test_histograms_travel_in_few_bytes():
+    for top in (0, 1, 255, 256, 70_000, 2**33):
+        counts = np.array([[0, 1, top], [top, 0, 0]], np.float64)
+        data = trees_many._packed(counts)
+        assert len(data) == 6 * np.min_scalar_type(max(top, 1)).itemsize
+        assert (trees_many._unpacked(data, (2, 3)) == counts).all()
+
+
+def test_a_sample_without_rows_is_a_leaf(spark):
+    x, y, fold = made_up(40)
+    rows = tree_rows(frame(spark, x, y, fold))
+    tree = Tree(Rule(sample=1e-9), 0, 1, 30)
+    for few in (5, None):
+        assert {tuple(r.p) for r in votes(rows, [tree], few).collect()} == {(0.0,)}
