@@ -7,8 +7,9 @@ these are grouped and counted, and only occurrences of frequent groups are store
 length. A phrase is known by the numbers of the two phrases one word shorter that it starts and
 ends with, so counts are exact and no text is hashed.
 
-The frequent groups of a length go to every task while they are at most ``BROADCAST_ROWS``; beyond
-that occurrences find theirs by a join, with the same result.
+The frequent groups of a length go to every task in lists of about ``BROADCAST_ROWS``, of which a
+task holds one at a time. Beyond ``_LISTS`` of them occurrences find theirs by a join, with the same
+result; a join sends every different pair of a block.
 
 Defined results: a null text is empty; an empty text, or one of marks alone, has no words. A null
 language is ``und``. Repeated rows count as often as they stand there. Ties in score and count go
@@ -34,6 +35,7 @@ LEAST = 100
 MOST_WORDS = 5
 FIRST = 2000
 BROADCAST_ROWS = 1 << 18
+_LISTS = 64
 _RANKED_TOGETHER = 50_000
 _COUNTED_TOGETHER = 8_000_000  # occurrences a task counts before it gives counts away
 _HELD_PAIRS = 1 << 21  # pairs of neighbours that a task holds before it adds up equal ones
@@ -142,10 +144,10 @@ class _Neighbours:
         place, item = _unpacked(step, item)
         at = np.flatnonzero(np.diff(place) == 1)
         self.place = place[at]
-        first, self.x = np.unique(item[at], return_inverse=True)
-        second, self.y = np.unique(item[at + 1], return_inverse=True)
+        first, x = np.unique(item[at], return_inverse=True)
+        second, y = np.unique(item[at + 1], return_inverse=True)
         pair, self.of, self.n = np.unique(
-            self.x * max(len(second), 1) + self.y, return_inverse=True, return_counts=True
+            x * max(len(second), 1) + y, return_inverse=True, return_counts=True
         )
         x, y = np.divmod(pair, max(len(second), 1))
         self.first, self.second = first[x], second[y]
@@ -176,6 +178,26 @@ class _Lookup:
         return np.where(in_x & in_y & there, self.number[at], -1)
 
 
+class _Sent:
+    """Lists that go to every task. A task goes through them again and again and, of several, holds
+    one at a time; so does the driver that sends them."""
+
+    def __init__(self, spark, lists: Iterator):
+        self.lists = [spark.sparkContext.broadcast(one) for one in lists]
+
+    def __iter__(self) -> Iterator:
+        for one in self.lists:
+            yield one.value
+            if len(self.lists) > 1:
+                vars(one).pop("_value", None)
+
+
+def _lists(number: int, rows: int) -> int:
+    """How many lists ``number`` frequent groups go to the tasks in; 0 if a join finds them."""
+    count = -(-max(number, 1) // rows) if rows else 0
+    return count if count <= _LISTS else 0
+
+
 def _at(ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
     return at, ordered[at] == values
@@ -309,19 +331,32 @@ def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64)
 
 
-def _longer(relation: DataFrame, frequent: DataFrame, few: bool) -> DataFrame:
+def _longer(relation: DataFrame, frequent: DataFrame, lists: int) -> DataFrame:
     """The occurrences of the frequent pairs (id, x, y) of neighbours in ``relation``."""
-    if few:
-        listed = frequent.select("x", "y", "id").toArrow()
-        arrays = tuple(_numbers(listed, name) for name in ("x", "y", "id"))
-        sent = frequent.sparkSession.sparkContext.broadcast(arrays)
+    if lists:
+
+        def listed() -> Iterator[_Lookup]:
+            for k in range(lists):
+                here = F.pmod(F.col("x") + F.col("y"), F.lit(lists)) == k
+                some = frequent.where(here).select("x", "y", "id").toArrow()
+                yield _Lookup(*(_numbers(some, name) for name in ("x", "y", "id")))
+
+        sent = _Sent(frequent.sparkSession, listed())
 
         def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lookup = _Lookup(*sent.value)
             for batch in batches:
-                for block, step, item in zip(*(c.to_pylist() for c in batch.columns)):
-                    near = _Neighbours(step, item)
-                    yield _rows(near.kept(block, lookup(near.first, near.second)))
+                if not batch.num_rows:
+                    continue
+                near = [_Neighbours(*one) for one in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+                x, y = (np.concatenate([getattr(n, name) for n in near]) for name in ("first", "second"))
+                of, number = (x + y) % lists, np.full(len(x), -1)
+                for k, lookup in enumerate(sent):
+                    here = np.flatnonzero(of == k)
+                    number[here] = lookup(x[here], y[here])
+                ends = np.cumsum([len(n.n) for n in near])[:-1]
+                for block, n, item in zip(batch.column(0).to_pylist(), near, np.split(number, ends)):
+                    yield _rows(n.kept(block, item))
+                del near, x, y, of, number
                 give_back()
 
         return small_batches(relation).mapInArrow(extend, _RELATION)
@@ -345,7 +380,7 @@ def _by_block(blocks: DataFrame, own: DataFrame, join) -> DataFrame:
     return both.applyInArrow(join, _RELATION)
 
 
-def _frequent_words(blocks: DataFrame, words: DataFrame, few: bool) -> DataFrame:
+def _frequent_words(blocks: DataFrame, words: DataFrame, lists: int) -> DataFrame:
     """The occurrences of the frequent words (id, lang, word) in blocks of words by their own
     numbers."""
 
@@ -355,28 +390,38 @@ def _frequent_words(blocks: DataFrame, words: DataFrame, few: bool) -> DataFrame
         there = found >= 0
         return [_packed(block, place[there], found[there])] if there.any() else []
 
-    if few:
-        listed = words.select("lang", "word", "id").toArrow().combine_chunks()
-        sent = words.sparkSession.sparkContext.broadcast(
-            {
-                lang: (rows.column("word").combine_chunks(), _numbers(rows, "id"))
-                for lang in listed.column("lang").unique().to_pylist()
-                for rows in [listed.filter(pc.equal(listed.column("lang"), lang))]
-            }
-        )
+    if lists:
+
+        def listed() -> Iterator[dict]:
+            for k in range(lists):
+                some = words.where(F.pmod("id", F.lit(lists)) == k).select("lang", "word", "id")
+                some = some.toArrow().combine_chunks()
+                yield {
+                    lang: (rows.column("word").combine_chunks(), _numbers(rows, "id"))
+                    for lang in some.column("lang").unique().to_pylist()
+                    for rows in [some.filter(pc.equal(some.column("lang"), lang))]
+                }
+
+        sent = _Sent(words.sparkSession, listed())
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(batch.num_rows):
-                    lang = batch.column(1)[i].as_py()
-                    if lang not in sent.value:
-                        continue
-                    names, ids = sent.value[lang]
-                    at = pc.index_in(batch.column(2)[i].values.cast(names.type), value_set=names)
-                    at = at.fill_null(-1).to_numpy(zero_copy_only=False)
-                    number = np.where(at >= 0, ids[at], -1)
-                    block, step, item = (batch.column(c)[i].as_py() for c in (0, 3, 4))
-                    yield _rows(kept(block, step, item, number))
+                coded = batch.column(1).dictionary_encode()
+                langs, of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+                own = [batch.column(2).take(pa.array(np.flatnonzero(of == i))) for i in range(len(langs))]
+                number = [np.full(len(texts.flatten()), -1) for texts in own]
+                for one in sent:
+                    for lang, texts, found in zip(langs, own, number):
+                        if lang in one:
+                            names, ids = one[lang]
+                            at = pc.index_in(texts.flatten().cast(names.type), value_set=names)
+                            at = at.fill_null(-1).to_numpy(zero_copy_only=False)
+                            found[at >= 0] = ids[at[at >= 0]]
+                for i, (texts, found) in enumerate(zip(own, number)):
+                    ends = np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False))[:-1]
+                    for row, here in zip(np.flatnonzero(of == i).tolist(), np.split(found, ends)):
+                        block, step, item = (batch.column(c)[row].as_py() for c in (0, 3, 4))
+                        yield _rows(kept(block, step, item, here))
                 give_back()
 
         read = blocks.select("block", "lang", "words", "step", "item")
@@ -482,7 +527,7 @@ def phrases(
         "id", "lang", F.array("word").alias("words"), "f", none.alias("heads"), none.alias("tails")
     )
     number, occurrences = _size(words)
-    relation = _frequent_words(blocks, words, number <= broadcast_rows)
+    relation = _frequent_words(blocks, words, _lists(number, broadcast_rows))
     levels = []
     for size in range(2, most_words + 1):
         relation = scratch.saved(relation, "zstd")
@@ -493,7 +538,7 @@ def phrases(
         if not number:
             break
         if size < most_words:
-            relation = _longer(relation, frequent, number <= broadcast_rows)
+            relation = _longer(relation, frequent, _lists(number, broadcast_rows))
     levels.append(level.withColumn("longer", F.lit(None).cast("long")))
     scratch.clear()
     return levels, totals

@@ -153,3 +153,25 @@ def test_pairs_dealt_to_many_groups(spark, monkeypatch):
 def test_numbers_have_no_gaps(spark):
     rows = C._numbered(spark.range(1000).repartition(7).select(F.col("id").alias("f")))
     assert sorted(r.id for r in rows.collect()) == list(range(1000))
+
+
+def test_many_frequent_groups_go_in_lists_without_a_join(spark, monkeypatch):
+    def join(*_):
+        raise AssertionError("a join sends every pair of every block")
+
+    docs = made_up(2)
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(4)
+    monkeypatch.setattr(C, "_by_block", join)
+    assert result(C.collocations(df, least=6, broadcast_rows=15)) == brute(docs, 6)
+    assert [C._lists(n, 15) for n in (0, 15, 16, 15 * 64, 15 * 64 + 1)] == [1, 1, 2, 64, 0]
+    assert C._lists(5, 0) == 0
+
+
+def test_a_task_holds_one_list_at_a_time(spark):
+    for number in (1, 3):
+        sent = C._Sent(spark, iter([np.arange(k, k + 3) for k in range(number)]))
+        for _ in range(2):
+            for k, one in enumerate(sent):
+                assert one.tolist() == [k, k + 1, k + 2]
+                held = sum("_value" in vars(each) for each in sent.lists)
+                assert held == 1
